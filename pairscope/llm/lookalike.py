@@ -164,8 +164,8 @@ def normalize(text: str | None, offsets: bool = False):
         elif kind == "mark":
             new = ""  # an accent on nothing
         else:
-            near = text[max(0, at - 1) : at] + text[m.end() : m.end() + 1]
-            new = hit if _EMOJI.search(near) else ""
+            before, after = _EMOJI.match(text[at - 1 : at]), _EMOJI.match(text[m.end() : m.end() + 1])
+            new = hit if before and (after or "\u200d" not in hit) or after and text[m.end()] == "\u20e3" else ""
         if new == hit:
             continue
         if last < at:

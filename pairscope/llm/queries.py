@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairscope.llm import lookalike
+from pairscope.llm import format_copies, lookalike
 from pairscope.session import table
 
 FIELDS = ["source_pt", "translation_en"]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of more than eight words that are copies but for formatting, each with the copy that is kept."""
+    df = table(spark, d, "paired_responses").filter(F.col("pt_word_count") > 8)
+    out = format_copies.copies(df, "pair_id", "source_pt")
+    return out.select(F.col("kept_id").alias("kept_pair_id"), F.col("id").alias("pair_id")).distinct()
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each answer of any length, with its true number of copies."""
+    out = format_copies.copy_groups(table(spark, d, "paired_responses"), "pair_id", "source_pt")
+    return out.select(F.col("kept_id").alias("kept_pair_id"), "n_copies", "collides")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Values with a character that only looks like, or invisibly adds to, plain text."""
     return lookalike.changed_values(table(spark, d, "paired_responses"), "pair_id", FIELDS)
@@ -20,5 +34,5 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, d, "paired_responses"), "pair_id", FIELDS).select("pair_id", "field", "consistent", "changed")
 
 
-QUERIES = {"p6_found": p6_found, "p6_consistent": p6_consistent}
+QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_consistent": p6_consistent}
 ORACLES: dict[str, str] = {}
