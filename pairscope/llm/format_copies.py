@@ -22,6 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairscope.llm.lookalike import normalize, suspect
 
@@ -45,7 +46,7 @@ def canonical_text(text: str) -> str:
     return _words(text) or text.strip()
 
 
-@F.pandas_udf("h binary, x long")
+@F.pandas_udf(T.StructType([T.StructField("h", T.BinaryType()), T.StructField("x", T.LongType())]))
 def _hashes(texts: pd.Series) -> pd.DataFrame:
     forms = [canonical_text(t).encode("utf-8", "surrogatepass") for t in texts]
     return pd.DataFrame({"h": [xxhash.xxh3_128_digest(f) for f in forms], "x": [xxhash.xxh64_intdigest(f, 7) - (1 << 63) for f in forms]})
