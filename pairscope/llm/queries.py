@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm import format_copies, lookalike
+from pairscope.llm import format_copies, lookalike, personal
 from pairscope.session import table
 
 FIELDS = ["source_pt", "translation_en"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of personal detail in each answer and translation."""
+    return personal.found_kinds(table(spark, d, "paired_responses"), "pair_id", FIELDS)
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every value with typed placeholders instead of its details."""
+    return personal.redact_fields(table(spark, d, "paired_responses"), "pair_id", FIELDS)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Answers of more than eight words that are copies but for formatting, each with the copy that is kept."""
     df = table(spark, d, "paired_responses").filter(F.col("pt_word_count") > 8)
@@ -34,5 +44,5 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, d, "paired_responses"), "pair_id", FIELDS).select("pair_id", "field", "consistent", "changed")
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_consistent": p6_consistent}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_consistent": p6_consistent}
 ORACLES: dict[str, str] = {}
