@@ -75,12 +75,12 @@ FOLD = {**{ord(a): ord(b) for a, b in zip(_ACCENTED, _BARE)}, **{c: c + 32 for c
 
 _LOCAL = re.compile(r"[a-z0-9._%+-]*[a-z0-9]\s?$")
 _DOMAIN = re.compile(r"\s?(?:[a-z0-9-]+)(?:(?:\.|\s?[(\[](?:dot|ponto)[)\]]\s?|\s(?:dot|ponto)\s)[a-z0-9-]+)*(?:\.|\s?[(\[](?:dot|ponto)[)\]]\s?|\s(?:dot|ponto)\s)[a-z]{2,}")
-_NUMBER = re.compile(r"(?<![\w$])(?:\+\d[\d ().-]{5,}\d|\(?\d[\d ().-]{5,}\d)(?![\w])")
+_NUMBER = re.compile(r"(?<![\w$])[+(]?\d(?:(?:\) ?| ?\(|[ .-])?\d){6,}(?!\w)")
 _ID_STRONG = re.compile(r"\d{3}\.\d{3}\.\d{3}-\d{2}|\d{2}\.\d{3}\.\d{3}-[\dx]|\d{3}\.\d{5}\.\d{2}-\d")
 _ID_WEAK = re.compile(r"\d{11}|\d{9}-\d{2}|\d{3} \d{3} \d{3} \d{2}|\d{8,9}-?[\dx]|\d{3}[. ]?\d{3}[. ]?\d{3}[- ]?\d{2}")
 _PHONE_STRONG = re.compile(
     r"\+\d{1,3} ?\(?\d{2}\)? ?\d? ?\d{4,5}[ -]?\d{4}|\+1 \d{3}-\d{4}|\+\d{1,3} \d{3}-\d{3}-\d{4}|\(\d{2,3}\) ?9? ?\d{4,5}[ -]?\d{4}|\d{2} 9 \d{4}-\d{4}"
-    r"|0\d{2} \d{4,5} \d{4}|\d{2}\.\d{4,5}\.\d{4}|\d{2} \d{4,5}-\d{4}"
+    r"|0\d{2} \d{4,5} \d{4}|\d{2}\.\d{4,5}\.\d{4}|\d{2} \d{4,5}-\d{4}|[1-9]\d9\d{8}"
 )
 _PHONE_WEAK = re.compile(r"\d{10,11}|\d{4,5}-\d{4}|\d{3}-\d{3,4}-?\d{0,4}|\d{2,3} \d{4,5} \d{4}|\d{4} \d{4}|9\d{8}")
 _RAMAL = re.compile(r",?\s(?:ramal|ext\.?|extension)\s\d{1,5}")
@@ -144,7 +144,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         spans += _names(raw, low, found, ends, spans)
     spans.sort()
     if places is not None:
-        spans = [(places[a], places[b - 1] + 1 if b < len(places) + 1 else len(text), k) for a, b, k in spans]
+        spans = [(places[a], places[b] if b < len(places) else len(text), k) for a, b, k in spans]
     return spans
 
 
