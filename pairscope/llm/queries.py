@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm import format_copies, lookalike, personal
+from pairscope.llm import format_copies, lookalike, neighbors, personal
 from pairscope.session import table
 
 FIELDS = ["source_pt", "translation_en"]
@@ -34,6 +34,12 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("kept_id").alias("kept_pair_id"), "n_copies", "collides")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest documents of each query of the same direction, of cosine 0.9 or more."""
+    out = neighbors.top_neighbors(table(spark, d, "pair_vectors"), "pair_id", "direction", "query_embedding", "document_embedding", 5, 0.9)
+    return out.select(F.col("partition").alias("direction"), F.col("query_id").alias("query_pair_id"), F.col("document_id").alias("document_pair_id"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Values with a character that only looks like, or invisibly adds to, plain text."""
     return lookalike.changed_values(table(spark, d, "paired_responses"), "pair_id", FIELDS)
@@ -44,5 +50,5 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, d, "paired_responses"), "pair_id", FIELDS).select("pair_id", "field", "consistent", "changed")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_consistent": p6_consistent}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p6_found": p6_found, "p6_consistent": p6_consistent}
 ORACLES: dict[str, str] = {}
