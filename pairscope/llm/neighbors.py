@@ -145,7 +145,7 @@ def top_neighbors(
     min_cosine: float = 0.9,
     sample_rows: int = 16_384,
     rows_per_list: int = 512,
-    spread: float = 1.2,
+    spread: float = 0.8,
     rerank: int = 64,
     slack: float = 0.55,
     block_rows: int = 8_192,
