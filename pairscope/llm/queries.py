@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm import format_copies, lookalike, neighbors, personal
+from pairscope.llm import format_copies, language, lookalike, neighbors, personal
 from pairscope.session import table
 
+EXPECTED = {"source_pt": "pt", "translation_en": "en"}
+WORD_COUNTS = {"source_pt": "pt_word_count", "translation_en": "en_word_count"}
 FIELDS = ["source_pt", "translation_en"]
 
 
@@ -40,6 +42,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("partition").alias("direction"), F.col("query_id").alias("query_pair_id"), F.col("document_id").alias("document_pair_id"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of each value of more than eight words that has a clause in another than the expected language."""
+    out = language.unexpected(table(spark, d, "paired_responses"), "pair_id", EXPECTED, WORD_COUNTS)
+    return out.select(F.col("id").alias("pair_id"), "field", "lang").distinct()
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every segment of every answer and translation."""
+    df = table(spark, d, "paired_responses")
+    return language.segments(df, "pair_id", EXPECTED, language.fit(df, "pair_id", EXPECTED)).withColumnRenamed("id", "pair_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Values with a character that only looks like, or invisibly adds to, plain text."""
     return lookalike.changed_values(table(spark, d, "paired_responses"), "pair_id", FIELDS)
@@ -50,5 +64,5 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, d, "paired_responses"), "pair_id", FIELDS).select("pair_id", "field", "consistent", "changed")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p6_found": p6_found, "p6_consistent": p6_consistent}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_consistent": p6_consistent}
 ORACLES: dict[str, str] = {}
