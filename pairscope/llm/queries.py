@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm import format_copies, language, lookalike, neighbors, personal
+from pairscope.llm import format_copies, language, leakage, lookalike, neighbors, personal
 from pairscope.session import table
 
 EXPECTED = {"source_pt": "pt", "translation_en": "en"}
@@ -64,5 +64,16 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, d, "paired_responses"), "pair_id", FIELDS).select("pair_id", "field", "consistent", "changed")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_consistent": p6_consistent}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with ten consecutive words of an evaluation item."""
+    out = leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", 10, 0)
+    return out.select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with twelve words of an item but for one word edit, with the number of such windows."""
+    return leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", 12, 1, 0.95)
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p6_consistent": p6_consistent}
 ORACLES: dict[str, str] = {}
