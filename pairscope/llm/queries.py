@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm import format_copies, language, leakage, lookalike, neighbors, personal
+from pairscope.llm import format_copies, language, leakage, lookalike, mixing, neighbors, personal
 from pairscope.session import table
 
 EXPECTED = {"source_pt": "pt", "translation_en": "en"}
@@ -75,5 +75,15 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", 12, 1, 0.95)
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p6_consistent": p6_consistent}
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Documents taken for the mix, with their number of copies."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p8_selection": p8_selection, "p8_shares": p8_shares, "p6_consistent": p6_consistent}
 ORACLES: dict[str, str] = {}
