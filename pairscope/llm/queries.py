@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm import format_copies, language, leakage, lookalike, mixing, neighbors, personal
+from pairscope.llm import format_copies, language, leakage, lookalike, mixing, neighbors, personal, toxicity
 from pairscope.session import table
 
 EXPECTED = {"source_pt": "pt", "translation_en": "en"}
@@ -85,5 +85,29 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p8_selection": p8_selection, "p8_shares": p8_shares, "p6_consistent": p6_consistent}
+TOXIC_AT = 0.6
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, "doc_id", "text", table(spark, d, "content_labels"))
+    return toxicity.score(docs, "doc_id", "text", "source", model)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Categories of abusive, hateful or sexual content in each document."""
+    return _scored(spark, d).filter((F.col("score") >= TOXIC_AT) & (F.size("spans") > 0)).select("doc_id", "category").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and offending offsets of every document and category."""
+    return _scored(spark, d).select("doc_id", "category", "score", "spans")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of each source."""
+    return toxicity.source_rates(_scored(spark, d), TOXIC_AT)
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_consistent": p6_consistent}
 ORACLES: dict[str, str] = {}
