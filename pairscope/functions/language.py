@@ -43,7 +43,8 @@ def detector_udf(make: Callable[[], LanguageDetector]) -> Callable[[Column, Colu
 def stop_word_scores(text: Column) -> dict[str, Column]:
     """Share of each language's stop words among the tokens, as JVM expressions."""
     words = F.split(F.lower(text), r"[^a-zà-ÿ]+")
-    return {lang: F.size(F.filter(words, lambda w, s=stops: w.isin(s))).cast("double") for lang, stops in STOP_WORDS.items()}
+    among = lambda stops: lambda w: w.isin(stops)
+    return {lang: F.size(F.filter(words, among(stops))).cast("double") for lang, stops in STOP_WORDS.items()}
 
 
 def stop_word_predicted(text: Column, min_distance: float = 0.05) -> Column:

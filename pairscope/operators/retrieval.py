@@ -53,7 +53,8 @@ def _block_pairs(df: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     own = F.pmod(F.xxhash64("pair_id"), count).cast("int")
     every = F.explode(F.sequence(F.lit(0), count.cast("int") - 1))
     q = df.select("direction", "source_row", "grp", F.col("query_embedding").alias("v"), own.alias("qb"), every.alias("db"))
-    d = df.select("direction", "source_row", "cand", "grp", F.col("document_embedding").alias("v"), own.alias("db"), every.alias("qb"))
+    # columns of their own, as both sides come from the same rows
+    d = df.select(*[F.col(c).alias(c) for c in ("direction", "source_row", "cand", "grp")], F.col("document_embedding").alias("v"), own.alias("db"), every.alias("qb"))
     return q, d
 
 

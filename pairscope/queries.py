@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairscope import queries_reference as reference
 from pairscope.operators.hot_keys import dense_key_aggregate, hot_groups
 from pairscope.session import table
 
@@ -51,3 +52,6 @@ ORACLES: dict[str, str] = {
         FROM paired_responses WHERE en_duplicate_group_id IS NOT NULL GROUP BY 2
     """,
 }
+
+QUERIES.update(reference.QUERIES)
+ORACLES.update(reference.ORACLES)
