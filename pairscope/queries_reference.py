@@ -484,7 +484,7 @@ _LEX_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _LEXICON) + ") l
 @query(f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS t FROM w),
            h AS (SELECT doc_id, t, max((emotion = 'joy')::INT) AS joy, max((emotion = 'fear')::INT) AS fear, bool_or(emotion = 'positive') AS p, bool_or(emotion = 'negative') AS n,
                  max((emotion NOT IN ('positive', 'negative'))::INT) AS hit FROM t LEFT JOIN {_LEX_SQL} ON token = t GROUP BY 1, 2)
-           SELECT d.doc_id AS id, count(t) AS n_nodes, coalesce(sum(joy), 0)::BIGINT AS joy_count, coalesce(sum(fear), 0)::BIGINT AS fear_count, count_if(p AND n) AS ambivalent_count,
+           SELECT d.doc_id AS id, count(t) AS n_nodes, coalesce(sum(joy), 0)::BIGINT AS joy_count, coalesce(sum(fear), 0)::BIGINT AS fear_count, count_if(coalesce(p, false) AND coalesce(n, false)) AS ambivalent_count,
                   round(CASE WHEN count(t) > 0 THEN coalesce(sum(hit), 0)::DOUBLE / count(t) ELSE 0 END, 8) AS emotion_coverage FROM documents d LEFT JOIN h USING (doc_id) GROUP BY 1""")
 def lexicon_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Emotion counts and coverage of each document against a small lexicon."""
