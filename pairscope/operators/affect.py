@@ -28,7 +28,7 @@ def total(p: Column) -> Column:
 def js_distance(p: Column, q: Column) -> Column:
     """Base-2 Jensen-Shannon distance of two share arrays. Both empty: 0; one empty: the root of one half; null gives null."""
     both = (_half(p, q) + _half(q, p)) / 2
-    return F.when((total(p) == 0) & (total(q) == 0), F.lit(0.0)).when((total(p) == 0) | (total(q) == 0), F.sqrt(F.lit(0.5))).otherwise(F.sqrt(F.greatest(both, F.lit(0.0))))
+    return F.when(p.isNull() | q.isNull(), F.lit(None).cast("double")).when((total(p) == 0) & (total(q) == 0), F.lit(0.0)).when((total(p) == 0) | (total(q) == 0), F.sqrt(F.lit(0.5))).otherwise(F.sqrt(F.greatest(both, F.lit(0.0))))
 
 
 def deltas(p: Column, q: Column) -> Column:

@@ -108,7 +108,7 @@ def leave_one_cohort_out(df: DataFrame, cohort: str, features: list[str], target
     y, e = F.col(target).cast("double"), F.col("predicted") - F.col(target).cast("double")
     metrics = rows.groupBy(cohort).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max("alpha").alias("alpha"),
-        F.when(F.var_pop(y) > 0, 1 - F.avg(e * e) / F.var_pop(y)).alias("r2"),
-        F.when((F.count(F.lit(1)) > 1) & (F.stddev_pop(y) > 0) & (F.stddev_pop("predicted") > 0), F.corr("predicted", y)).alias("pearson_r"),
+        (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"),
+        F.when(F.count(F.lit(1)) > 1, F.try_divide(F.covar_pop("predicted", y), F.stddev_pop("predicted") * F.stddev_pop(y))).alias("pearson_r"),
     )
     return rows, metrics
