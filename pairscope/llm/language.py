@@ -315,31 +315,38 @@ def training_clauses(values: Iterable[str]) -> list[list[str]]:
     return [[*built, *(c for c in sorted(s) for _ in range(min(s[c], 15)))] for built, s in zip(builtin_clauses(), seen)]
 
 
-def label_texts(net: ByteGru, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, str, float]]]:
-    """Segments (start, end, language, confidence) of prepared texts: runs of clauses of one language."""
+def label_texts(net: ByteGru, texts: list[str], batch: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of prepared texts, as arrays (text, start, stop, language, confidence) in the order of the texts."""
     raw = [_encode(t) for t in texts]
-    out: list[list] = [[] for _ in texts]
     order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+    parts: list[tuple] = []
     at = 0
     while at < len(order):
         group = order[at : at + batch]
         longest = len(raw[group[-1]])
         if longest > 2_000:  # long texts: fewer at once, whole all the same
-            group = order[at : at + max(1, batch * 2_000 // (longest + 1) // 4)]
+            group = order[at : at + max(1, batch * 500 // (longest + 1))]
             longest = len(raw[group[-1]])
         at += len(group)
         if not longest:
             continue
+        sizes = np.array([len(raw[i]) for i in group])
         x = np.zeros((longest, len(group)), dtype=np.uint8)
         for j, i in enumerate(group):
-            x[: len(raw[i]), j] = raw[i]
-        lp = np.ascontiguousarray(net.log_probs(x).transpose(1, 0, 2))
-        for j, i in enumerate(group):
-            out[i] = _segments(texts[i], lp[j, : len(raw[i])])
-    return out
+            x[: sizes[j], j] = raw[i]
+        lp = net.log_probs(x).transpose(1, 0, 2)[np.arange(longest) < sizes[:, None]]  # the texts' positions, one after the other
+        text, *rest = _segments(np.concatenate([raw[i] for i in group]), sizes, lp)
+        parts.append((np.array(group)[text], *rest))
+    if not parts:
+        return tuple(np.zeros(0, t) for t in (int, int, int, int, float))  # type: ignore[return-value]
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    back = np.lexsort((columns[1], columns[0]))
+    return tuple(c[back] for c in columns)  # type: ignore[return-value]
 
 
-_PIECE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:,\n\r/|()\[\]{}\"“”«»•–—=]")
+_LETTERS = np.array([chr(i).isalpha() or chr(i) == "'" for i in range(256)])
+_BREAKS = np.zeros(256, dtype=bool)
+_BREAKS[[ord(c) for c in ".!?;:,\n\r/|()[]{}\"«»=\x95\x96\x97"]] = True
 
 
 def _shares(scores: np.ndarray, letters: np.ndarray) -> np.ndarray:
@@ -349,56 +356,73 @@ def _shares(scores: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _segments(text: str, lp: np.ndarray) -> list[tuple[int, int, str, float]]:
-    """Clauses pool their letters; a clause that changes language inside is cut at its best word; short and doubtful ones follow their neighbours."""
-    starts, stops, heads = [], [], []
-    fresh = True
-    for m in _PIECE.finditer(text):
-        a, b = m.span()
-        if b - a == 1 and not text[a].isalpha():
-            fresh = True
-            continue
-        if fresh:
-            heads.append(len(starts))
-            fresh = False
-        starts.append(a)
-        stops.append(b)
-    if not starts:
-        return []
-    sums = np.zeros((len(lp) + 1, lp.shape[1]))
-    np.cumsum(lp, axis=0, out=sums[1:])
-    scores = sums[stops] - sums[starts]  # words
-    sizes = np.subtract(stops, starts)
-    pooled, letters = np.add.reduceat(scores, heads), np.add.reduceat(sizes, heads)
-    mixed = np.flatnonzero((pooled.max(axis=1) < -0.35 * letters) & (np.diff([*heads, len(starts)]) >= 6))
-    if len(mixed):
-        ends, more = [*heads[1:], len(starts)], []
-        for c in mixed:
-            left = np.cumsum(scores[heads[c] : ends[c]], axis=0)
-            split = left[2:-3].max(axis=1) + (pooled[c] - left[2:-3]).max(axis=1)
-            k = int(split.argmax())
-            if split[k] - pooled[c].max() > 12:
-                more.append(heads[c] + k + 3)
-        heads = sorted([*heads, *more])
-        pooled, letters = np.add.reduceat(scores, heads), np.add.reduceat(sizes, heads)
-    share = _shares(pooled, letters)
-    count = np.diff([*heads, len(starts)])
-    firm = (count >= 3) & (letters >= 10) & (share.max(axis=1) >= FIRM)
-    if not firm.any():  # nothing firm: one segment
-        total = _shares(pooled.sum(axis=0)[None], letters.sum()[None])[0]
-        return [(starts[0], stops[-1], LANGS[int(total.argmax())], round(float(total.max()), 4))]
-    langs, keep = share.argmax(axis=1), np.flatnonzero(firm)
-    runs = np.flatnonzero(np.r_[True, langs[keep][1:] != langs[keep][:-1]])
-    total, size = np.add.reduceat(pooled[keep], runs), np.add.reduceat(letters[keep], runs)
-    conf = _shares(total, size)
-    ends = [*heads[1:], len(starts)]
-    out = []
-    for i, r in enumerate(runs):
-        first = 0 if i == 0 else heads[keep[r]]
-        last = keep[runs[i + 1] - 1] if i + 1 < len(runs) else keep[-1]
-        lang = int(langs[keep[r]])
-        out.append((starts[first], stops[ends[last] - 1], LANGS[lang], round(float(conf[i, lang]), 4)))
-    return out
+def _segments(flat: np.ndarray, sizes: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments of the texts whose bytes lie in ``flat`` one after the other.
+
+    Clauses pool their letters; a clause that changes language inside is cut at its best word; clauses that are short or doubtful follow
+    their neighbours. A text without any firm clause is one segment, a text without letters none.
+    """
+    first = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    letter = _LETTERS[flat]
+    before = np.r_[False, letter[:-1]]
+    before[first[sizes > 0]] = False
+    word = letter & ~before  # first letters of words
+    fresh = _BREAKS[flat]
+    fresh[first[sizes > 0]] = True
+    lp = lp * letter[:, None]
+
+    def pool(heads: np.ndarray) -> tuple[np.ndarray, ...]:
+        where = np.arange(len(flat))
+        letters = np.add.reduceat(letter.astype(np.int64), heads)
+        there = letters > 0
+        return (np.add.reduceat(lp, heads, axis=0)[there], letters[there], np.add.reduceat(word.astype(np.int64), heads)[there],
+                np.minimum.reduceat(np.where(letter, where, len(flat)), heads)[there], np.maximum.reduceat(np.where(letter, where, -1), heads)[there] + 1, owner[heads][there])
+
+    heads = np.flatnonzero(fresh)
+    scores, letters, words, begin, end, text = pool(heads)
+    cuts = []
+    for c in np.flatnonzero((scores.max(axis=1) < -0.35 * letters) & (words >= 6)):
+        starts = begin[c] + np.flatnonzero(word[begin[c] : end[c]])
+        left = np.cumsum(np.add.reduceat(lp[: end[c]], starts, axis=0), axis=0)
+        split = left[2:-3].max(axis=1) + (left[-1] - left[2:-3]).max(axis=1)
+        k = int(split.argmax())
+        if split[k] - scores[c].max() > 12:
+            cuts.append(starts[k + 3])
+    if cuts:
+        scores, letters, words, begin, end, text = pool(np.sort(np.concatenate([heads, cuts])))
+    if not len(text):
+        return tuple(np.zeros(0, t) for t in (int, int, int, int, float))
+    share = _shares(scores, letters)
+    firm = (words >= 3) & (letters >= 10) & (share.max(axis=1) >= FIRM)
+    lang = share.argmax(axis=1)
+    # texts without a firm clause: all clauses together
+    edge = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    loose = ~np.logical_or.reduceat(firm, edge)
+    whole = np.flatnonzero(np.repeat(loose, np.diff(np.r_[edge, len(text)])))
+    if len(whole):
+        own = edge[loose]
+        total = _shares(np.add.reduceat(scores, edge, axis=0)[loose], np.add.reduceat(letters, edge)[loose])
+        lasts = (np.r_[edge[1:], len(text)] - 1)[loose]
+        single = (text[own], begin[own] - first[text[own]], end[lasts] - first[text[own]], total.argmax(axis=1), total.max(axis=1))
+    else:
+        single = tuple(np.zeros(0, t) for t in (int, int, int, int, float))
+    keep = np.flatnonzero(firm)
+    if not len(keep):
+        return single
+    new = np.r_[True, (lang[keep][1:] != lang[keep][:-1]) | (text[keep][1:] != text[keep][:-1])]
+    runs = keep[new]  # first clause of each segment
+    total = _shares(np.add.reduceat(scores[keep], np.flatnonzero(new), axis=0), np.add.reduceat(letters[keep], np.flatnonzero(new)))
+    head = np.r_[True, text[runs][1:] != text[runs][:-1]]
+    lead = edge[np.searchsorted(edge, runs, "right") - 1]  # first clause of the text
+    last_of = np.r_[edge[1:], len(text)] - 1
+    tail = last_of[np.searchsorted(edge, runs, "right") - 1]
+    nxt = np.r_[runs[1:] - 1, len(text) - 1]
+    stop = end[np.minimum(nxt, tail)]
+    start = np.where(head, begin[lead], begin[runs])
+    base = first[text[runs]]
+    multi = (text[runs], start - base, stop - base, lang[runs], total[np.arange(len(runs)), lang[runs]])
+    return tuple(np.concatenate(z) for z in zip(multi, single))
 
 
 _SCHEMA = "start int, stop int, lang string, confidence double"
@@ -422,15 +446,16 @@ def segments(df: DataFrame, id_column: str, fields: dict[str, str], net: ByteGru
         for batch in batches:
             texts = [prepare(t) for t in batch.column("text").to_pylist()]
             once = {t: i for i, t in enumerate(dict.fromkeys(texts))}  # equal texts of a batch are labelled once
-            labelled = label_texts(net, list(once))
-            found = [labelled[once[t]] for t in texts]
-            rep = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-            flat = [s for f in found for s in f]
-            cols = list(zip(*flat)) if flat else [[], [], [], []]
-            number = np.concatenate([np.arange(len(f)) for f in found]) if found else np.zeros(0)
+            text, start, stop, lang, sure = label_texts(net, list(once))
+            low, high = np.searchsorted(text, np.arange(len(once))), np.searchsorted(text, np.arange(len(once)), "right")
+            of = np.array([once[t] for t in texts])
+            size = (high - low)[of]
+            rep = np.repeat(np.arange(len(texts)), size)
+            number = np.arange(len(rep)) - np.repeat(np.cumsum(size) - size, size)
+            pick = low[of][rep] + number
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rep, pa.int64())), batch.column("field").take(pa.array(rep, pa.int64())), pa.array(number, pa.int32()),
-                 pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64())], schema=schema
+                [batch.column("id").take(pa.array(rep, pa.int64())), batch.column("field").take(pa.array(rep, pa.int64())), pa.array(number, pa.int32()), pa.array(start[pick], pa.int32()),
+                 pa.array(stop[pick], pa.int32()), pa.array(np.array(LANGS, dtype=object)[lang[pick]], pa.string()), pa.array(np.round(sure[pick], 4))], schema=schema
             )
 
     return rows.mapInArrow(run, f"id string, field string, segment int, {_SCHEMA}")

@@ -90,6 +90,7 @@ _STREET = re.compile(
 _STREET_REST = re.compile(r"(?:,?\s*(?:casa|ap\.?|apto\.?|bloco|apartment|apt\.?|house)\s*\d{1,5})?(?:(?:\s-\s|,\s)(?:jardim|vila|parque|setor|nucleo|chacara|conjunto|bairro|centro)(?:\s[a-z]+){0,3}?(?=\s(?:em|in|ate|to)\b|[,.;!?/\n-]|\s[-/]|$))?(?:,?\s*cep\s*\d{5}-?\d{3})?")
 _LOT = re.compile(r"\d{1,4}\s*,?\s*lote\s*\d{1,4}")
 _STREET_EN = re.compile(r"\b\d{1,5}\s+(?:[a-z'-]+\s+){0,4}[a-z'-]+$")
+_DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\W\d_][\w'’-]*\.?")
 
 
@@ -112,6 +113,14 @@ def _automaton():
     return auto
 
 
+_FOLD_BYTES = bytes(FOLD.get(i, i) if FOLD.get(i, i) < 256 else i for i in range(256))
+
+
+def fold(text: str) -> str:
+    """Lower case without accents, character for character; what Latin-1 lacks becomes a question mark."""
+    return text.encode("latin-1", "replace").translate(_FOLD_BYTES).decode("latin-1")
+
+
 def _letter(text: str, at: int) -> bool:
     return 0 <= at < len(text) and text[at].isalnum()
 
@@ -121,7 +130,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     raw, places = normalize(text, offsets=True) if suspect(text) else (text, None)
-    low = raw.translate(FOLD)
+    low = fold(raw)
     found: dict[str, list[int]] = {}
     ends: dict[str, list[int]] = {}
     for end, entry in _automaton().iter(low):
@@ -132,7 +141,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
                 continue
             found.setdefault(kind, []).append(start)
             ends.setdefault(kind, []).append(end + 1)
-    digits = sum(map(low.count, "0123456789"))
+    digits = len(_DIGIT.findall(low))
     spans: list[tuple[int, int, str]] = []
     if "mail" in found:
         spans += _emails(low, found["mail"], ends["mail"])
@@ -140,7 +149,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         spans += _addresses(low, found["street"], ends["street"], spans)
     if digits >= 7:
         spans += _numbers(low, found, ends, spans)
-    if "given" in found or "surname" in found or "cue" in found:
+    if "given" in found or "surname" in found or "cue" in found and NAME_AFTER.search(low):
         spans += _names(raw, low, found, ends, spans)
     spans.sort()
     if places is not None:
