@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairscope.llm.lookalike import normalize, suspect
+from pairscope.session import cut_lineage
 
 _SEPARATORS = re.compile(r"\s*(?:;|\||//|\s/\s|[\r\n]+|•|·)\s*")
 _FIELD = re.compile(r"^[\W_]*[^\W\d_][\w \t]{0,28}?[ \t]*[:=]\s*\S")
@@ -80,7 +81,7 @@ def copies(df: DataFrame, id_column: str, text_column: str, hot_share: float = 0
     where no key holds more than that share.
     """
     total = max(df.count(), 1)
-    rows = _hashed(df, id_column, text_column)
+    rows = cut_lineage(_hashed(df, id_column, text_column))  # texts are read and hashed once; what is kept is an id and 24 bytes
     groups = rows.groupBy("_h", "_x").agg(F.min("_id").alias("kept_id"), F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
     hot_rows = max(int(total * hot_share), 1000)
     keys = ["_h", "_x"]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_WINDOWS = 200_000
-SAMPLED = 6  # places of the walk that a table hashes
+SAMPLED = 5  # places of the walk that a table hashes
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,11 +47,11 @@ def hash_words(tokens: list[str]) -> np.ndarray:
 def tables_for(window: int, max_edits: int, recall: float) -> int:
     """Tables needed so that a window of ``max_edits`` edits is met with probability ``recall``.
 
-    An edit of the walk disturbs about four places until the pointers meet again, of three for each word.
+    An edit disturbs about nine places of the walk (measured) until the pointers meet again, of three for each word.
     """
     if max_edits == 0:
         return 1
-    agree = max(0.05, 1 - 4 * max_edits / (3 * window)) ** SAMPLED
+    agree = max(0.05, 1 - 9 * max_edits / (3 * window)) ** SAMPLED
     return math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 

@@ -33,13 +33,13 @@ GREEK = {
     "Χ": "X", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "η": "n", "ϲ": "c", "ϳ": "j",
 }
 # Signs whose compatibility form is not the sign meant, or which are only another style of quote or dash.
-KEPT = "ªº…‥′″‴´¨¸¯˜‘’‚‛“”„‟‹›«»‐‑‒–—―−﹘﹣·•™℠©®²³¹½¼¾№"
+KEPT = "ªº…‥′″‴´¨¸¯˜‘’‚‛“”„‟‹›«»‐‑‒–—―−﹘﹣·•™℠©®²³¹½¼¾№‼⁇⁈⁉₨‗‾"
 
 #: Any of these characters makes a text a candidate; the class is written for Java.
 #: Latin-1 letters, common quotes and dashes and emoji alone do not. The class is a superset of what the rules change.
 SUSPECT = (
-    r"[\x{00A0}\x{00AD}\x{0132}\x{0133}\x{013F}\x{0140}\x{0149}\x{017F}\x{01C4}-\x{01CC}\x{0250}-\x{02FF}\x{0300}-\x{036F}\x{0370}-\x{052F}"
-    r"\x{0600}-\x{0605}\x{061C}\x{115F}\x{1160}\x{1680}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{1AB0}-\x{1AFF}\x{1D00}-\x{1DFF}\x{2000}-\x{200F}"
+    r"[\x{00A0}\x{00AD}\x{0132}\x{0133}\x{013F}\x{0140}\x{0149}\x{017F}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{0250}-\x{02FF}\x{0300}-\x{036F}\x{0370}-\x{052F}"
+    r"\x{0600}-\x{0605}\x{061C}\x{115F}\x{1160}\x{1680}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{1AB0}-\x{1AFF}\x{1D00}-\x{1DFF}\x{2000}-\x{200F}\x{2024}"
     r"\x{2028}-\x{202F}\x{205F}-\x{2070}\x{2071}-\x{209C}\x{20D0}-\x{20DC}\x{2100}-\x{218B}\x{2460}-\x{24FF}\x{2C60}-\x{2C7F}\x{3000}\x{3164}"
     r"\x{3200}-\x{33FF}\x{A720}-\x{A7FF}\x{FB00}-\x{FB06}\x{FE00}-\x{FE0F}\x{FE20}-\x{FE2F}\x{FEFF}\x{FF00}-\x{FFEF}\x{FFF9}-\x{FFFB}"
     r"\x{10780}-\x{107BA}\x{1D400}-\x{1D7FF}\x{1F100}-\x{1F189}\x{E0000}-\x{E0FFF}]"
@@ -63,12 +63,14 @@ def _width_and_style(ch: str) -> str | None:
     if unicodedata.category(ch) == "Zs":
         return " "
     form = unicodedata.normalize("NFKC", ch)
-    if form == ch or not form.strip() or ord(form[0]) > 0x2FF and form[0] not in GREEK:
+    if form == ch or form[:1] == " " or ord(form[0]) > 0x2FF and form[0] not in GREEK:
         return None
     return "".join(GREEK.get(c, c) for c in form)
 
 
 def _invisible(ch: str) -> bool:
+    if 0x600 <= ord(ch) <= 0x8FF and ch != "\u061c":  # number signs of Arabic script, which are seen
+        return False
     return unicodedata.category(ch) == "Cf" or ch in "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0" or 0xFE00 <= ord(ch) <= 0xFE0E or 0xE0100 <= ord(ch) <= 0xE01EF
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairscope.session import cut_lineage
+
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 # The public vocabulary's pre-tokenisation pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -124,7 +126,7 @@ def mix(
     spark = documents.sparkSession
     base = documents.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), _language(lang_column).alias("_lang"),
                             F.coalesce(F.col(topic_column).cast("string"), F.lit("none")).alias("_topic"), F.col(text_column).cast("string").alias("_t")).filter(F.col("source").isNotNull())
-    sized = token_counts(base, "_t", tokenizer).drop("_t")
+    sized = cut_lineage(token_counts(base, "_t", tokenizer).drop("_t"))  # texts are read and encoded once
     weights, report = _plan(sized, targets, total_tokens)
     schema = "doc_id long, source string, tokens long, copies long"
     if not weights:
