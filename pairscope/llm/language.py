@@ -125,6 +125,8 @@ class ByteGru:
         h = np.zeros((batch, h_size), dtype=np.float32)
         hs = np.empty((steps, batch, h_size), dtype=np.float32)
         table = self.w[side]
+        if keep is None:
+            return self._infer(x, side, hs)
         filled = x > 0
         live = [None if a else filled[i] for i, a in enumerate(filled.all(axis=1))]
         for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
@@ -154,6 +156,37 @@ class ByteGru:
             hs[t] = h
         return hs
 
+    def _infer(self, x: np.ndarray, side: int, hs: np.ndarray) -> np.ndarray:
+        """As ``run`` in place, without what training keeps; the halving of the gates' arguments is folded into the weights."""
+        steps, batch, size = hs.shape
+        u, table, b = self.u[side].copy(), self.w[side].copy(), self.b[side]
+        u[:, : 2 * size] *= 0.5
+        table[:, : 2 * size] *= 0.5
+        filled = x > 0
+        whole = filled.all(axis=1)
+        h = np.zeros((batch, size), dtype=hs.dtype)
+        g, gx = np.empty((batch, 3 * size), dtype=hs.dtype), np.empty((batch, 3 * size), dtype=hs.dtype)
+        zr, n = np.empty((batch, 2 * size), dtype=hs.dtype), np.empty((batch, size), dtype=hs.dtype)
+        for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
+            np.matmul(h, u, out=g)
+            table.take(x[t], axis=0, out=gx, mode="clip")
+            np.add(g[:, : 2 * size], gx[:, : 2 * size], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.add(g[:, 2 * size :], b, out=n)
+            n *= zr[:, size:]
+            n += gx[:, 2 * size :]
+            np.tanh(n, out=n)
+            new = hs[t]
+            np.subtract(h, n, out=new)
+            new *= zr[:, :size]
+            new += n
+            if not whole[t]:
+                np.copyto(new, h, where=~filled[t][:, None])
+            h = new
+        return hs
+
     def log_probs(self, x: np.ndarray) -> np.ndarray:
         half = self.u[0].shape[0]
         logits = self.run(x, 0) @ self.out[:half] + self.bias
@@ -428,12 +461,13 @@ def _segments(flat: np.ndarray, sizes: np.ndarray, lp: np.ndarray) -> tuple[np.n
 _SCHEMA = "start int, stop int, lang string, confidence double"
 
 
-def segments(df: DataFrame, id_column: str, fields: dict[str, str], net: ByteGru, min_words: dict[str, str] | None = None) -> DataFrame:
+def segments(df: DataFrame, id_column: str, fields: dict[str, str], net: ByteGru, min_words: dict[str, str] | None = None, unexpected_at: float | None = None) -> DataFrame:
     """``id``, ``field``, ``segment``, ``start``, ``stop`` (in the consistent form), ``lang``, ``confidence`` of every segment of every value.
 
     Null texts and texts without letters have no segment. Texts of any length are read whole. Repeated rows repeat their
     segments. Other columns are not read. ``min_words`` may name a word-count column for each field; values of
-    eight words or fewer are then left out.
+    eight words or fewer are then left out. With ``unexpected_at`` only segments of that confidence are given, and only of values
+    that have one in another than the expected language.
     """
     values = F.array(*[
         F.struct(F.lit(f).alias("field"), F.when(F.col(min_words[f]) > 8, F.col(f)).otherwise(F.lit(None)).cast("string").alias("text") if min_words else F.col(f).cast("string").alias("text"))
@@ -450,6 +484,13 @@ def segments(df: DataFrame, id_column: str, fields: dict[str, str], net: ByteGru
             low, high = np.searchsorted(text, np.arange(len(once))), np.searchsorted(text, np.arange(len(once)), "right")
             of = np.array([once[t] for t in texts])
             size = (high - low)[of]
+            if unexpected_at is not None:
+                sure_enough = sure >= unexpected_at
+                right = np.array([LANGS.index(fields[f]) for f in batch.column("field").to_pylist()])
+                own = np.repeat(np.arange(len(texts)), size)
+                at = np.repeat(low[of] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(len(own))
+                odd = np.bincount(own, weights=sure_enough[at] & (lang[at] != right[own]), minlength=len(texts)) > 0
+                size = np.where(odd, size, 0)
             rep = np.repeat(np.arange(len(texts)), size)
             number = np.arange(len(rep)) - np.repeat(np.cumsum(size) - size, size)
             pick = low[of][rep] + number
@@ -464,11 +505,9 @@ def segments(df: DataFrame, id_column: str, fields: dict[str, str], net: ByteGru
 def unexpected(df: DataFrame, id_column: str, fields: dict[str, str], word_counts: dict[str, str], min_confidence: float = 0.6) -> DataFrame:
     """Every language of each value that holds a clause in another than the expected language: ``id``, ``field``, ``lang``."""
     net = fit(df, id_column, fields)
-    seg = segments(df, id_column, fields, net, word_counts).filter(F.col("confidence") >= min_confidence)
-    expected = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])[F.col("field")]
-    # rows of one value are made by one task and follow each other; only values with a foreign segment are grouped
-    langs = seg.groupBy("id", "field").agg(F.collect_set("lang").alias("langs"))
-    return langs.filter(F.exists("langs", lambda x: x != expected)).select("id", "field", F.explode("langs").alias("lang"))
+    # a value's segments are made by one task, which drops values of the expected language alone before anything is shuffled
+    seg = segments(df, id_column, fields, net, word_counts, min_confidence).filter(F.col("confidence") >= min_confidence)
+    return seg.select("id", "field", "lang").distinct()
 
 
 def documents(df: DataFrame, id_column: str, fields: dict[str, str]) -> DataFrame:
