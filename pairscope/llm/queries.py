@@ -110,4 +110,20 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_consistent": p6_consistent}
-ORACLES: dict[str, str] = {}
+# Windows of ten folded words, joined as strings.
+_WORDS = "string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' ')"
+_WINDOWS = "SELECT DISTINCT {id}, array_to_string(w[i:i + 9], ' ') AS k FROM (SELECT {id}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {id}, " + _WORDS + " AS w FROM {t}) WHERE len(w) >= 10)"
+_CANON = "trim(regexp_replace(lower(x), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'))"
+
+ORACLES: dict[str, str] = {
+    "p2_found": rf"""WITH t AS (SELECT pair_id, source_pt, list_filter(string_split_regex(source_pt, '\s*(?:;|\||//|\s/\s|[\r\n]+|•|·)\s*'), lambda x: trim(x) <> '') AS parts
+               FROM paired_responses WHERE pt_word_count > 8 AND source_pt IS NOT NULL),
+        c AS (SELECT pair_id, CASE WHEN len(parts) >= 2 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '^[^\p{{L}}\p{{N}}]*\p{{L}}[\p{{L}}\p{{M}}\p{{N}} \t]{{0,28}}?[ \t]*[:=]\s*\S'))) = 0
+               THEN array_to_string(list_sort(list_transform(parts, lambda x: {_CANON})), '|') ELSE list_transform([source_pt], lambda x: {_CANON})[1] END AS c FROM t),
+        g AS (SELECT c, min(pair_id) AS kept_pair_id FROM c GROUP BY 1 HAVING count(*) > 1)
+        SELECT DISTINCT kept_pair_id, pair_id FROM c JOIN g USING (c) WHERE pair_id <> kept_pair_id""",
+    "p6_found": r"""WITH v AS (SELECT pair_id, 'source_pt' AS field, source_pt AS t FROM paired_responses UNION ALL SELECT pair_id, 'translation_en', translation_en FROM paired_responses),
+        e AS (SELECT pair_id, field, regexp_replace(t, '[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]\x{200D}[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]', '', 'g') AS t FROM v)
+        SELECT DISTINCT pair_id, field FROM e WHERE regexp_matches(t, '[\x{A0}\x{AD}\x{300}-\x{36F}\x{370}-\x{52F}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FB00}-\x{FB06}\x{FEFF}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}]')""",
+    "p7_found": "WITH d AS (" + _WINDOWS.format(id="doc_id", t="documents") + "), i AS (" + _WINDOWS.format(id="item_id", t="eval_items") + ") SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (k)",
+}
