@@ -72,3 +72,31 @@ def frames_differ(a: DataFrame, b: DataFrame, columns: list[str] | None = None)
     shared = columns or [c for c in a.columns if c in b.columns]
     x, y = a.select(*shared), b.select(*shared)
     return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
+
+
+#: Column types of the domain tables, as DDL.
+SCHEMAS = {
+    "paired_responses": "pair_id string, participant_id string, cohort_id string, year int, question_index int, prompt_id string, prompt_family string, source_pt string, translation_en string, "
+    "pt_word_count int, en_word_count int, exact_normalized_copy boolean, pt_duplicate_group_id string, pt_duplicate_group_size bigint, en_duplicate_group_id string, en_duplicate_group_size bigint, "
+    "ingestion_record_count bigint, translation_variant_count bigint",
+    "participants": "participant_id string, cohort_id string, year int",
+    "prompts": "prompt_id string, cohort_id string, year int, question_index int, prompt_family string, prompt_pt string",
+    "language_verification": "pair_id string, pt_predicted string, pt_expected_confidence double, pt_matches_expected boolean, pt_ambiguous boolean, en_predicted string, en_expected_confidence double, "
+    "en_matches_expected boolean, en_ambiguous boolean",
+    "pair_vectors": "pair_id string, source_row bigint, direction string, query_embedding array<float>, document_embedding array<float>",
+}
+
+
+def assert_schema(df: DataFrame, table: str) -> DataFrame:
+    """Columns and types of a domain table, in any order; metadata only."""
+    want = {}
+    depth, start, text = 0, 0, SCHEMAS[table] + ","
+    for i, c in enumerate(text):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            name, kind = text[start:i].split()
+            want[name], start = kind, i + 1
+    have = dict(df.dtypes)
+    if bad := {k: (v, have.get(k)) for k, v in want.items() if have.get(k) != v}:
+        raise ContractError(f"{table}: {bad}")
+    return df

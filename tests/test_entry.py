@@ -27,3 +27,12 @@ def test_queries_equal_their_sql(spark, data, name):
     want = [tuple(r[names.index(c)] for c in cols) for r in rel.fetchall()]
     key = lambda r: tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r)
     assert sorted(map(key, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(key, want))
+
+
+def test_tables_keep_their_schemas(spark, data):
+    from pairscope.contracts import SCHEMAS, ContractError, assert_schema
+
+    for name in SCHEMAS:
+        assert_schema(spark.read.parquet(f"{data}/{name}.parquet"), name)
+    with pytest.raises(ContractError):
+        assert_schema(spark.range(1), "prompts")
