@@ -69,10 +69,11 @@ def networks(df: DataFrame, id_column: str, text: str, max_distance: int = 2) ->
     rows = df.select(F.col(id_column).alias("id"), words.alias("_w"))
     pairs = F.flatten(F.array(*[
         F.transform(F.arrays_zip(F.slice("_w", 1, F.greatest(F.size("_w") - d, F.lit(0))).alias("a"), F.slice("_w", d + 1, F.greatest(F.size("_w") - d, F.lit(0))).alias("b")),
-                    lambda x: F.struct(F.least(x["a"], x["b"]).alias("a"), F.greatest(x["a"], x["b"]).alias("b")))
+                    lambda x: F.when(x["a"] != x["b"], F.concat_ws("\x00", F.least(x["a"], x["b"]), F.greatest(x["a"], x["b"]))))
         for d in range(1, max_distance + 1)
     ]))
-    edges = F.size(F.array_distinct(F.filter(pairs, lambda x: x["a"] != x["b"]))).cast("long")
+    # pairs as strings: distinct strings are hashed, distinct structs are compared one by one
+    edges = F.size(F.array_distinct(F.array_compact(pairs))).cast("long")
     nodes = F.size(F.array_distinct("_w")).cast("long")
     out = rows.select("id", nodes.alias("n_nodes"), edges.alias("n_edges"))
     n = F.col("n_nodes")
