@@ -7,8 +7,12 @@
    A document d of cosine >= c to the query q lies in cell j only if c * (c1 - cj).q <= sqrt(1 - c*c) * (cj - c1).u for the
    unit direction u of d across q; over directions that product spreads by |cj - c1| / sqrt(dim), so ``spread`` standard
    deviations of it bound the gap. Near queries visit one cell, queries between cells several; no fixed number of probes.
-4. Score by asymmetric distance tables (query against codewords, summed by code), keep ``rerank`` candidates a query
-   and block, rerank these by the exact cosine, and merge the blocks' best.
+4. Score by asymmetric distance tables (query against codewords, summed by code). A score errs by at most the length of the
+   document's quantisation error, so every document whose score and error reach ``min_cosine`` is reranked by the exact cosine:
+   nothing of a visited cell is lost. The k best ids of a block, ties by id, are merged over the blocks.
+
+Equal vectors are one row: a batch sends a vector once, documents with their k smallest ids (no other id can be among the k
+best), queries with all their ids; a block merges the rows of equal vectors again. So copies fill no places and no task.
 
 A cell with many documents or queries is cut into blocks of bounded size on both sides, so no task holds a whole dense cell.
 Cell sizes come from one aggregate of one row a cell. Each document is shuffled once for each query block of its cell, each query
@@ -103,11 +107,35 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, usable
 
 
-def _search(docs: pa.Table, queries: pa.Table, index: IvfPq, cell: int, k: int, min_cosine: float, rerank: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(raw: list, ids: list[list[str]], least: int | None = None) -> tuple[list[int], list[list[str]]]:
+    """First position and sorted distinct ids (the ``least`` smallest) of each distinct key."""
+    first: dict = {}
+    held: list[set[str]] = []
+    for i, (key, more) in enumerate(zip(raw, ids)):
+        at = first.setdefault(key, (i, len(held)))[1]
+        if at == len(held):
+            held.append(set(more))
+        else:
+            held[at].update(more)
+            if least and len(held[at]) > 64 * least:
+                held[at] = set(sorted(held[at])[:least])
+    return [i for i, _ in first.values()], [sorted(x)[:least] for x in held]
+
+
+def _search(docs: pa.Table, queries: pa.Table, index: IvfPq, cell: int, k: int, min_cosine: float) -> tuple[list[str], list[str], np.ndarray]:
+    """Query ids, document ids and cosines of the k best document ids of each query."""
     dim = index.centroids.shape[1]
+    at, doc_ids = _distinct(docs.column("vec").to_pylist(), docs.column("ids").to_pylist(), k)
+    docs = docs.take(pa.array(at, pa.int64()))
     d = np.frombuffer(b"".join(docs.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)
     codes = np.frombuffer(b"".join(docs.column("code").to_pylist()), dtype=np.uint8).reshape(len(d), -1)
-    q = np.frombuffer(b"".join(queries.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)
+    at, query_ids = _distinct(queries.column("vec").to_pylist(), queries.column("ids").to_pylist())
+    q = np.frombuffer(b"".join(queries.column("vec").take(pa.array(at, pa.int64())).to_pylist()), dtype=np.float32).reshape(-1, dim)
+    names, number = np.unique(np.array([x for ids in doc_ids for x in ids], dtype=object), return_inverse=True)
+    n_ids = np.array([len(x) for x in doc_ids])
+    id_start = np.cumsum(n_ids) - n_ids
+    decoded = index.centroids[cell] + np.concatenate([book[codes[:, m]] for m, book in enumerate(index.codebooks)], axis=1)
+    bar = (min_cosine - 1e-5 - np.linalg.norm(d - decoded, axis=1)).astype(np.float32)
     rows, cols, cosines = [], [], []
     for at in range(0, len(q), 512):
         block = q[at : at + 512]
@@ -115,24 +143,34 @@ def _search(docs: pa.Table, queries: pa.Table, index: IvfPq, cell: int, k: int,
         score = np.repeat((block @ index.centroids[cell])[:, None], len(d), axis=1)
         for m in range(len(tables)):
             score += tables[m].take(codes[:, m], axis=1)
-        keep = min(rerank, len(d))
-        cand = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(d) else np.broadcast_to(np.arange(len(d)), score.shape)
-        near = np.take_along_axis(score, cand, axis=1) >= min_cosine - slack
-        r, c = np.nonzero(near)
-        c = cand[r, c]
-        exact = np.einsum("ij,ij->i", block[r].astype(np.float64), d[c].astype(np.float64))
-        good = exact >= min_cosine
-        rows.append(r[good] + at)
-        cols.append(c[good])
-        cosines.append(exact[good])
+        near = score >= bar
+        if np.count_nonzero(near) * 16 > near.size:  # many are left: one product is cheaper than as many single ones
+            near &= block @ d.T >= np.float32(min_cosine - 1e-5)
+        near_r, near_c = np.nonzero(near)
+        for some in range(0, len(near_r), 65_536):
+            r, c = near_r[some : some + 65_536], near_c[some : some + 65_536]
+            exact = np.einsum("ij,ij->i", block[r].astype(np.float64), d[c].astype(np.float64))
+            good = exact >= min_cosine
+            rows.append(r[good] + at)
+            cols.append(c[good])
+            cosines.append(exact[good])
+    if not rows:
+        return [], [], np.zeros(0)
     r, c, s = map(np.concatenate, (rows, cols, cosines))
-    order = np.lexsort((-s, r))
-    r, c, s = r[order], c[order], s[order]
-    # first of each run, counted over distinct rows further on; repeated documents of a block may fill places, so keep all within k distinct scores
+    rep = np.repeat(np.arange(len(r)), n_ids[c])
+    nth = np.arange(len(rep)) - np.repeat(np.cumsum(n_ids[c]) - n_ids[c], n_ids[c])
+    r, s, who = r[rep], s[rep], number[id_start[c[rep]] + nth]
+    order = np.lexsort((who, -s, r))
+    r, s, who = r[order], s[order], who[order]
+    if len(names) < n_ids.sum():  # an id with several vectors counts with its best
+        once = np.sort(np.unique(r * len(names) + who, return_index=True)[1])
+        r, s, who = r[once], s[once], who[once]
     start = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
-    rank = np.arange(len(r)) - np.maximum.accumulate(np.where(start, np.arange(len(r)), 0)) if len(r) else np.zeros(0, int)
-    top = rank < 4 * k
-    return r[top], c[top], s[top]
+    top = np.arange(len(r)) - np.maximum.accumulate(np.where(start, np.arange(len(r)), 0)) < k
+    r, s, who = r[top], s[top], who[top]
+    copies = np.array([len(x) for x in query_ids])[r]
+    rep = np.repeat(np.arange(len(r)), copies)
+    return [x for i in r for x in query_ids[i]], names[who[rep]].tolist(), s[rep]
 
 
 def top_neighbors(
@@ -146,8 +184,6 @@ def top_neighbors(
     sample_rows: int = 16_384,
     rows_per_list: int = 512,
     spread: float = 0.8,
-    rerank: int = 64,
-    slack: float = 0.55,
     block_rows: int = 8_192,
 ) -> DataFrame:
     """``partition``, ``query_id``, ``document_id``, ``cosine``, ``place`` of the k nearest documents of each query.
@@ -179,7 +215,7 @@ def top_neighbors(
     code_of = {p: i for i, p in enumerate(names)}
     lists = max(len(m.centroids) for m in models.values())
 
-    side = pa.schema([("cell", pa.int64()), ("id", pa.string()), ("vec", pa.binary()), ("code", pa.binary())])
+    side = pa.schema([("cell", pa.int64()), ("ids", pa.list_(pa.string())), ("vec", pa.binary()), ("code", pa.binary())])
 
     def place(column: str, is_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +232,8 @@ def top_neighbors(
                         continue
                     first = code_of[p] * lists
                     raw = [v.tobytes() for v in unit]
+                    at, names_of = _distinct(raw, [[x] for x in ids.take(pa.array(mine)).to_pylist()], None if is_query else k)
+                    unit, raw = unit[at], [raw[i] for i in at]
                     if is_query:
                         probes = model.probes(unit, min_cosine, spread)
                         rep = np.repeat(np.arange(len(unit)), [len(x) for x in probes])
@@ -207,12 +245,12 @@ def top_neighbors(
                         cells = owner + first
                         codes = [c.tobytes() for c in model.encode(unit, owner)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cells, pa.int64()), ids.take(pa.array(mine[rep])), pa.array([raw[i] for i in rep], pa.binary()), pa.array(codes, pa.binary())], schema=side
+                        [pa.array(cells, pa.int64()), pa.array([names_of[i] for i in rep], pa.list_(pa.string())), pa.array([raw[i] for i in rep], pa.binary()), pa.array(codes, pa.binary())], schema=side
                     )
 
         return run
 
-    ddl = "cell long, id string, vec binary, code binary"
+    ddl = "cell long, ids array<string>, vec binary, code binary"
     docs = base.filter(F.col("d").isNotNull()).select("part", "id", "d").mapInArrow(place("d", False), ddl)
     queries = base.filter(F.col("q").isNotNull()).select("part", "id", "q").mapInArrow(place("q", True), ddl)
     # rows of each cell: at most (directions x lists) rows, bounded by the sample. A cell above block_rows is cut on the side that is large.
@@ -220,8 +258,8 @@ def top_neighbors(
     cut = {c: -(-n // block_rows) for c, n in n_docs.items() if n > block_rows}
     blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])[F.col("cell")], F.lit(1)) if cut else F.lit(1)
     q_blocks = 8 if cut else 1  # queries of a cut cell are spread over eight groups, which each get the cell's documents
-    d_salt = F.when(blocks > 1, F.pmod(F.xxhash64("id"), blocks)).otherwise(F.lit(0))
-    q_salt = F.when(blocks > 1, F.pmod(F.xxhash64("id"), F.lit(q_blocks))).otherwise(F.lit(0))
+    d_salt = F.when(blocks > 1, F.pmod(F.xxhash64("vec"), blocks)).otherwise(F.lit(0))  # equal vectors meet in one block
+    q_salt = F.when(blocks > 1, F.pmod(F.xxhash64("ids"), F.lit(q_blocks))).otherwise(F.lit(0))
     if cut:
         docs = docs.withColumn("db", d_salt.cast("int")).withColumn("qb", F.explode(F.when(blocks > 1, F.sequence(F.lit(0), F.lit(q_blocks - 1))).otherwise(F.array(F.lit(0)))))
         queries = queries.withColumn("qb", q_salt.cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
@@ -235,10 +273,8 @@ def top_neighbors(
             return out_schema.empty_table()
         cell = left.column("cell")[0].as_py()
         part = names[cell // lists]
-        r, c, s = _search(left, right, models[part], cell % lists, k, min_cosine, rerank, slack)
-        return pa.table(
-            [pa.array([part] * len(r), pa.string()), right.column("id").take(pa.array(r)).combine_chunks(), left.column("id").take(pa.array(c)).combine_chunks(), pa.array(s)], schema=out_schema
-        )
+        query_ids, doc_ids, s = _search(left, right, models[part], cell % lists, k, min_cosine)
+        return pa.table([pa.array([part] * len(s), pa.string()), pa.array(query_ids, pa.string()), pa.array(doc_ids, pa.string()), pa.array(s)], schema=out_schema)
 
     keys = ["cell", "db", "qb"]
     found = docs.groupBy(*keys).cogroup(queries.drop("code").groupBy(*keys)).applyInArrow(search, schema)

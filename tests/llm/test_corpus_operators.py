@@ -46,6 +46,23 @@ def test_ties_and_empty(spark):
     assert neighbors.top_neighbors(df.limit(0), "id", "part", "q", "d").count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 32])
+def test_copies_take_no_places_of_other_documents(spark, block):
+    line = lambda a: [float(np.cos(a)), float(np.sin(a)), 0.0, 0.0]
+    near = [("x", f"n{i}", line(0.02 * i), line(0.02 * i)) for i in range(1, 6)]
+    rows = [("x", "rep", None, line(0.0))] * 150 + near  # one document, repeated
+    rows += [("y", f"c{i:03d}", line(0.0), line(0.0)) for i in range(200)] + [("y", "z", None, line(0.001))]  # 200 documents of one vector
+    rows += [("w", "many", None, line(0.0001 * i)) for i in range(150)] + [("w", *r[1:]) for r in near]  # one document of many vectors
+    rows += [("x", "q", line(0.0), None), ("y", "q", line(0.0), None), ("w", "q", line(0.0), None)]
+    df = spark.createDataFrame(rows, "part string, id string, q array<float>, d array<float>").repartition(3)
+    got = {}
+    for r in sorted(neighbors.top_neighbors(df, "id", "part", "q", "d", 5, 0.9, block_rows=block).collect(), key=lambda r: r.place):
+        got.setdefault((r.partition, r.query_id), []).append(r.document_id)
+    assert got["x", "q"] == ["rep", "n1", "n2", "n3", "n4"]
+    assert got["w", "q"] == ["many", "n1", "n2", "n3", "n4"]
+    assert all(got["y", q] == [f"c{i:03d}" for i in range(5)] for q in ["q", *(f"c{i:03d}" for i in range(200))])
+
+
 # --- leakage -----------------------------------------------------------------------------------------------------
 
 ITEM = "um carrinho azul descreve o painel regional perto de outro monitor antes que cada sensor semanal bloqueia o extintor verde"
