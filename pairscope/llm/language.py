@@ -14,9 +14,11 @@ The fitted weights (about 100 KB) travel with the task; all rows are labelled, w
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,6 +75,11 @@ MIN_COMPANY = 4
 #: A clause below this confidence is no segment of its own; it follows its neighbours.
 FIRM = 0.92
 
+#: A change of language inside a clause needs this much log-probability, whatever the clause's length, and this many words on each side.
+CHANGE = 12.0
+LEAST_WORDS = 3
+
+_LATIN = {"’": "'", "‘": "'", "ʼ": "'", "′": "'", "œ": "æ", "Œ": "Æ"}
 _CLAUSE = re.compile(r"[^.!?;:,\n\r/|()\[\]{}\"“”«»•–—=]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
@@ -90,8 +97,24 @@ def prepare(text: str) -> str:
     return folded if len(folded) == len(low) else low
 
 
+@lru_cache(maxsize=4096)
+def _latin(char: str) -> str:
+    """One Latin-1 character for any other: apostrophes and letters break no clause, signs do."""
+    if char <= "\xff" or char in _LATIN:
+        return _LATIN.get(char, char)
+    if unicodedata.category(char)[0] not in "LM":
+        return "?"
+    base = unicodedata.normalize("NFKD", char)[0]
+    return base if base <= "\xff" else "\x1a"
+
+
 def _encode(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
+    """A byte a character."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        raw = "".join(map(_latin, text)).encode("latin-1")
+    return np.frombuffer(raw, dtype=np.uint8)
 
 
 def weak_label(clause: str) -> int | None:
@@ -389,10 +412,33 @@ def _shares(scores: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _changes(scores: np.ndarray) -> list[int]:
+    """First words of the second and later parts of the best division of words (words, languages) into parts of one language.
+
+    A part has ``LEAST_WORDS`` words or more, a further part costs ``CHANGE``.
+    """
+    n, m = scores.shape
+    upto = np.r_[np.zeros((1, m)), np.cumsum(scores, axis=0, dtype=np.float64)]
+    ends = np.full((n + 1, m), -np.inf)  # best of the first i words whose last part has this language
+    began = np.zeros((n + 1, m), dtype=np.int64)
+    before = np.full(n + 1, -np.inf)  # best of the first i words, with the cost of a further part
+    before[0] = 0
+    for i in range(LEAST_WORDS, n + 1):
+        on = ends[i - 1] + scores[i - 1]
+        new = before[i - LEAST_WORDS] + upto[i] - upto[i - LEAST_WORDS]
+        ends[i] = np.maximum(on, new)
+        began[i] = np.where(on >= new, began[i - 1], i - LEAST_WORDS)
+        before[i] = ends[i].max() - CHANGE
+    out, i = [], n
+    while (i := int(began[i, ends[i].argmax()])) > 0:
+        out.append(i)
+    return out[::-1]
+
+
 def _segments(flat: np.ndarray, sizes: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, ...]:
     """Segments of the texts whose bytes lie in ``flat`` one after the other.
 
-    Clauses pool their letters; a clause that changes language inside is cut at its best word; clauses that are short or doubtful follow
+    Clauses pool their letters; a clause that changes language inside is cut at its best words, any number of times; clauses that are short or doubtful follow
     their neighbours. A text without any firm clause is one segment, a text without letters none.
     """
     first = np.cumsum(sizes) - sizes
@@ -415,15 +461,18 @@ def _segments(flat: np.ndarray, sizes: np.ndarray, lp: np.ndarray) -> tuple[np.n
     heads = np.flatnonzero(fresh)
     scores, letters, words, begin, end, text = pool(heads)
     cuts = []
-    for c in np.flatnonzero((scores.max(axis=1) < -0.35 * letters) & (words >= 6)):
+    # the best words of all languages bound what cuts can gain
+    heads_of_words = np.flatnonzero(word)
+    gain = np.zeros(len(letters))
+    if len(heads_of_words):
+        best = np.add.reduceat(lp, heads_of_words, axis=0).max(axis=1)
+        upto = np.r_[0, np.cumsum(best, dtype=np.float64)]
+        gain = upto[np.searchsorted(heads_of_words, end)] - upto[np.searchsorted(heads_of_words, begin)] - scores.max(axis=1)
+    for c in np.flatnonzero((gain > CHANGE) & (words >= 2 * LEAST_WORDS)):
         starts = begin[c] + np.flatnonzero(word[begin[c] : end[c]])
-        left = np.cumsum(np.add.reduceat(lp[: end[c]], starts, axis=0), axis=0)
-        split = left[2:-3].max(axis=1) + (left[-1] - left[2:-3]).max(axis=1)
-        k = int(split.argmax())
-        if split[k] - scores[c].max() > 12:
-            cuts.append(starts[k + 3])
+        cuts.extend(starts[_changes(np.add.reduceat(lp[: end[c]], starts, axis=0))])
     if cuts:
-        scores, letters, words, begin, end, text = pool(np.sort(np.concatenate([heads, cuts])))
+        scores, letters, words, begin, end, text = pool(np.unique(np.concatenate([heads, cuts])))
     if not len(text):
         return tuple(np.zeros(0, t) for t in (int, int, int, int, float))
     share = _shares(scores, letters)

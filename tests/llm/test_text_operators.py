@@ -165,6 +165,25 @@ def test_mixed_text_has_both_languages_in_order(net):
     assert [language.LANGS[x] for x in lang] == ["pt", "en"] and stop[0] <= start[1] and (sure > 0.5).all()
 
 
+def test_any_number_of_changes_without_punctuation(net):
+    pt = "o chefe não responde nunca desde o mês passado e a nossa equipe precisa de ajuda todas as manhãs "
+    for times in (1, 4, 16):
+        t = language.prepare(pt * times + "the board never answers because of the rain every morning " + pt * times + "our team needs help for two years")
+        _, start, _, lang, _ = language.label_texts(net, [t])
+        assert [language.LANGS[x] for x in lang] == ["pt", "en", "pt", "en"]
+        assert abs(start[1] - t.index("the board")) <= 12
+    assert language._changes(np.log(np.full((8, 4), 0.25))) == []
+
+
+def test_apostrophes_and_ligatures_break_no_clause(net):
+    t = "l’usine n’a pas d’œuvre à l’équipe et l’ambiance d’ici n’est pas bonne"
+    raw = language._encode(t)
+    assert len(raw) == len(t) and not language._BREAKS[raw].any() and not (raw == ord("?")).any()
+    assert bytes(language._encode("“não” – ок ł")) == "?não? ? \x1a\x1a \x1a".encode("latin-1")
+    _, start, stop, lang, _ = language.label_texts(net, [t, t.replace("’", "'")])
+    assert [language.LANGS[x] for x in lang] == ["fr", "fr"] and start[0] == start[1] == 0 and stop[0] == stop[1]
+
+
 def test_language_columns(spark, net):
     rows = [("a", "o chefe não responde nunca há dois anos", None, 9, None), ("b", "", "...", 9, 9), ("b", "", "...", 9, 9), ("c", LONG, "le chef ne répond jamais depuis deux ans", 9, 9)]
     df = spark.createDataFrame(rows, "pair_id string, s string, t string, n int, lang int")
