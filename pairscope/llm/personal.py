@@ -5,13 +5,15 @@ character keeps its place) finds anchors: at-signs and their spellings, link sch
 addresses and names, given names and surname stems. Deterministic local parsers then grow each anchor to its boundaries
 and validate it: an e-mail needs a local part and a dotted domain, a number needs the shape of its kind or a cue close
 before it and no cue of a ticket, protocol, batch or room, an address needs a street cue and a number, a name needs a
-known given name, a surname, or a name cue with capitalised words. Overlaps are settled in the order e-mail, address,
+known given name, a surname, or a name cue with capitalised words (a title also with a common surname). Overlaps are settled in the order e-mail, address,
 identity number, phone, name, so that names inside e-mails and streets are none.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
@@ -57,6 +59,16 @@ NAME_CUES = (
 )
 # What follows a person's name directly.
 NAME_AFTER = re.compile(r"\s(?:sabe do que|knows what|quem mudou|who changed|pediu demissao|resigned|ninguem descansa|nobody rests|no meu lugar|instead of me)")
+# The cues among them that are a title; a surname may follow in any spelling.
+TITLES = ("sr. ", "sra. ", "dona ", "senhor ", "senhora ", "mr. ", "mrs. ", "ms. ")
+# Capitalised words after a cue that are no name.
+NO_NAME = set(
+    "segunda terca quarta quinta sexta sabado domingo monday tuesday wednesday thursday friday saturday sunday janeiro fevereiro marco abril maio junho julho agosto setembro "
+    "outubro novembro dezembro january february march april may june july august september october november december natal christmas deus god jesus senhor lord brasil brazil "
+    "recursos humanos human resources diretoria gerencia gestao financeiro comercial compras producao logistica juridico manutencao qualidade engenharia administracao seguranca "
+    "saude management department maintenance quality finance legal security sales logistics board team equipe empresa company portugues ingles espanhol portuguese english spanish "
+    "nao no not que quem the this that uma um eu ele ela you they we he she it nosso nossa meu minha our my todos all everyone".split()
+)
 # Words before a proper name that is no person's.
 NO_PERSON = set("projeto project espaco space instituto institute escola school hospital sala room predio building praca square programa program campanha campaign rua avenida av travessa estrada unidade unit bairro vila parque jardim setor edificio auditorio sistema".split())
 
@@ -94,15 +106,24 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\W\d_][\w'’-]*\.?")
 
 
-@lru_cache(1)
-def _surnames() -> frozenset[str]:
-    return frozenset(a + b for a in SURNAME_START for b in SURNAME_END)
+@dataclass(frozen=True)
+class Names:
+    """Folded word lists of names: given names, surnames, surnames that only extend a name or follow a title, cues."""
+
+    given: frozenset[str] = frozenset(GIVEN)
+    surnames: frozenset[str] = frozenset(a + b for a in SURNAME_START for b in SURNAME_END)
+    common: frozenset[str] = frozenset(SURNAME_COMMON)
+    cues: tuple[str, ...] = NAME_CUES
+    titles: tuple[str, ...] = TITLES
+
+
+NAMES = Names()
 
 
-@lru_cache(1)
-def _automaton():
+@lru_cache(4)
+def _automaton(names: Names):
     auto = ahocorasick.Automaton()
-    groups = (("mail", MAIL_CUES), ("street", STREET_CUES), ("id", ID_CUES), ("phone", PHONE_CUES), ("other", OTHER_CUES), ("cue", NAME_CUES), ("given", GIVEN), ("surname", _surnames()))
+    groups = (("mail", MAIL_CUES), ("street", STREET_CUES), ("id", ID_CUES), ("phone", PHONE_CUES), ("other", OTHER_CUES), ("cue", names.cues), ("title", names.titles), ("given", names.given), ("surname", names.surnames))
     entries: dict[str, list] = {}
     for kind, words in groups:
         for w in words:
@@ -125,7 +146,7 @@ def _letter(text: str, at: int) -> bool:
     return 0 <= at < len(text) and text[at].isalnum()
 
 
-def detect(text: str | None) -> list[tuple[int, int, str]]:
+def detect(text: str | None, names: Names = NAMES) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of the text's details, in order, without overlap. None and empty text have none."""
     if not text:
         return []
@@ -133,7 +154,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     low = fold(raw)
     found: dict[str, list[int]] = {}
     ends: dict[str, list[int]] = {}
-    for end, entry in _automaton().iter(low):
+    for end, entry in _automaton(names).iter(low):
         for kind, size in entry:
             start = end - size + 1
             first, last = low[start], low[end]
@@ -149,8 +170,8 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         spans += _addresses(low, found["street"], ends["street"], spans)
     if digits >= 7:
         spans += _numbers(low, found, ends, spans)
-    if "given" in found or "surname" in found or "cue" in found and NAME_AFTER.search(low):
-        spans += _names(raw, low, found, ends, spans)
+    if not found.keys().isdisjoint(("given", "surname", "cue", "title")):
+        spans += _names(raw, low, found, ends, spans, names)
     spans.sort()
     if places is not None:
         spans = [(places[a], places[b] if b < len(places) else len(text), k) for a, b, k in spans]
@@ -228,31 +249,37 @@ def _numbers(low, found, ends, taken):
     return out
 
 
-def _is_surname(word: str) -> bool:
-    return word in _surnames() or word in SURNAME_COMMON
-
-
-def _names(raw, low, found, ends, taken):
+def _names(raw, low, found, ends, taken, lists):
     out: list[tuple[int, int, str]] = []
     tokens = list(_TOKEN.finditer(low))
     at = {t.start(): i for i, t in enumerate(tokens)}
-    cue_ends = set(ends.get("cue", ()))
+    title_ends = set(ends.get("title", ()))
+    cue_ends = title_ends | set(ends.get("cue", ()))
     letters = [c for c in raw if c.isalpha()]
-    mixed = 0.02 < sum(c.isupper() for c in letters) / max(len(letters), 1) < 0.2  # capitals mean something here
-    surnames = _surnames()
+    capitals = sum(c.isupper() for c in letters) / max(len(letters), 1)
+    mixed = 0.02 < capitals < 0.2  # capitals mean something here
+    surnames = lists.surnames
 
     def word(i: int) -> str:
         return tokens[i].group().rstrip(".")
 
+    def is_surname(w: str) -> bool:
+        return w in surnames or w in lists.common
+
+    def proper(i: int) -> bool:
+        a, b = tokens[i].span()
+        w = word(i)
+        return raw[a].isupper() and len(w) >= 3 and not raw[a:b].isupper() and w not in NO_PERSON and w not in NO_NAME
+
     def adjacent(i: int, gap: str = " ") -> bool:
         return i + 1 < len(tokens) and low[tokens[i].end() : tokens[i + 1].start()] in (gap, gap + " ")
 
-    def grow(i: int) -> int:
+    def grow(i: int, more: Callable[[int], bool] = lambda i: is_surname(word(i))) -> int:
         """Last token of the name that begins at token i."""
         while adjacent(i) and not low[tokens[i].start() : tokens[i].end()].endswith("."):
-            if _is_surname(word(i + 1)):
+            if more(i + 1):
                 i += 1
-            elif word(i + 1) in ("de", "da", "do", "dos", "das") and adjacent(i + 1) and i + 2 < len(tokens) and _is_surname(word(i + 2)):
+            elif word(i + 1) in ("de", "da", "do", "dos", "das") and adjacent(i + 1) and i + 2 < len(tokens) and more(i + 2):
                 i += 2
             else:
                 break
@@ -280,52 +307,60 @@ def _names(raw, low, found, ends, taken):
                 first = i - 1  # an initial
             elif i > 1 and word(i - 1) in ("de", "da", "do") and re.fullmatch(r"[a-z]\.", tokens[i - 2].group()):
                 first = i - 2
-            if low[tokens[j].end() : tokens[j].end() + 2] == ", " and j + 1 < len(tokens) and word(j + 1) in GIVEN:
+            if low[tokens[j].end() : tokens[j].end() + 2] == ", " and j + 1 < len(tokens) and word(j + 1) in lists.given:
                 j += 1  # surname, given name
         elif j == i and w in AMBIGUOUS:
             cued = s in cue_ends or any(s - 1 == e for e in cue_ends) or NAME_AFTER.match(low, tokens[i].end())
             if not cued and not (mixed and raw[s].isupper() and i and low[s - 2 : s - 1] not in ".!?"):
                 continue
         add(first, j)
-    if mixed:  # a cue and capitalised words: names that no list knows
-        for e in sorted(cue_ends):
-            s = e + (low[e : e + 1] == " ")
-            i = at.get(s)
-            if i is None or not raw[s].isupper() or len(word(i)) < 3 or word(i) in NO_PERSON or not NAME_AFTER.match(low, tokens[i].end()):
-                continue
-            add(i, i)
+    headline = len(tokens) >= 8 and sum(raw[t.start()].isupper() for t in tokens) > 0.6 * len(tokens)  # every word has a capital
+    # a cue and capitalised words, or a title and a surname: names that no list of given names knows
+    for e in sorted(cue_ends):
+        i = at.get(e + (low[e : e + 1] == " "))
+        if i is None:
+            continue
+        title = e in title_ends
+        if capitals < 0.5 and proper(i) and (title or not headline):
+            add(i, grow(i, lambda k: is_surname(word(k)) or proper(k)))
+        elif title and is_surname(word(i)):
+            add(i, grow(i))
     return out
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, names: Names = NAMES) -> str | None:
     """The text with every detail replaced by ``[KIND]``; everything else unchanged."""
     if text is None:
         return None
     out, last = [], 0
-    for a, b, kind in detect(text):
+    for a, b, kind in detect(text, names):
         out += [text[last:a], PLACEHOLDER[kind]]
         last = b
     return "".join([*out, text[last:]])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _kinds_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted({k for _, _, k in detect(t)}) if isinstance(t, str) else [])
+def _kinds_udf(names: Names):
+    def kinds(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted({k for _, _, k in detect(t, names)}) if isinstance(t, str) else [])
 
+    return F.pandas_udf(kinds, T.ArrayType(T.StringType()))
 
-@F.pandas_udf(T.StructType([T.StructField("redacted", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))]))
-def _redact_udf(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        if not isinstance(t, str):
-            rows.append((None, []))
-            continue
-        spans, out, last = detect(t), [], 0
-        for a, b, kind in spans:
-            out += [t[last:a], PLACEHOLDER[kind]]
-            last = b
-        rows.append(("".join([*out, t[last:]]) if spans else t, sorted(k for _, _, k in spans)))
-    return pd.DataFrame(rows, columns=["redacted", "kinds"])
+
+def _redact_udf(names: Names):
+    def redacted(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            if not isinstance(t, str):
+                rows.append((None, []))
+                continue
+            spans, out, last = detect(t, names), [], 0
+            for a, b, kind in spans:
+                out += [t[last:a], PLACEHOLDER[kind]]
+                last = b
+            rows.append(("".join([*out, t[last:]]) if spans else t, sorted(k for _, _, k in spans)))
+        return pd.DataFrame(rows, columns=["redacted", "kinds"])
+
+    return F.pandas_udf(redacted, T.StructType([T.StructField("redacted", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))]))
 
 
 def _values(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
@@ -333,16 +368,16 @@ def _values(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
     return df.select(F.col(id_column), F.explode(pairs).alias("_v")).select(id_column, "_v.field", "_v.text")
 
 
-def redact_fields(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
+def redact_fields(df: DataFrame, id_column: str, fields: list[str], names: Names = NAMES) -> DataFrame:
     """``id``, ``field``, ``redacted`` and ``kinds`` (one entry a detail) of every value.
 
     One Arrow pass where the rows are, no shuffle, whole texts. Null texts stay null with no kinds, empty texts stay empty,
     repeated rows stay repeated; other columns are not read, so their names cannot clash.
     """
-    return _values(df, id_column, fields).withColumn("_r", _redact_udf("text")).select(id_column, "field", "_r.redacted", "_r.kinds")
+    return _values(df, id_column, fields).withColumn("_r", _redact_udf(names)("text")).select(id_column, "field", "_r.redacted", "_r.kinds")
 
 
-def found_kinds(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
+def found_kinds(df: DataFrame, id_column: str, fields: list[str], names: Names = NAMES) -> DataFrame:
     """Distinct (id, field, kind) for every kind of detail that a value holds."""
     rows = _values(df, id_column, fields).filter(F.col("text").isNotNull())
-    return rows.select(id_column, "field", F.explode(_kinds_udf("text")).alias("kind")).distinct()
+    return rows.select(id_column, "field", F.explode(_kinds_udf(names)("text")).alias("kind")).distinct()

@@ -77,6 +77,23 @@ def test_redaction(text, redacted):
     assert personal.redact(text) == (text if redacted is None else redacted)
 
 
+@pytest.mark.parametrize("text, redacted", [
+    ("Meu nome é Kleber", "Meu nome é [NAME]"), ("my name is Kleber.", "my name is [NAME]."), ("Sra. Oliveira", "Sra. [NAME]"), ("falar com a sra. oliveira amanhã", "falar com a sra. [NAME] amanhã"),
+    ("Falem com Kleber Aguiar no meu lugar", "Falem com [NAME] no meu lugar"), ("o colega Kleber de Aguiar ajudou bastante", "o colega [NAME] ajudou bastante"),
+    ("Falem com o RH", None), ("falem com Recursos Humanos hoje", None), ("foi Sexta", None), ("a dona da oliveira", None), ("Eu Gosto De Abrir O Que Foi Prometido Na Reunião", None),
+])
+def test_cued_names_that_no_list_knows(text, redacted):
+    assert personal.redact(text) == (text if redacted is None else redacted)
+
+
+def test_name_lists_are_arguments(spark):
+    names = personal.Names(given=frozenset({"kleberson"}))
+    assert personal.redact("hoje Kleberson e Marina saem", names) == "hoje [NAME] e Marina saem"
+    df = spark.createDataFrame([("a", "hoje Kleberson saiu cedo")], "pair_id string, s string")
+    assert personal.found_kinds(df, "pair_id", ["s"]).count() == 0 and personal.found_kinds(df, "pair_id", ["s"], names).count() == 1
+    assert personal.redact_fields(df, "pair_id", ["s"], names).first().redacted == "hoje [NAME] saiu cedo"
+
+
 def test_names_inside_mails_and_streets_are_none():
     kinds = {k for _, _, k in personal.detect("Write to marina.silva@example.org; Rua Benedita Lopes, 12")}
     assert kinds == {"email", "address"}
