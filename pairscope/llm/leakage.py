@@ -5,7 +5,9 @@ Method: CGK random-walk embedding. Texts are folded to words (case, accents, pun
 moves on or stays by a bit of step and word. The embedding maps few edits to a small Hamming distance, so windows within
 ``max_edits`` word edits agree in most places. ``tables`` bit-sampling tables hash sampled places of the walk; their number
 is set by ``tables_for`` so that a window at the distance limit is met with the target recall. Equal windows collide in every
-table. Every candidate is verified by its exact edit distance.
+table. Where ``max_edits + 1`` parts of a window have ``LEAST_PART`` words or more, these are looked up instead: that many edits
+leave one part as it is, so none is missed, and words put in or left out only shift it. Every candidate is verified by the exact
+edit distance of the item's window to the best stretch of the document around the hit, of whatever length.
 
 Items are a stated query set: their windows travel with the task, in blocks of at most ``BLOCK_WINDOWS`` windows (about 20 MB);
 a larger set makes more passes over the corpus, never a larger broadcast. Documents are read once a pass, where they are, whole;
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 BLOCK_WINDOWS = 200_000
 SAMPLED = 5  # places of the walk that a table hashes
+LEAST_PART = 3  # words
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,20 +81,31 @@ def embed_keys(tokens: np.ndarray, tables: int, seed: int = 29) -> np.ndarray:
     return keys
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Word edits between two windows; ``limit + 1`` if there are more."""
+def part_keys(tokens: np.ndarray) -> np.ndarray:
+    """(1, n) keys of runs of words (n, w): all their words, hashed."""
+    keys = np.zeros((1, len(tokens)), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for token in tokens.T:
+            keys = (keys ^ token) * _ODD
+            keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, limit: int, free: bool = False) -> int:
+    """Word edits between two windows, with ``free`` between a and the nearest stretch of b; ``limit + 1`` if there are more."""
     if np.array_equal(a, b):
         return 0
-    if limit == 0:
+    if limit == 0 and not free:
         return 1
-    row = list(range(len(b) + 1))
+    a, b = a.tolist(), b.tolist()
+    row = [0] * (len(b) + 1) if free else list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         if min(row) > limit:
             return limit + 1
-    return row[-1]
+    return min(row) if free else row[-1]
 
 
 def _windows(flat: np.ndarray, sizes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +122,9 @@ def leaked(
     window: int = 10, max_edits: int = 0, recall: float = 0.95,
 ) -> DataFrame:
     """Distinct ``doc_id``, ``item_id`` with ``n_windows`` (matching windows) and ``edits`` (fewest) for every document that
-    holds ``window`` words of an item within ``max_edits`` word edits.
+    holds ``window`` words of an item within ``max_edits`` word edits (put in, left out or replaced).
 
-    Null ids or texts take no part; items and documents shorter than the window have no match; an empty item set or corpus gives
+    Null ids or texts take no part; items shorter than the window have no match, nor have documents shorter by more than ``max_edits``; an empty item set or corpus gives
     an empty result. Repeated documents report once. Documents of any length are read whole. Columns of other names are not read.
     """
     spark = documents.sparkSession
@@ -122,36 +136,53 @@ def leaked(
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).dropna()
     out_schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("edits", pa.int32())])
 
+    bounds = [round(window * j / (max_edits + 1)) for j in range(max_edits + 2)]
+    by_parts = max_edits > 0 and window // (max_edits + 1) >= LEAST_PART
+    # where a lookup's words begin in the window, how many they are, and their keys
+    lookups = [(a, b - a, part_keys) for a, b in zip(bounds, bounds[1:])] if by_parts else [(0, window, lambda x: embed_keys(x, tables))]
+
     def search(block: np.ndarray, owners: np.ndarray) -> DataFrame:
-        keys = embed_keys(block, tables)
-        order = np.argsort(keys, axis=1, kind="stable")
-        ordered = np.take_along_axis(keys, order, axis=1)
+        held = []
+        for offset, length, keys_of in lookups:
+            keys = keys_of(block[:, offset : offset + length])
+            order = np.argsort(keys, axis=1, kind="stable")
+            held.append((offset, length, keys_of, np.take_along_axis(keys, order, axis=1), order))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 split = [words(t) for t in batch.column("text").to_pylist()]
                 flat = hash_words([w for s in split for w in s])
-                starts, owner = _windows(flat, np.array([len(s) for s in split]), window)
+                sizes = np.array([len(s) for s in split], dtype=np.int64)
+                end = np.cumsum(sizes)
+                met: set[tuple[int, int, int]] = set()  # document, item window, where the window would begin
+                for offset, length, keys_of, ordered, order in held:
+                    starts, owner = _windows(flat, sizes, length)
+                    for at in range(0, len(starts), 100_000):
+                        first = starts[at : at + 100_000]
+                        own = keys_of(flat[first[:, None] + np.arange(length)])
+                        for t in range(len(own)):
+                            low = np.searchsorted(ordered[t], own[t], "left")
+                            hit = np.flatnonzero(ordered[t][np.minimum(low, len(block) - 1)] == own[t])
+                            for i in hit:
+                                k = low[i]
+                                while k < len(block) and ordered[t][k] == own[t][i]:
+                                    met.add((int(owner[at + i]), int(order[t][k]), int(first[i]) - offset))
+                                    k += 1
                 best: dict[tuple[int, int], list[int]] = {}
-                for at in range(0, len(starts), 100_000):
-                    first = starts[at : at + 100_000]
-                    mine = flat[first[:, None] + np.arange(window)]
-                    own = embed_keys(mine, tables)
-                    met: set[tuple[int, int]] = set()
-                    for t in range(tables):
-                        low = np.searchsorted(ordered[t], own[t], "left")
-                        hit = np.flatnonzero(ordered[t][np.minimum(low, len(block) - 1)] == own[t])
-                        for i in hit:
-                            k = low[i]
-                            while k < len(block) and ordered[t][k] == own[t][i]:
-                                met.add((int(i), int(order[t][k])))
-                                k += 1
-                    for i, k in met:
-                        edits = edit_distance(mine[i], block[k], max_edits)
-                        if edits <= max_edits:
-                            got = best.setdefault((int(owner[at + i]), int(owners[k])), [0, edits])
-                            got[0] += 1
-                            got[1] = min(got[1], edits)
+                before = (-1, -1, 0)
+                for i, k, place in sorted(met):
+                    begin, stop = int(end[i] - sizes[i]), int(end[i])
+                    if place >= begin and place + window <= stop and np.array_equal(flat[place : place + window], block[k]):
+                        edits = 0
+                    elif max_edits:
+                        edits = edit_distance(block[k], flat[max(begin, place - max_edits) : min(stop, place + window + max_edits)], max_edits, True)
+                    else:
+                        continue
+                    if edits <= max_edits:
+                        got = best.setdefault((i, int(owners[k])), [0, edits])
+                        got[0] += (i, k) != before[:2] or place > before[2] + max_edits  # the same stretch counts once
+                        got[1] = min(got[1], edits)
+                        before = (i, k, place)
                 if best:
                     place = [p for p, _ in best]
                     yield pa.RecordBatch.from_arrays(

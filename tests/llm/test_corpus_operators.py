@@ -97,6 +97,22 @@ def test_edits_are_found_with_the_target_recall(spark):
     assert set(got.values()) == {1}
 
 
+def test_words_put_in_or_left_out_are_edits(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"palavra{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary, 12))) for i in range(66)]
+    docs = []
+    for i, text in items:
+        w, p = text.split(), 1 + i % 11
+        w = [*w[:p], "outra", *w[p:]] if i % 2 else [*w[: min(p, 10)], *w[min(p, 10) + 1 :]]
+        around = [*rng.choice(vocabulary, 30)]
+        docs.append((i, " ".join([*around, *w, *around]), 0))
+        docs.append((1000 + i, " ".join([*around, *w[:5], "mais", "duas", *w[6:], *around]), 0))  # too many edits
+    docs.append((999, " ".join(items[0][1].split()[:5] + items[0][1].split()[6:]), 0))  # eleven words are the whole document
+    got = _leaks(spark, docs, items, window=12, max_edits=1)
+    assert got == {**{(i, i): 1 for i in range(66)}, (999, 0): 1}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = [(i, f"{ITEM} numero {i}") for i in range(6)]
     docs = [(i, items[i][1], 0) for i in range(6)]
