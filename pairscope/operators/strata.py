@@ -31,9 +31,14 @@ def with_one_per_response(df: DataFrame) -> DataFrame:
     return one.withColumn("stratum_type", F.lit("subset")).withColumn("stratum_value", F.lit("one_per_pt_response"))
 
 
+def all_strata(df: DataFrame) -> DataFrame:
+    """Rows of every stratum, that of one row for each response included."""
+    return with_strata(df).unionByName(with_one_per_response(df))
+
+
 def stratum_means(df: DataFrame, metrics: list[str], cluster: str = "participant_id") -> DataFrame:
     """Long summary: stratum, metric, rows, clusters, mean over non-null values. Strata without rows are absent."""
-    sown = with_strata(df).unionByName(with_one_per_response(df))
+    sown = all_strata(df)
     aggs = [F.avg(F.col(m).cast("double")).alias(m) for m in metrics]
     wide = sown.groupBy("stratum_type", "stratum_value").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct(cluster).alias("n_participants"), *aggs)
     return wide.unpivot(["stratum_type", "stratum_value", "n_pairs", "n_participants"], metrics, "metric", "estimate").filter(F.col("estimate").isNotNull())

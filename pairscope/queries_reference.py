@@ -399,18 +399,21 @@ def bootstrap_ci_hash(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.round("estimate", 8).alias("estimate"), "n_clusters", F.round("ci_lower", 8).alias("ci_lower"), F.round("ci_upper", 8).alias("ci_upper"))
 
 
+REPETITIONS = 2_000
+
+
 @query()
 def bootstrap_ci_numpy(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of every stratum with seeded multinomial draws; universe: all participants."""
-    df = strata.with_strata(_pairs(spark, d)).select("stratum_type", "stratum_value", "participant_id", "pt_word_count", "en_word_count")
-    return resampling.intervals_numpy(df, ["stratum_type", "stratum_value"], "participant_id", ["pt_word_count", "en_word_count"], 400, 20260820, universe=_pairs(spark, d))
+    df = strata.all_strata(_pairs(spark, d)).select("stratum_type", "stratum_value", "participant_id", "pt_word_count", "en_word_count")
+    return resampling.intervals_numpy(df, ["stratum_type", "stratum_value"], "participant_id", ["pt_word_count", "en_word_count"], REPETITIONS, 20260820, universe=_pairs(spark, d))
 
 
 @query()
 def bootstrap_ci_poisson(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of every stratum with hashed Poisson weights, for universes of any size."""
-    df = strata.with_strata(_pairs(spark, d)).select("stratum_type", "stratum_value", "participant_id", "pt_word_count", "en_word_count")
-    return resampling.intervals_poisson(df, ["stratum_type", "stratum_value"], "participant_id", ["pt_word_count", "en_word_count"], 400, 20260820)
+    df = strata.all_strata(_pairs(spark, d)).select("stratum_type", "stratum_value", "participant_id", "pt_word_count", "en_word_count")
+    return resampling.intervals_poisson(df, ["stratum_type", "stratum_value"], "participant_id", ["pt_word_count", "en_word_count"], REPETITIONS, 20260820)
 
 
 # --- affect -------------------------------------------------------------------------------------------------------
@@ -569,7 +572,7 @@ def language_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def language_coverage_intervals(spark: SparkSession, d: str) -> DataFrame:
     """The same with bootstrap intervals."""
-    return sensitivity.flag_intervals(_verified(spark, d), list(_FLAG_SQL), 200, 20260820)
+    return sensitivity.flag_intervals(_verified(spark, d), list(_FLAG_SQL), REPETITIONS, 20260820)
 
 
 @query(f"""WITH {_LV}, u AS (SELECT count(DISTINCT participant_id) AS n_universe FROM j), k AS (SELECT * FROM j WHERE pm AND em) """ + " UNION ALL ".join(

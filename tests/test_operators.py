@@ -179,3 +179,17 @@ def test_contracts(spark):
     assert contracts.frames_differ(df, df.unionAll(df.limit(1))).count() == 1
     assert contracts.null_audit(df).first().total == 1
     json.dumps(contracts.audit(df).columns)
+
+
+def test_intervals_cover_every_stratum_with_the_stated_repetitions(spark, data, monkeypatch):
+    import inspect
+
+    from pairscope import queries_reference as q
+
+    assert q.REPETITIONS == 2_000
+    assert all("REPETITIONS" in inspect.getsource(q.QUERIES[n]) for n in ("bootstrap_ci_numpy", "bootstrap_ci_poisson", "language_coverage_intervals"))
+    monkeypatch.setattr(q, "REPETITIONS", 20)
+    want = {(r.stratum_type, r.stratum_value) for r in q.QUERIES["strata_means"](spark, data).select("stratum_type", "stratum_value").distinct().collect()}
+    assert ("subset", "one_per_pt_response") in want
+    for name in ("bootstrap_ci_numpy", "bootstrap_ci_poisson"):
+        assert {(r.stratum_type, r.stratum_value) for r in q.QUERIES[name](spark, data).collect()} == want
