@@ -1,7 +1,7 @@
 """Incremental ingestion with Structured Streaming: new files of a landing folder are curated as they come.
 
-The batch operators are the reference semantics; these runs give the same tables file by file. State is bounded by the watermark on the
-ingestion time: records that come later than it are kept apart in the caller's late table by the batch audit, not dropped silently.
+The batch operators are the reference semantics; these runs give the same tables file by file. Records come in any order, years late
+included, so there is no watermark and nothing is dropped as late. The state is one entry for each distinct key or window and group.
 """
 
 from __future__ import annotations
@@ -19,17 +19,23 @@ def read_landing(spark: SparkSession, folder: str, schema: T.StructType, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def curate(stream: DataFrame, text: str, event_time: str | None = None, key: list[str] | None = None, watermark: str = "45 days") -> DataFrame:
-    """Normalised text and token count; with a key, repeated records within the watermark come through once."""
+def curate(stream: DataFrame, text: str, event_time: str | None = None, key: list[str] | None = None) -> DataFrame:
+    """Normalised text and token count; with a key, repeated records come through once, however late.
+
+    ``event_time`` is accepted for callers that name it; it bounds nothing.
+    """
     out = stream.withColumn("normalized", normalize_for_qc(F.col(text))).withColumn("word_count", token_count(F.col("normalized")))
-    return out.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(key) if event_time and key else out
+    return out.dropDuplicates(key) if key else out
 
 
-def counts_by_window(stream: DataFrame, event_time: str, group: str, width: str = "7 days", watermark: str = "45 days") -> DataFrame:
-    """Records of each group by tumbling window; a window is final once the watermark has passed it."""
-    return stream.withWatermark(event_time, watermark).groupBy(F.window(event_time, width), group).agg(F.count(F.lit(1)).alias("n_records"))
+def counts_by_window(stream: DataFrame, event_time: str, group: str, width: str = "7 days") -> DataFrame:
+    """Records of each group by tumbling window, late ones too; to be run in mode ``complete``."""
+    return stream.groupBy(F.window(event_time, width), group).agg(F.count(F.lit(1)).alias("n_records"))
 
 
 def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is there and stop; a later call goes on from the checkpoint."""
-    return df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    """Process what is there and stop; a later call goes on from the checkpoint. Mode ``complete`` replaces the target by the whole result."""
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "complete":
+        return writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).start()
+    return writer.format("parquet").start(target)

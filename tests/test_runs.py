@@ -101,3 +101,16 @@ def test_stream_curates_each_record_once_and_goes_on(spark, tmp_path):
     ingest.run_available(stream(), out, check).awaitTermination()
     got = sorted((r.rec, r.normalized, r.word_count) for r in spark.read.parquet(out).collect())
     assert [g[0] for g in got] == ["r1", "r2", "r3"] and got[0][1:] == ("A b", 2)
+
+
+def test_stream_drops_no_late_record(spark, tmp_path):
+    landing = str(tmp_path / "in")
+    schema = "rec string, text string, g string, at timestamp"
+    curated = lambda: ingest.curate(ingest.read_landing(spark, landing, spark.createDataFrame([], schema).schema), "text", "at", ["rec"])
+    counted = lambda: ingest.counts_by_window(ingest.read_landing(spark, landing, spark.createDataFrame([], schema).schema, 1), "at", "g")
+    for rec, at in (("r1", "2024-06-01"), ("r2", "2024-06-02"), ("r3", "2021-01-01"), ("r1", "2020-01-01")):
+        spark.createDataFrame([(rec, "a", "x", at)], "rec string, text string, g string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(landing)
+        ingest.run_available(curated(), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
+    assert sorted(r.rec for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["r1", "r2", "r3"]
+    ingest.run_available(counted(), str(tmp_path / "counts"), str(tmp_path / "c2"), "complete").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "counts")).agg(F.sum("n_records")).first()[0] == 4
