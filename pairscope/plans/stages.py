@@ -18,8 +18,8 @@ PLAN = {
     "compute_embeddings": ({"embeddings": ("synthetic_embeddings", ["pair_id", "direction"])}, ("validate_languages",)),
     "estimate_translation_quality": ({"quality": ("synthetic_quality", ["pair_id"])}, ("validate_languages",)),
     "compute_emotion_features": ({"profiles": ("lexicon_profiles", ["id"])}, ("validate_languages",)),
-    "analyze": ({"retrieval": ("retrieval_ranks", ["pair_id", "direction"]), "strata": ("strata_means", ["stratum_type", "stratum_value", "metric"])}, ("compute_embeddings", "estimate_translation_quality", "compute_emotion_features")),
-    "sensitivity_analysis": ({"coverage": ("language_coverage", ["stratum_type", "stratum_value", "flag"]), "matched": ("language_matched_means", ["metric"]), "dedup": ("retrieval_dedup_ranks", ["pair_id", "direction"])}, ("analyze", "validate_languages")),
+    "analyze": ({"retrieval": ("retrieval_ranks", ["pair_id", "direction"]), "strata": ("strata_means", ["stratum_type", "stratum_value", "metric"]), "dataset": ("analysis_dataset", None), "intervals": ("bootstrap_ci_numpy", ["stratum_type", "stratum_value", "metric"]), "ridge": ("ridge_tuned", None)}, ("compute_embeddings", "estimate_translation_quality", "compute_emotion_features")),
+    "sensitivity_analysis": ({"coverage": ("language_coverage", ["stratum_type", "stratum_value", "flag"]), "matched": ("language_matched_means", ["metric"]), "dedup": ("retrieval_dedup_ranks", ["pair_id", "direction"]), "coverage_intervals": ("language_coverage_intervals", ["stratum_type", "stratum_value", "metric"]), "length_recall": ("length_stratified_recall", ["band", "direction"]), "encoder_differences": ("encoder_differences", ["pair_id", "direction"]), "candidates": ("candidate_counts", ["direction"]), "acceptance": ("acceptance_counts", None)}, ("analyze", "validate_languages")),
 }
 REPORTS = frozenset({"strata", "coverage", "matched"})
 

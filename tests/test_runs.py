@@ -114,3 +114,9 @@ def test_stream_drops_no_late_record(spark, tmp_path):
     assert sorted(r.rec for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["r1", "r2", "r3"]
     ingest.run_available(counted(), str(tmp_path / "counts"), str(tmp_path / "c2"), "complete").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "counts")).agg(F.sum("n_records")).first()[0] == 4
+
+
+def test_stages_write_the_outputs_that_queries_have():
+    named = {stage: {query for query, _ in tables.values()} for stage, (tables, _) in stages.PLAN.items()}
+    assert {"analysis_dataset", "bootstrap_ci_numpy", "ridge_tuned"} <= named["analyze"]
+    assert {"language_coverage_intervals", "length_stratified_recall", "encoder_differences", "candidate_counts", "acceptance_counts"} <= named["sensitivity_analysis"]
