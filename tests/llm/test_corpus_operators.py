@@ -63,6 +63,12 @@ def test_copies_take_no_places_of_other_documents(spark, block):
     assert all(got["y", q] == [f"c{i:03d}" for i in range(5)] for q in ["q", *(f"c{i:03d}" for i in range(200))])
 
 
+def test_probes_reach_as_far_as_recall_needs():
+    import inspect
+
+    assert inspect.signature(neighbors.top_neighbors).parameters["spread"].default >= 1.2
+
+
 # --- leakage -----------------------------------------------------------------------------------------------------
 
 ITEM = "um carrinho azul descreve o painel regional perto de outro monitor antes que cada sensor semanal bloqueia o extintor verde"
