@@ -4,7 +4,9 @@ Method: canonicalise characters, case, white space, punctuation and field order;
 count with map-side combining; check for collisions with a second hash.
 
 * Characters: texts with look-alike or invisible characters pass the transducer of ``lookalike`` first.
-* Case, white space, punctuation: every run of characters that are no letter, mark or digit becomes one blank.
+* Case, white space, punctuation: every run of white space, controls and formatting signs becomes one blank. Formatting signs are Unicode's punctuation and
+  the separators, bullets and rules of ``SEPARATORS``. What changes a meaning stays: letters, marks, digits, emoji, currency and
+  mathematical signs, ``SIGNS`` (%, #, &, @ ...), a minus directly before a number, and the point or comma inside one.
 * Field order: a text whose parts (split at ``;``, ``|``, slashes, bullets, line ends) all read ``label: value`` or
   ``label = value`` is a set of fields; its parts are sorted.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -24,20 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairscope.llm.lookalike import normalize, suspect
+from pairscope.llm.lookalike import _ranges, normalize, suspect
 from pairscope.session import cut_lineage
 
 _SEPARATORS = re.compile(r"\s*(?:;|\||//|\s/\s|[\r\n]+|•|·)\s*")
 _FIELD = re.compile(r"^[\W_]*[^\W\d_][\w \t]{0,28}?[ \t]*[:=]\s*\S")
-_BETWEEN = re.compile(r"[\W_]+")
+# Punctuation that is part of what is said, and symbols that only set text apart.
+SIGNS = "%‰#&@"
+SEPARATORS = "|=^`~<>¦¨¯´¸˜˝←→⇒➔➜➤►▶◄■□▪▫●○◦◆◇★☆✓✔✗✘─━│┃"
+
+
+@lru_cache(1)
+def _between() -> re.Pattern:
+    """Runs of white space, controls and formatting signs; not a sign before a number, not the point or comma inside one."""
+    drop = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c))[0] in "PZC" and chr(c) not in SIGNS + ".,-\u200d" and not 0xD800 <= c < 0xE000]
+    return re.compile(rf"(?:[{_ranges([*drop, *SEPARATORS])}\ufe0f]|(?<!\S)#+(?=\s)|[.,](?!\d)|(?<!\d)[.,]|-(?!\d)|(?<=[^\s(])-)+")
 
 
 def _words(text: str) -> str:
-    return _BETWEEN.sub(" ", text.lower()).strip()
+    return _between().sub(" ", text.lower()).strip()
 
 
 def canonical_text(text: str) -> str:
-    """Canonical form. A text without letter or digit keeps its own characters."""
+    """Canonical form. A text of nothing but formatting keeps its own characters."""
     if suspect(text):
         text = unicodedata.normalize("NFC", normalize(text))
     if ":" in text or "=" in text:  # only texts with a label sign are split at all

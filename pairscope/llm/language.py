@@ -4,9 +4,10 @@ Method: a bidirectional gated recurrent network over bytes, trained in numpy by
 every position; clauses pool the positions of their words, the document pools its clauses.
 
 Training text: clauses of a bounded hash sample of the rows (``sample_rows``), labelled by counts of function words where these
-are clear whatever the column says, and sentences of a small built-in grammar for all four languages, so that a language that is rare
+are clear whatever the column says, and a small public text and everyday sentences in all four languages, so that a language that is rare
 or absent in the sample is still known. A clause without clear function words takes the language of its company: that of the labelled
-clauses of the values it occurs in, if it occurs ``MIN_COMPANY`` times and nearly all agree. Clauses are joined at random, so the
+clauses of the values it occurs in (or, where there are none, that of another detector's verdict on the value), if it occurs
+``MIN_COMPANY`` times and nearly all agree. Clauses are joined at random, so the
 network sees changes of language inside a text, and loan words are sown into clauses of the other languages, where they change nothing.
 The fitted weights (about 100 KB) travel with the task; all rows are labelled, whole, where they are, without a shuffle.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairscope.llm.lookalike import normalize, suspect
-from pairscope.llm.personal import detect
+from pairscope.llm.personal import detect, proper_names
 
 LANGS = ("pt", "en", "es", "fr")
 
@@ -44,28 +45,51 @@ WORDS = {k: set(v.split()) for k, v in WORDS.items()}
 _SHARED = {w for a in LANGS for w in WORDS[a] if len(w) == 1 and w not in "éà" or sum(w in WORDS[b] for b in LANGS) > 1}
 WORDS = {k: w - _SHARED for k, w in WORDS.items()}
 
-# A small grammar for each language: who, what, when; every combination is a sentence.
-GRAMMAR = {
-    "pt": (
-        "o chefe|a nossa equipe|a diretoria|os colegas|o meu setor|a fábrica|o sindicato|este projeto|o refeitório|um novo curso|quem trabalha aqui|o salário|a empresa|ninguém|eu|a gente|as reuniões|o ambiente",
-        "não responde nunca|precisa de ajuda|trabalha demais|melhorou bastante|deixa muito a desejar|falta com a verdade|gostaria de mais respeito|cobra metas difíceis|organiza boas conversas|muda as regras sem avisar|paga muito pouco|é o melhor daqui|está cada vez pior|reclama do barulho|oferece apoio aos novatos|espera uma resposta",
-        "há dois anos|todas as manhãs|para todos nós|toda semana|na hora do almoço|desde o mês passado|quando há mudanças|no fim do dia|em todas as unidades|por causa da chuva|com muita calma|depois do feriado|e isso cansa|mas ainda há esperança",
-    ),
-    "en": (
-        "the boss|our team|everyone's manager|the team's mood|the board|my colleagues|the department|the factory|the union|this project|the canteen|a new course|whoever works here|the salary|the company|nobody|i|we|the meetings|the mood",
-        "never answers|needs help|works too much|got a lot better|leaves much to be desired|does not tell the truth|would like more respect|sets hard targets|doesn't listen|despite everyone's effort|thinking of people's health|it's far from ideal|disturbs everybody's sleep|holds good talks|changes the rules without notice|pays very little|is the best thing here|is getting worse|complains about the noise|offers support to newcomers|waits for an answer",
-        "for two years|every morning|for all of us|every week|at lunchtime|since last month|when there are changes|at the end of the day|in all the sites|because of the rain|very calmly|after the holiday|and that is tiring|but there is still hope",
-    ),
-    "es": (
-        "el jefe|nuestro equipo|la dirección|los compañeros|mi sector|la fábrica|el sindicato|este proyecto|el comedor|un curso nuevo|quien trabaja aquí|el sueldo|la empresa|nadie|yo|nosotros|las reuniones|el ambiente",
-        "no responde nunca|necesita ayuda|trabaja demasiado|mejoró bastante|deja mucho que desear|no dice la verdad|quisiera más respeto|exige metas difíciles|organiza buenas charlas|cambia las reglas sin avisar|paga muy poco|es lo mejor de aquí|está cada vez peor|se queja del ruido|ofrece apoyo a los nuevos|espera una respuesta",
-        "desde hace dos años|todas las mañanas|para todos nosotros|cada semana|a la hora del almuerzo|desde el mes pasado|cuando hay cambios|al final del día|en todas las sedes|por culpa de la lluvia|con mucha calma|después del feriado|y eso cansa|pero todavía hay esperanza",
-    ),
-    "fr": (
-        "le chef|notre équipe|la direction|les collègues|mon service|l'usine|le syndicat|ce projet|la cantine|une nouvelle formation|celui qui travaille ici|le salaire|l'entreprise|personne|je|nous|les réunions|l'ambiance|la charge de travail|le personnel",
-        "ne répond jamais|a besoin d'aide|travaille trop|s'est bien amélioré|laisse beaucoup à désirer|ne dit pas la vérité|voudrait plus de respect|fixe des objectifs difficiles|organise de bons échanges|change les règles sans prévenir|paie très peu|est le meilleur atout d'ici|va de plus en plus mal|se plaint du bruit|offre du soutien aux nouveaux|attend une réponse|demande que les horaires soient revus|j'espère que cela continuera",
-        "depuis deux ans|tous les matins|pour nous tous|chaque semaine|à l'heure du déjeuner|depuis le mois dernier|quand il y a des changements|en fin de journée|dans tous les sites|à cause de la pluie|avec beaucoup de calme|après le jour férié|et cela fatigue|mais il y a encore de l'espoir",
-    ),
+# The opening articles of the Universal Declaration of Human Rights, public text of the United Nations in every language.
+DECLARATION = {
+    "pt": "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade. "
+    "Todos os seres humanos podem invocar os direitos e as liberdades proclamados na presente Declaração, sem distinção alguma, nomeadamente de raça, de cor, de sexo, de língua, de religião, de opinião política ou outra, de origem nacional ou social, de fortuna, de nascimento ou de qualquer outra situação. "
+    "Todo o indivíduo tem direito à vida, à liberdade e à segurança pessoal. Ninguém será mantido em escravatura ou em servidão; a escravatura e o trato dos escravos, sob todas as formas, são proibidos. "
+    "Ninguém será submetido a tortura nem a penas ou tratamentos cruéis, desumanos ou degradantes. Todos os indivíduos têm direito ao reconhecimento, em todos os lugares, da sua personalidade jurídica. "
+    "Todos são iguais perante a lei e, sem distinção, têm direito a igual proteção da lei. Ninguém pode ser arbitrariamente preso, detido ou exilado. "
+    "Toda a pessoa tem o direito de livremente circular e escolher a sua residência no interior de um Estado. Toda a pessoa tem o direito de abandonar o país em que se encontra, incluindo o seu, e o direito de regressar ao seu país. "
+    "Toda a pessoa tem direito ao trabalho, à livre escolha do trabalho, a condições equitativas e satisfatórias de trabalho e à proteção contra o desemprego. "
+    "Todos têm direito, sem discriminação alguma, a salário igual por trabalho igual. Toda a pessoa tem direito ao repouso e aos lazeres, e a férias periódicas pagas. "
+    "Toda a pessoa tem direito à educação. A educação deve ser gratuita, pelo menos a correspondente ao ensino elementar fundamental.",
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. "
+    "Everyone is entitled to all the rights and freedoms set forth in this Declaration, without distinction of any kind, such as race, colour, sex, language, religion, political or other opinion, national or social origin, property, birth or other status. "
+    "Everyone has the right to life, liberty and security of person. No one shall be held in slavery or servitude; slavery and the slave trade shall be prohibited in all their forms. "
+    "No one shall be subjected to torture or to cruel, inhuman or degrading treatment or punishment. Everyone has the right to recognition everywhere as a person before the law. "
+    "All are equal before the law and are entitled without any discrimination to equal protection of the law. No one shall be subjected to arbitrary arrest, detention or exile. "
+    "Everyone has the right to freedom of movement and residence within the borders of each state. Everyone has the right to leave any country, including his own, and to return to his country. "
+    "Everyone has the right to work, to free choice of employment, to just and favourable conditions of work and to protection against unemployment. "
+    "Everyone, without any discrimination, has the right to equal pay for equal work. Everyone has the right to rest and leisure, and to periodic holidays with pay. "
+    "Everyone has the right to education. Education shall be free, at least in the elementary and fundamental stages.",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros. "
+    "Toda persona tiene los derechos y libertades proclamados en esta Declaración, sin distinción alguna de raza, color, sexo, idioma, religión, opinión política o de cualquier otra índole, origen nacional o social, posición económica, nacimiento o cualquier otra condición. "
+    "Todo individuo tiene derecho a la vida, a la libertad y a la seguridad de su persona. Nadie estará sometido a esclavitud ni a servidumbre; la esclavitud y la trata de esclavos están prohibidas en todas sus formas. "
+    "Nadie será sometido a torturas ni a penas o tratos crueles, inhumanos o degradantes. Todo ser humano tiene derecho, en todas partes, al reconocimiento de su personalidad jurídica. "
+    "Todos son iguales ante la ley y tienen, sin distinción, derecho a igual protección de la ley. Nadie podrá ser arbitrariamente detenido, preso ni desterrado. "
+    "Toda persona tiene derecho a circular libremente y a elegir su residencia en el territorio de un Estado. Toda persona tiene derecho a salir de cualquier país, incluso del propio, y a regresar a su país. "
+    "Toda persona tiene derecho al trabajo, a la libre elección de su trabajo, a condiciones equitativas y satisfactorias de trabajo y a la protección contra el desempleo. "
+    "Toda persona tiene derecho, sin discriminación alguna, a igual salario por trabajo igual. Toda persona tiene derecho al descanso, al disfrute del tiempo libre y a vacaciones periódicas pagadas. "
+    "Toda persona tiene derecho a la educación. La educación debe ser gratuita, al menos en lo concerniente a la instrucción elemental y fundamental.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité. "
+    "Chacun peut se prévaloir de tous les droits et de toutes les libertés proclamés dans la présente Déclaration, sans distinction aucune, notamment de race, de couleur, de sexe, de langue, de religion, d'opinion politique ou de toute autre opinion, d'origine nationale ou sociale, de fortune, de naissance ou de toute autre situation. "
+    "Tout individu a droit à la vie, à la liberté et à la sûreté de sa personne. Nul ne sera tenu en esclavage ni en servitude; l'esclavage et la traite des esclaves sont interdits sous toutes leurs formes. "
+    "Nul ne sera soumis à la torture, ni à des peines ou traitements cruels, inhumains ou dégradants. Chacun a le droit à la reconnaissance en tous lieux de sa personnalité juridique. "
+    "Tous sont égaux devant la loi et ont droit sans distinction à une égale protection de la loi. Nul ne peut être arbitrairement arrêté, détenu ou exilé. "
+    "Toute personne a le droit de circuler librement et de choisir sa résidence à l'intérieur d'un État. Toute personne a le droit de quitter tout pays, y compris le sien, et de revenir dans son pays. "
+    "Toute personne a droit au travail, au libre choix de son travail, à des conditions équitables et satisfaisantes de travail et à la protection contre le chômage. "
+    "Tous ont droit, sans aucune discrimination, à un salaire égal pour un travail égal. Toute personne a droit au repos et aux loisirs, et à des congés payés périodiques. "
+    "Toute personne a droit à l'éducation. L'éducation doit être gratuite, au moins en ce qui concerne l'enseignement élémentaire et fondamental.",
+}
+# Everyday sentences of our own, the same in each language.
+EVERYDAY = {
+    "pt": "vou para casa porque já é tarde|ela mora perto da estação com os filhos|ontem choveu muito e ficamos em casa|você pode me ajudar a levar estas caixas|não sei onde deixei as minhas chaves|o meu irmão trabalha numa padaria|gosto de café sem açúcar|quando chegar o verão vamos à praia|eles compraram um carro novo no ano passado|hoje não tenho tempo para cozinhar|a porta está aberta mas não há ninguém|precisamos de pão, leite e ovos|o médico disse que eu devia descansar|as crianças brincam no jardim|este livro é mais interessante do que aquele|nunca estive nesse país|estou muito cansado depois da viagem|fale mais devagar por favor|o trem sai às oito da manhã|acho que ele tem razão|nós gostaríamos de saber o preço|faz frio e venta bastante|ela sempre chega cedo e nunca reclama|a comida estava ótima e o serviço também|se puder, ligo para você à noite|o vizinho de cima faz muito barulho",
+    "en": "i am going home because it is late|she lives near the station with her children|yesterday it rained a lot and we stayed at home|can you help me carry these boxes|i don't know where i left my keys|my brother works in a bakery|i like coffee without sugar|when summer comes we will go to the beach|they bought a new car last year|today i have no time to cook|the door is open but there is nobody there|we need bread, milk and eggs|the doctor said that i should rest|the children are playing in the garden|this book is more interesting than that one|i have never been to that country|i am very tired after the trip|please speak more slowly|the train leaves at eight in the morning|i think that he is right|we would like to know the price|it's cold and quite windy|she always arrives early and never complains|the food was great and so was the service|if i can, i'll call you tonight|the neighbour's dog doesn't stop barking",
+    "es": "me voy a casa porque ya es tarde|ella vive cerca de la estación con sus hijos|ayer llovió mucho y nos quedamos en casa|puedes ayudarme a llevar estas cajas|no sé dónde dejé mis llaves|mi hermano trabaja en una panadería|me gusta el café sin azúcar|cuando llegue el verano iremos a la playa|ellos compraron un coche nuevo el año pasado|hoy no tengo tiempo para cocinar|la puerta está abierta pero no hay nadie|necesitamos pan, leche y huevos|el médico dijo que yo debía descansar|los niños juegan en el jardín|este libro es más interesante que aquel|nunca he estado en ese país|estoy muy cansado después del viaje|hable más despacio por favor|el tren sale a las ocho de la mañana|creo que él tiene razón|nos gustaría saber el precio|hace frío y bastante viento|ella siempre llega temprano y nunca se queja|la comida estaba muy buena y el servicio también|si puedo, te llamo por la noche|el vecino de arriba hace mucho ruido",
+    "fr": "je rentre à la maison parce qu'il est tard|elle habite près de la gare avec ses enfants|hier il a beaucoup plu et nous sommes restés chez nous|peux-tu m'aider à porter ces cartons|je ne sais pas où j'ai laissé mes clés|mon frère travaille dans une boulangerie|j'aime le café sans sucre|quand l'été viendra nous irons à la plage|ils ont acheté une voiture neuve l'année dernière|aujourd'hui je n'ai pas le temps de cuisiner|la porte est ouverte mais il n'y a personne|nous avons besoin de pain, de lait et d'œufs|le médecin a dit que je devais me reposer|les enfants jouent dans le jardin|ce livre est plus intéressant que celui-là|je n'ai jamais été dans ce pays|je suis très fatigué après le voyage|parlez plus lentement s'il vous plaît|le train part à huit heures du matin|je crois qu'il a raison|nous voudrions connaître le prix|il fait froid et il y a beaucoup de vent|elle arrive toujours tôt et ne se plaint jamais|le repas était excellent et le service aussi|si je peux, je t'appelle ce soir|le voisin du dessus fait beaucoup de bruit",
 }
 
 # English words that other languages use as their own.
@@ -84,12 +108,20 @@ _CLAUSE = re.compile(r"[^.!?;:,\n\r/|()\[\]{}\"“”«»•–—=]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
+# Words that every language uses alike, and link schemes.
+_NEUTRAL = re.compile(r"\b(?:e-?mails?|mailto|https?|www|whats(?:app)?|cpf|rg|pis|cep|ok|tel)\b", re.IGNORECASE)
+
+
 def prepare(text: str) -> str:
-    """Look-alikes undone, personal details blanked in place, lower case; as long as the consistent form."""
+    """Look-alikes undone, personal details, names of projects and places and words of no language blanked in place, lower case; as long as the consistent form."""
     if suspect(text):
         text = normalize(text)
     chars = None
-    for a, b, _ in detect(text):
+    blanks = [(a, b) for a, b, _ in detect(text)]
+    if not text.islower():
+        blanks += proper_names(text)
+    blanks += [m.span() for m in _NEUTRAL.finditer(text)]
+    for a, b in blanks:
         chars = chars or list(text)
         chars[a:b] = " " * (b - a)
     low = "".join(chars or text)
@@ -141,6 +173,14 @@ class ByteGru:
     def params(self) -> list[np.ndarray]:
         return [*self.w, *self.u, *self.b, self.out, self.bias]
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {f"p{i}": p for i, p in enumerate(self.params())}
+
+    @staticmethod
+    def of(arrays: dict[str, np.ndarray]) -> ByteGru:
+        p = [arrays[f"p{i}"] for i in range(8)]
+        return ByteGru(p[0:2], p[2:4], p[4:6], p[6], p[7])
+
     def run(self, x: np.ndarray, side: int, keep: list | None = None) -> np.ndarray:
         """Hidden states (T, B, H) of bytes (T, B); the second direction reads backwards. Padding is byte 0 and does not change the state."""
         steps, batch = x.shape
@@ -294,7 +334,7 @@ def _sow(text: str, lang: str, rng: np.random.Generator) -> str:
     return " ".join(words)
 
 
-def train(clauses: list[list[str]], hidden: int = 32, steps: int = 480, batch: int = 112, length: int = 72, seed: int = 5) -> ByteGru:
+def train(clauses: list[list[str]], hidden: int = 32, steps: int = 560, batch: int = 112, length: int = 72, seed: int = 5) -> ByteGru:
     """Fit the network on lists of clauses, one list for each language."""
     rng = np.random.default_rng(seed)
     rnd = lambda *shape: rng.normal(0, 1 / np.sqrt(hidden), shape).astype(np.float32)
@@ -331,36 +371,55 @@ def train(clauses: list[list[str]], hidden: int = 32, steps: int = 480, batch: i
     return net
 
 
-def builtin_clauses(per_language: int = 400, seed: int = 3) -> list[list[str]]:
-    rng = np.random.default_rng(seed)
+def builtin_clauses() -> list[list[str]]:
+    """Clauses of the public text and the everyday sentences of each language, whole and in pieces of three words or more."""
     out = []
     for lang in LANGS:
-        parts = [p.split("|") for p in GRAMMAR[lang]]
-        out.append([" ".join(p[int(rng.integers(len(p)))] for p in (parts if rng.random() < 0.6 else parts[:2] if rng.random() < 0.6 else parts[1:])) for _ in range(per_language)])
+        whole = [c for text in (DECLARATION[lang], *EVERYDAY[lang].split("|")) for m in _CLAUSE.finditer(text.lower()) if len(c := m.group().strip()) > 5]
+        pieces = []
+        for clause in whole:
+            words = clause.split(" ")
+            pieces += [" ".join(words[i : i + n]) for n in (3, 5, 8) for i in range(0, len(words) - n + 1, 2)]
+        out.append([*whole * 4, *pieces])
     return out
 
 
-def fit(df: DataFrame, id_column: str, fields: dict[str, str], sample_rows: int = 4_000) -> ByteGru:
-    """Train on at most ``sample_rows`` rows chosen by the hash of their id, and on the built-in sentences."""
+def fit(df: DataFrame, id_column: str, fields: dict[str, str], sample_rows: int = 8_000, verdicts: DataFrame | None = None) -> ByteGru:
+    """Train on at most ``sample_rows`` rows chosen by the hash of their id, and on the built-in sentences.
+
+    ``verdicts`` may hold, for ids of ``df``, a column for each field with the language that another detector is sure of (null where it is
+    not). It is a vote on clauses without clear function words, no more: the detector errs.
+    """
     text = [F.col(f).cast("string").alias(f"t{i}") for i, f in enumerate(fields)]
     total = max(df.count(), 1)
     share = int(min(1.0, 1.3 * sample_rows / total) * 1_000_000)
-    rows = df.filter(F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit(11)), F.lit(1_000_000)) < share).select(*text).limit(sample_rows).toPandas()
-    values = (v for column in rows for v in rows[column].dropna())
+    chosen = lambda d, c: d.filter(F.pmod(F.xxhash64(F.col(c).cast("string"), F.lit(11)), F.lit(1_000_000)) < share)
+    rows = chosen(df, id_column).select(F.col(id_column).cast("string").alias("_id"), *text)
+    if verdicts is not None:
+        said = chosen(verdicts, id_column).groupBy(F.col(id_column).cast("string").alias("_id")).agg(*[F.min(f).alias(f"v{i}") for i, f in enumerate(fields)])
+        rows = rows.join(said, "_id", "left")
+    sample = rows.limit(sample_rows).toPandas()
+    values = [(v, h) for i in range(len(fields)) for v, h in zip(sample[f"t{i}"], sample[f"v{i}"] if verdicts is not None else [None] * len(sample)) if isinstance(v, str)]
     return train(training_clauses(values))
 
 
-def training_clauses(values: Iterable[str]) -> list[list[str]]:
-    """Labelled clauses of each language: built-in ones, those of clear function words, and those known by their company."""
+def training_clauses(values: Iterable[tuple[str, str | None]]) -> list[list[str]]:
+    """Labelled clauses of each language: built-in ones, those of clear function words, and those known by their company.
+
+    ``values``: texts, each with the language another detector gives it, or None.
+    """
     seen: list[Counter[str]] = [Counter() for _ in LANGS]
     company: dict[str, np.ndarray] = {}
-    for value in values:
+    for value, hint in values:
         split = [c for m in _CLAUSE.finditer(prepare(value)) if len(c := m.group().strip()) > 5]
         labels = [weak_label(c) for c in split]
         for clause, label in zip(split, labels):
             if label is not None:
                 seen[label][clause] += 1
-        if len(langs := {x for x in labels if x is not None}) == 1:
+        langs = {x for x in labels if x is not None}
+        if not langs and hint in LANGS:
+            langs = {LANGS.index(hint)}
+        if len(langs) == 1:
             for clause, label in zip(split, labels):
                 if label is None:
                     company.setdefault(clause, np.zeros(len(LANGS)))[next(iter(langs))] += 1
@@ -551,17 +610,19 @@ def segments(df: DataFrame, id_column: str, fields: dict[str, str], net: ByteGru
     return rows.mapInArrow(run, f"id string, field string, segment int, {_SCHEMA}")
 
 
-def unexpected(df: DataFrame, id_column: str, fields: dict[str, str], word_counts: dict[str, str], min_confidence: float = 0.6) -> DataFrame:
+def unexpected(df: DataFrame, id_column: str, fields: dict[str, str], word_counts: dict[str, str], net: ByteGru, min_confidence: float = 0.6) -> DataFrame:
     """Every language of each value that holds a clause in another than the expected language: ``id``, ``field``, ``lang``."""
-    net = fit(df, id_column, fields)
     # a value's segments are made by one task, which drops values of the expected language alone before anything is shuffled
     seg = segments(df, id_column, fields, net, word_counts, min_confidence).filter(F.col("confidence") >= min_confidence)
     return seg.select("id", "field", "lang").distinct()
 
 
-def documents(df: DataFrame, id_column: str, fields: dict[str, str]) -> DataFrame:
-    """One row a value: ``id``, ``field``, ``lang`` and ``confidence`` of the whole (by its longest language), ``n_langs``."""
-    seg = segments(df, id_column, fields, fit(df, id_column, fields))
+def documents(df: DataFrame, id_column: str, fields: dict[str, str], net: ByteGru) -> DataFrame:
+    """One row for each id and field: ``lang`` and ``confidence`` of the whole (by its longest language), ``n_langs``.
+
+    Null texts and texts without letters have no row. Rows of one id repeated add up, which changes no share.
+    """
+    seg = segments(df, id_column, fields, net)
     per = seg.groupBy("id", "field", "lang").agg(F.sum(F.col("stop") - F.col("start")).alias("size"), F.avg("confidence").alias("confidence"))
     return per.groupBy("id", "field").agg(
         F.max_by("lang", F.struct("size", "lang")).alias("lang"), F.max_by("confidence", F.struct("size", "lang")).alias("confidence"), F.count(F.lit(1)).alias("n_langs")

@@ -4,7 +4,8 @@ Method: a compiled longest-match transducer over grapheme clusters. ``compile_ru
 mapping from rules (Unicode compatibility forms for widths, styles and joined letters, canonical
 composition for detached accents, two fixed tables for look-alike scripts), checks that it has no
 conflict and that its outputs are stable, and compiles it to one scanner that takes the longest
-cluster at each place: base character, combining marks, joiners. ``normalize`` then rewrites a text in one pass.
+cluster at each place: a whole word with a look-alike letter, a letter with its marks, joiners, a single character.
+``normalize`` then rewrites a text in one pass, in time linear in its length.
 
 What is left alone: ordinary letters with their usual accents, tabs and line ends, quote and dash
 styles, ordinal signs, emoji with their joiners and selectors, and words truly written in another
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -112,19 +115,76 @@ def _ranges(chars) -> str:
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a < b else re.escape(chr(a)) for a, b in out)
 
 
+@dataclass(frozen=True)
+class _Machine:
+    """Compiled scanner: where a rule may apply, and how far a run of letters, a glued accent and joiners reach from there."""
+
+    hot: re.Pattern  # any character some rule takes
+    run: re.Pattern  # letters and what sticks to them
+    alike: re.Pattern
+    tail: re.Pattern  # marks on a letter, with whatever invisible stands between
+    glue: frozenset[str]
+
+
 @lru_cache(1)
-def _scanner() -> re.Pattern:
+def _machine() -> _Machine:
     table = compile_rules()
-    single = _ranges(c for c in table if c not in JOINERS)
     silent = _ranges(c for c, to in table.items() if to == "" and c not in JOINERS)
     alike = _ranges([*CYRILLIC, *GREEK])
     letter = r"[^\W\d_]"
     glue = rf"[{_MARKS}{silent}\u200d]"
-    # The longest cluster first: a word with a look-alike letter, a letter with its marks and whatever stands between, joiners, single characters.
-    return re.compile(
-        rf"(?P<word>(?:{letter}|{glue})*[{alike}](?:{letter}|{glue})*)|(?P<cluster>{letter}{glue}*[{_MARKS}])|(?P<mark>[{_MARKS}]+)"
-        rf"|(?P<joiner>[\u200d\ufe0f\ufe0e]+)|(?P<one>[{single}])"
-    )
+    marks = [chr(c) for c in range(0x300, 0x370) if c != 0x34F]
+    return _Machine(
+        re.compile(rf"[{_ranges(table)}{_MARKS}{alike}\u200d\ufe0e\ufe0f]"), re.compile(rf"(?:{letter}|{glue})+"), re.compile(f"[{alike}]"), re.compile(rf"{glue}*[{_MARKS}]"),
+        frozenset([*marks, *(c for c, to in table.items() if to == "" and c not in JOINERS), "\u200d"]),
+    )
+
+
+_MARK_RUN = re.compile(f"[{_MARKS}]+")
+_JOINER_RUN = re.compile(f"[{JOINERS}]+")
+
+
+def _is_letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def _clusters(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and kind of every cluster that a rule takes, left to right, the longest that begins there.
+
+    Kinds: ``word`` (a whole run of letters with a look-alike among them), ``cluster`` (a letter with its marks), ``mark`` (marks on
+    nothing), ``joiner``, ``one``. Each run of letters is measured once, so the time is linear in the text whatever it holds.
+    """
+    m = _machine()
+    at, run_end, run_alike = 0, -1, False
+    while hit := m.hot.search(text, at):
+        i = hit.start()
+        c = text[i]
+        if i >= run_end and (c in m.glue or _is_letter(c)):
+            run_end = m.run.match(text, i).end()
+            run_alike = m.alike.search(text, i, run_end) is not None
+            if run_alike:
+                start = i
+                while start > at and (_is_letter(text[start - 1]) or text[start - 1] in m.glue):
+                    start -= 1
+                at = run_end
+                yield start, run_end, "word"
+                continue
+        start = i
+        while start > at and text[start] in m.glue:
+            start -= 1
+        tail = m.tail.match(text, start + 1) if _is_letter(text[start]) else None
+        if tail and tail.end() > i:
+            at = tail.end()
+            yield start, at, "cluster"
+        elif group := _MARK_RUN.match(text, i):
+            at = group.end()
+            yield i, at, "mark"
+        elif group := _JOINER_RUN.match(text, i):
+            at = group.end()
+            yield i, at, "joiner"
+        else:
+            at = i + 1
+            yield i, at, "one"
 
 
 def _word(text: str, table: dict[str, str]) -> str:
@@ -155,8 +215,8 @@ def normalize(text: str | None, offsets: bool = False):
             step = size / max(len(piece), 1)
             places.extend(range(at, at + size) if size == len(piece) else (at + min(int(i * step), size - 1) for i in range(len(piece))))
 
-    for m in _scanner().finditer(text):
-        kind, hit, at = m.lastgroup, m.group(), m.start()
+    for at, stop, kind in _clusters(text):
+        hit = text[at:stop]
         if kind == "one":
             new = table.get(hit, hit)
         elif kind == "word":
@@ -166,14 +226,14 @@ def normalize(text: str | None, offsets: bool = False):
         elif kind == "mark":
             new = ""  # an accent on nothing
         else:
-            before, after = _EMOJI.match(text[at - 1 : at]), _EMOJI.match(text[m.end() : m.end() + 1])
-            new = hit if before and (after or "\u200d" not in hit) or after and text[m.end()] == "\u20e3" else ""
+            before, after = _EMOJI.match(text[max(at - 1, 0) : at]), _EMOJI.match(text[stop : stop + 1])
+            new = hit if before and (after or "\u200d" not in hit) or after and text[stop] == "\u20e3" else ""
         if new == hit:
             continue
         if last < at:
             put(text[last:at], last, at - last)
         put(new, at, len(hit))
-        last = m.end()
+        last = stop
     if last < len(text):
         put(text[last:], last, len(text) - last)
     out = "".join(parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm import format_copies, language, leakage, lookalike, mixing, neighbors, personal, toxicity
+from pairscope.llm import format_copies, language, leakage, lookalike, mixing, models, neighbors, personal, toxicity
 from pairscope.session import table
 
 EXPECTED = {"source_pt": "pt", "translation_en": "en"}
@@ -14,13 +14,15 @@ FIELDS = ["source_pt", "translation_en"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds of personal detail in each answer and translation."""
-    return personal.found_kinds(table(spark, d, "paired_responses"), "pair_id", FIELDS)
+    """Kinds of personal detail in each answer and translation; surnames are learned from the whole table first."""
+    df = table(spark, d, "paired_responses")
+    return personal.found_kinds(df, "pair_id", FIELDS, learned=personal.learn_surnames(df, FIELDS))
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every value with typed placeholders instead of its details."""
-    return personal.redact_fields(table(spark, d, "paired_responses"), "pair_id", FIELDS)
+    df = table(spark, d, "paired_responses")
+    return personal.redact_fields(df, "pair_id", FIELDS, learned=personal.learn_surnames(df, FIELDS))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,16 +44,40 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("partition").alias("direction"), F.col("query_id").alias("query_pair_id"), F.col("document_id").alias("document_pair_id"))
 
 
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Language that the given detector is sure of, by field; null where it is ambiguous or undecided."""
+    sure = lambda side: F.when(~F.coalesce(F.col(f"{side}_ambiguous"), F.lit(True)), F.col(f"{side}_predicted"))
+    return table(spark, d, "language_verification").select("pair_id", sure("pt").alias("source_pt"), sure("en").alias("translation_en")).filter(F.col("pair_id").isNotNull())
+
+
+def _language_net(spark: SparkSession, d: str) -> language.ByteGru:
+    """The network fitted for this directory's answers: loaded if it was fitted before."""
+    df, said = table(spark, d, "paired_responses"), _verdicts(spark, d)
+    tables = [df, table(spark, d, "language_verification")]
+    made = models.stored("language", tables, {"fields": str(EXPECTED)}, [language, lookalike, personal], lambda: language.fit(df, "pair_id", EXPECTED, verdicts=said).arrays())
+    return language.ByteGru.of(made)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of each value of more than eight words that has a clause in another than the expected language."""
-    out = language.unexpected(table(spark, d, "paired_responses"), "pair_id", EXPECTED, WORD_COUNTS)
+    out = language.unexpected(table(spark, d, "paired_responses"), "pair_id", EXPECTED, WORD_COUNTS, _language_net(spark, d))
     return out.select(F.col("id").alias("pair_id"), "field", "lang").distinct()
 
 
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     """Language and confidence of every segment of every answer and translation."""
-    df = table(spark, d, "paired_responses")
-    return language.segments(df, "pair_id", EXPECTED, language.fit(df, "pair_id", EXPECTED)).withColumnRenamed("id", "pair_id")
+    return language.segments(table(spark, d, "paired_responses"), "pair_id", EXPECTED, _language_net(spark, d)).withColumnRenamed("id", "pair_id")
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Language, confidence and number of languages of every value, and whether the given verdict on it agrees (null: none, or undecided)."""
+    out = language.documents(table(spark, d, "paired_responses"), "pair_id", EXPECTED, _language_net(spark, d)).withColumnRenamed("id", "pair_id")
+    given = table(spark, d, "language_verification").filter(F.col("pair_id").isNotNull())
+    flags = given.groupBy("pair_id").agg(F.max("pt_matches_expected").alias("source_pt"), F.max("en_matches_expected").alias("translation_en"), F.max("pt_ambiguous").alias("_a0"), F.max("en_ambiguous").alias("_a1"))
+    long = flags.select("pair_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(~F.coalesce(F.col(f"_a{i}"), F.lit(True)), F.col(f)).alias("said")) for i, f in enumerate(FIELDS)])).alias("_v"))
+    expected = F.when(F.col("field") == "source_pt", EXPECTED["source_pt"]).otherwise(EXPECTED["translation_en"])
+    joined = out.join(long.select("pair_id", "_v.field", "_v.said"), ["pair_id", "field"], "left")
+    return joined.withColumn("verdict_agrees", (F.col("lang") == expected) == F.col("said")).drop("said")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +116,9 @@ TOXIC_AT = 0.6
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    model = toxicity.fit(docs, "doc_id", "text", table(spark, d, "content_labels"))
-    return toxicity.score(docs, "doc_id", "text", "source", model)
+    reviews = table(spark, d, "content_labels")
+    made = models.stored("toxicity", [docs, reviews], {}, [toxicity, lookalike], lambda: toxicity.fit(docs, "doc_id", "text", reviews).arrays())
+    return toxicity.score(docs, "doc_id", "text", "source", toxicity.Crf.of(made))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +136,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.source_rates(_scored(spark, d), TOXIC_AT)
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_consistent": p6_consistent}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p5_documents": p5_documents, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_consistent": p6_consistent}
 # Windows of ten folded words, joined as strings.
 _WORDS = "string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' ')"
 _WINDOWS = "SELECT DISTINCT {id}, array_to_string(w[i:i + 9], ' ') AS k FROM (SELECT {id}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {id}, " + _WORDS + " AS w FROM {t}) WHERE len(w) >= 10)"

@@ -4,11 +4,14 @@ Method: a linear-chain conditional random field over words with the tags none, a
 Forward-backward marginals give each word its tag probabilities; runs of words above one half are the offending spans, and a
 document's score for a category is the best mean marginal of such a run.
 
-Labelled words come from two places: a small built-in set of labelled phrases in three languages, and reviewed documents. A
-review says only what a document holds, so the words of documents judged harmless are labelled none, and in documents judged
-harmful those sentences are labelled that the field fitted so far finds most likely (two rounds). Reviews are
-put together by majority; ties, null verdicts and repeated rows say nothing.
-``max_reviewed`` bounds the reviewed documents fitted on, chosen by hash; every document is scored, whole.
+Labelled words come from reviewed documents, started by a small set of general phrases in three languages. A review says only what a
+document holds, so the sentences of documents judged harmless are labelled none, and in documents judged harmful those sentences are
+labelled that the field fitted so far finds most likely. In the first round, when it knows the general phrases alone, a sentence also
+counts for what it holds that no harmless document does. A sentence of harmless documents that the later field is sure about,
+and that is of one harmless document alone or of far more harmful ones, is taken as a mistake of the reviewer and leaves the sample. Reviews are put together by majority; ties, null verdicts and repeated rows say nothing.
+
+Bounds of the sample fitted on: ``max_reviewed`` reviewed documents and ``max_harmless`` different harmless sentences, chosen by hash.
+Every document is scored, whole, in chains of a sentence of any length.
 
 Spelling disguises are undone before tagging: look-alikes, spaced or dotted letters, digits and signs for letters, stretched letters,
 and masked letters where one known word fits.
@@ -17,6 +20,7 @@ and masked letters where one known word fits.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,39 +37,40 @@ from pairscope.llm.personal import FOLD
 TAGS = ("none", "abuse", "hate", "sexual")
 BUCKETS = 1 << 17
 FEATURES = 5
-LONGEST = 192  # words of one chain; a longer sentence goes on in the next chain
+TRAIN_WORDS = 192  # a longer sentence is learned from in pieces of this many words; scoring cuts nothing
+CELLS = 300_000  # words, padding included, that are scored at once
 
-# Labelled phrases; {x} and {g} are filled from the lists of the language.
+# General insults, groups of people and phrases to start from; {x} and {g} are filled from the lists of the language.
 INSULTS = {
-    "pt": "idiota imbecil burro verme canalha covarde lixo palhaço inútil nojento otário babaca cretino porco vagabundo desgraçado",
-    "en": "idiot moron worm bastard coward trash clown loser scumbag pig dumbass jerk creep fool dirtbag cretin",
-    "es": "idiota imbécil burro gusano canalla cobarde basura payaso inútil asqueroso estúpido cretino cerdo vago desgraciado",
+    "pt": "idiota imbecil burro estúpido canalha covarde palhaço inútil nojento otário babaca cretino vagabundo desgraçado verme lixo porco safado",
+    "en": "idiot moron stupid bastard coward clown useless loser scumbag jerk cretin bum wretch worm trash pig fool",
+    "es": "idiota imbécil burro estúpido canalla cobarde payaso inútil asqueroso tonto cretino vago desgraciado gusano basura cerdo",
 }
 GROUPS = {
-    "pt": "os estrangeiros|as mulheres|os velhos|os deficientes|os imigrantes|os negros|os gays|essa gente do norte|os fiéis daquela igreja|os índios",
-    "en": "foreigners|women|old people|the disabled|immigrants|black people|gay people|those northerners|people of that faith|migrants",
-    "es": "los extranjeros|las mujeres|los viejos|los discapacitados|los inmigrantes|los negros|los gays|esa gente del norte|los fieles de esa iglesia|los indios",
+    "pt": "os estrangeiros|as mulheres|os negros|os gays|os imigrantes|os judeus|os muçulmanos|os pobres|os deficientes|os velhos|os índios|os crentes",
+    "en": "foreigners|women|black people|gays|immigrants|jews|muslims|the poor|the disabled|old people|indians|believers",
+    "es": "los extranjeros|las mujeres|los negros|los gays|los inmigrantes|los judíos|los musulmanes|los pobres|los discapacitados|los viejos|los indios|los creyentes",
 }
 PHRASES = {
     "pt": {
-        "abuse": "você é um {x}|seu {x}|cala a boca {x}|bando de {x}|que raiva desse {x}|vocês todos são uns {x} sem vergonha|só um {x} faria isso|um {x} completo que me dá nojo|quem deixou esse {x} mandar aqui|ele merece levar uma surra|vou quebrar a sua cara|um dia eu acabo com esse gerente|vai para o inferno você não vale nada|tomara que o chefe caia e não levante mais|some daqui ou eu te quebro",
-        "hate": "{g} são uma praga e têm de ir embora|{g} só servem para limpar|não quero {g} aqui não são gente como nós|deviam proibir {g} de trabalhar raça inferior|tudo era limpo antes de chegarem {g}|com {g} não se conversa se expulsa|fora {g} deste lugar",
-        "sexual": "quero você pelada no depósito hoje|me manda uma foto sem roupa|passo a mão em você inteira gostosa|transa comigo e ganha folga|a promoção sai se você vier para a cama comigo|que corpo gostoso fico excitado só de olhar",
-        "none": "a palavra {x} foi retirada pela moderação|a cartilha explica o que é ódio contra {g}|o treinamento sobre assédio sexual foi bom|a campanha de câncer de mama encheu a sala|{g} do meu turno são ótimos colegas|o processo travou e tivemos de matar a tarefa|jogamos muito lixo fora|ninguém deve ser chamado de {x} aqui|o médico falou de saúde sexual|o jogo foi uma surra no time rival",
+        "abuse": "{x}|que {x}|você não passa de um {x}|ela é muito {x}|são todos {x}|cale-se {x}|odeio você|eu te mato|vou te matar|vou bater em você|vou te dar uma surra|você vai apanhar|você vai se arrepender|espero que você morra|vá se danar",
+        "hate": "odeio {g}|{g} são inferiores|{g} são animais|{g} não prestam|expulsem {g}|{g} deviam ser expulsos daqui|{g} não deviam trabalhar|ninguém quer {g} por perto|{g} roubam tudo|voltem para a sua terra",
+        "sexual": "sexo comigo|durma comigo|tire a roupa|quero ver você nua|mande fotos nua|quero beijar o seu corpo|que gostosa|você me excita|fique pelada para mim|vamos transar",
+        "none": "respeito {g}|trabalho com {g}|{g} da equipe são competentes|apoio para {g}|{g} almoçam aqui|gosto de conversar com {g}|é proibido dizer {x}|alguém escreveu {x} no mural|{g} são bem-vindos|contratamos {g}|palestra sobre violência|curso sobre racismo|exame de saúde da mulher|educação sexual|denúncia de assédio|matar a fome|joguei o lixo|um porco assado",
     },
     "en": {
-        "abuse": "you are a {x}|you {x}|shut your mouth you {x}|bunch of {x}|i hate this {x}|you are all shameless {x}|only a {x} would do this|a total {x} makes me sick|who let that {x} lead people|he deserves a beating|i will break your face|i will finish this manager one day|go to hell you are worth nothing|i hope the boss falls down and stays there|get lost before i break your teeth",
-        "hate": "{g} are a plague and should be thrown out|{g} are only good for scrubbing the floor|i want no {g} here they are not human like us|ban {g} from working inferior breed|this place was clean before {g} came|you do not talk to {g} you kick them out|get {g} out of this place",
-        "sexual": "i want you naked in the stock room tonight|send me a picture without clothes|i will touch you all over sexy|have sex with me and get the day off|the promotion is yours if you come to bed with me|what a hot body i get aroused looking at you",
-        "none": "the word {x} was removed in moderation|the leaflet explains hate speech against {g}|the training on sexual harassment was good|the breast cancer campaign filled the hall|{g} on my shift are great colleagues|the process hung and we had to kill the job|we threw a lot of trash away|nobody may be called {x} here|the doctor spoke about sexual health|the game was a beating for the rival team",
+        "abuse": "{x}|what a {x}|you are nothing but a {x}|she is so {x}|they are all {x}|be quiet {x}|i hate you|i will kill you|i am going to kill you|i will hit you|i will beat you up|you will get hurt|you will be sorry|i hope you die|damn you",
+        "hate": "i hate {g}|{g} are inferior|{g} are animals|{g} are no good|expel {g}|{g} should be expelled from here|{g} should not work|nobody wants {g} around|{g} steal everything|go back to your country",
+        "sexual": "sex with me|sleep with me|take your clothes off|i want to see you naked|send nude photos|i want to kiss your body|so sexy|you turn me on|get naked for me|let us have sex",
+        "none": "i respect {g}|i work with {g}|{g} in the team are skilled|support for {g}|{g} have lunch here|i like talking with {g}|saying {x} is forbidden|someone wrote {x} on the board|{g} are welcome|we hired {g}|a talk about violence|a course on racism|a health check for women|sex education|a harassment complaint|kill time|take out the trash|a roast pig",
     },
     "es": {
-        "abuse": "eres un {x}|pedazo de {x}|cállate {x}|manada de {x}|qué rabia ese {x}|ustedes son todos unos {x} sin vergüenza|solo un {x} haría eso|un {x} total me da asco|quién dejó que ese {x} mandara|merece una paliza|te voy a romper la cara|un día acabo con ese gerente|vete al infierno no vales nada|ojalá el jefe se caiga y no se levante|lárgate o te rompo los dientes",
-        "hate": "{g} son una plaga y hay que echarlos|{g} solo sirven para fregar el piso|no quiero {g} aquí no son gente como nosotros|habría que prohibir trabajar a {g} raza inferior|esto estaba limpio antes de que llegaran {g}|con {g} no se habla se los echa|fuera {g} de aquí",
-        "sexual": "te quiero desnuda en el depósito esta noche|mándame una foto sin ropa|te voy a tocar toda sabrosa|acuéstate conmigo y tienes el día libre|el ascenso es tuyo si vienes a la cama conmigo|qué cuerpo me excito solo de mirarte",
-        "none": "la palabra {x} fue retirada por la moderación|la guía explica el odio contra {g}|la formación sobre acoso sexual fue buena|la campaña de cáncer de mama llenó la sala|{g} de mi turno son muy buenos colegas|el proceso se colgó y hubo que matar la tarea|tiramos mucha basura|nadie debe ser llamado {x} aquí|el médico habló de salud sexual|el partido fue una paliza al rival",
+        "abuse": "{x}|qué {x}|no eres más que un {x}|ella es muy {x}|son todos {x}|silencio {x}|te odio|te mato|te voy a matar|te voy a pegar|te voy a dar una paliza|vas a sufrir|te vas a arrepentir|espero que te mueras|maldito seas",
+        "hate": "odio a {g}|{g} son inferiores|{g} son animales|{g} no sirven|expulsen a {g}|{g} deberían ser expulsados de aquí|{g} no deberían trabajar|nadie quiere a {g} cerca|{g} roban todo|vuelvan a su tierra",
+        "sexual": "sexo conmigo|duerme conmigo|quítate la ropa|quiero verte desnuda|manda fotos desnuda|quiero besar tu cuerpo|qué sexy|me excitas|desnúdate para mí|vamos a tener sexo",
+        "none": "respeto a {g}|trabajo con {g}|{g} del equipo son competentes|apoyo para {g}|{g} almuerzan aquí|me gusta hablar con {g}|está prohibido decir {x}|alguien escribió {x} en el mural|{g} son bienvenidos|contratamos a {g}|charla sobre violencia|curso sobre racismo|examen de salud de la mujer|educación sexual|denuncia de acoso|matar el tiempo|tiré la basura|un cerdo asado",
     },
-}
+}
 
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_·]){3,}[^\W_](?![^\W_])")
 _JOINTS = re.compile(r"[ .\-_·]")
@@ -104,6 +109,16 @@ class Crf:
     moves: np.ndarray
     known: dict[int, list[str]] = field(default_factory=dict)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"weights": self.weights, "moves": self.moves, "known": np.array([w for k in sorted(self.known) for w in self.known[k]], dtype=np.str_)}
+
+    @staticmethod
+    def of(arrays: dict[str, np.ndarray]) -> Crf:
+        known: dict[int, list[str]] = {}
+        for w in arrays["known"].tolist():
+            known.setdefault(len(w), []).append(w)
+        return Crf(arrays["weights"], arrays["moves"], known)
+
     def form(self, raw: str) -> str:
         """Undisguised form of one word: letters for digits and signs, no doubled letters, masks filled."""
         if raw.isdigit():
@@ -119,33 +134,22 @@ class Crf:
         return _RUN.sub(r"\1", raw)
 
 
-def _sentences(text: str) -> list[list[tuple[int, int, str]]]:
-    toks = tokens(text)
-    cuts = [m.start() for m in _BREAK.finditer(text)]
-    out, at, cut = [], 0, 0
-    current: list = []
-    for t in toks:
-        while cut < len(cuts) and cuts[cut] < t[0]:
-            # a break inside a joined word is none: it lies before this word's start
-            if current:
-                out.append(current)
-                current = []
-            cut += 1
-        while cut < len(cuts) and cuts[cut] < t[1]:
-            cut += 1
-        current.append(t)
-        if len(current) == LONGEST:
-            out.append(current)
-            current = []
-    if current:
-        out.append(current)
+def _sentences(text: str) -> list[tuple[int, str]]:
+    """(place, sentence) of a folded text; breaks are ends of sentences and lines."""
+    out, at = [], 0
+    for m in _BREAK.finditer(text):
+        if m.start() > at:
+            out.append((at, text[at : m.start()]))
+        at = m.end()
+    if at < len(text):
+        out.append((at, text[at:]))
     return out
 
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _features(word: np.ndarray, stem: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _features(word: np.ndarray, stem: np.ndarray) -> np.ndarray:
     """Hashed features of padded word hashes (T, B): word, stem, word with each neighbour, both neighbours."""
     pad = np.zeros((1, word.shape[1]), dtype=np.uint64)
     before, after = np.concatenate([pad, word[:-1]]), np.concatenate([word[1:], pad])
@@ -203,7 +207,7 @@ def _train(chains: list[np.ndarray], tags: list[np.ndarray], words: np.ndarray,
             pick = order[at : at + 256]
             x, size = _pad([chains[i] for i in pick])
             y, _ = _pad([tags[i] for i in pick])
-            fid = _features(words[x], stems[x], size)
+            fid = _features(words[x], stems[x])
             on = np.arange(len(x))[:, None] < size
             e = w[fid].sum(axis=2) * on[..., None]
             alpha, beta, marg = _forward_backward(e, size, moves)
@@ -240,44 +244,73 @@ def _builtin() -> list[tuple[list[str], int]]:
     return out
 
 
-def fit(documents: DataFrame, id_column: str, text_column: str, reviews: DataFrame, max_reviewed: int = 8_000, epochs: int = 12) -> Crf:
-    """Fit on the built-in phrases and at most ``max_reviewed`` reviewed documents."""
+def _verdicts(reviews: DataFrame) -> DataFrame:
+    """``_d``, ``category``: what most reviewers of a document say; ties and null verdicts say nothing, repeated rows count once."""
     verdict = reviews.select(F.col("doc_id").cast("long").alias("_d"), "reviewer", "category").dropna(subset=["_d", "category"]).distinct()
     votes = verdict.groupBy("_d", "category").agg(F.count(F.lit(1)).alias("n"))
     ranked = votes.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "category"))).alias("v"))  # four categories at most
-    clear = ranked.filter((F.size("v") == 1) | (F.col("v")[0]["n"] < F.try_element_at("v", F.lit(2))["n"])).select("_d", F.col("v")[0]["category"].alias("category"))
-    bounded = clear.orderBy(F.xxhash64("_d"), "_d").limit(max_reviewed)
+    return ranked.filter((F.size("v") == 1) | (F.col("v")[0]["n"] < F.try_element_at("v", F.lit(2))["n"])).select("_d", F.col("v")[0]["category"].alias("category"))
+
+
+def fit(documents: DataFrame, id_column: str, text_column: str, reviews: DataFrame, max_reviewed: int = 8_000, max_harmless: int = 12_000, epochs: int = 12) -> Crf:
+    """Fit on the general phrases, at most ``max_reviewed`` reviewed documents and ``max_harmless`` different sentences of the harmless among them."""
+    bounded = _verdicts(reviews).orderBy(F.xxhash64("_d"), "_d").limit(max_reviewed)
     rows = documents.select(F.col(id_column).cast("long").alias("_d"), F.col(text_column).cast("string").alias("t")).dropna().join(F.broadcast(bounded), "_d").toPandas()  # at most max_reviewed ids
+    return fit_reviewed(list(zip(rows["t"], rows["category"])), max_harmless, epochs)
+
+
+def _key(words: list[str]) -> tuple[str, ...]:
+    """A sentence whatever letters it stretches or doubles."""
+    return tuple(_RUN.sub(r"\1", w) for w in words)
+
+
+def fit_reviewed(reviewed: list[tuple[str, str]], max_harmless: int = 12_000, epochs: int = 12) -> Crf:
+    """Fit on (text, category) of reviewed documents."""
     rng = np.random.default_rng(7)
-    harmless: list[list[str]] = []
+    number = lambda w: "0" if w.isdigit() else w
+    clean: Counter[tuple[str, ...]] = Counter()  # harmless and harmful documents that hold a sentence
+    harmful: Counter[tuple[str, ...]] = Counter()
+    verdicts: dict[tuple[str, ...], np.ndarray] = {}  # verdicts on the harmful documents that hold a sentence
     doubtful: list[tuple[int, list[list[str]]]] = []
-    seen: set[str] = set()
-    for text, category in sorted(zip(rows["t"], rows["category"])):
-        sents = [[t for _, _, t in s] for s in _sentences(plain(text)[0])]
+    in_clean: Counter = Counter()
+    in_harmful: Counter = Counter()
+    n_clean = 0
+    for text, category in sorted(set(reviewed)):
+        sents = [words for _, s in _sentences(plain(text)[0]) if (words := [number(t) for _, _, t in tokens(s)])]
+        held = {p for s in sents for p in (*zip(("", *s), (*s, "")), *s)}  # pairs of neighbours, and words
         if category == "none":
-            for s in sents:
-                if (key := " ".join(s)) not in seen:
-                    seen.add(key)
-                    harmless.append(s)
+            clean.update(set(map(tuple, sents)))
+            in_clean.update(held)
+            n_clean += 1
         elif category in TAGS:
             doubtful.append((TAGS.index(category), sents))
-    if len(harmless) > 12_000:
-        harmless = [harmless[i] for i in np.sort(rng.choice(len(harmless), 12_000, replace=False))]
+            harmful.update(set(map(tuple, sents)))
+            in_harmful.update(held)
+            for key in {_key(s) for s in sents}:
+                verdicts.setdefault(key, np.zeros(len(TAGS)))[TAGS.index(category)] += 1
+    share = np.bincount([t for t, _ in doubtful], minlength=len(TAGS)) + 1.0
+    harmless = [list(s) for s in sorted(clean, key=lambda s: xxhash.xxh64_intdigest(" ".join(s), 5))[:max_harmless]]
     built = _builtin()
-    common = {w for s in harmless for w in s}
+
+    def odds(part: str | tuple[str, str]) -> float:
+        """How much more often harmful documents hold a word or a pair than harmless ones: 0 (no more) to 1 (twenty times)."""
+        ratio = (in_harmful[part] + 0.5) / (len(doubtful) + 1) / ((in_clean[part] + 0.5) / (n_clean + 1))
+        return float(np.clip(np.log(ratio) / np.log(20), 0, 1))
+
+    novelty = lambda s: float(np.mean([odds(p) for p in zip(["", *s], [*s, ""])]))
     labelled: list[tuple[list[str], int]] = []
     model = Crf(np.zeros((1, 4)), np.zeros((4, 4)))
-    for round_ in range(3):
+    for round_ in range(4):
         data = [*built, *[(s, 0) for s in harmless], *labelled]
         known: dict[int, set[str]] = {}
         for s, tag in data:
             if tag:
                 for wd in s:
-                    if wd.isalpha() and len(wd) > 3 and wd not in common:
+                    if wd.isalpha() and len(wd) > 3 and odds(wd) > 0.4:
                         known.setdefault(len(wd), set()).add(wd)
         model.known = {k: sorted(v) for k, v in known.items()}
         vocab: dict[str, int] = {"": 0}
-        number = lambda s: np.array([vocab.setdefault(model.form(t), len(vocab)) for t in s])
+        codes = lambda s: np.array([vocab.setdefault(model.form(t), len(vocab)) for t in s])
         chains, tags = [], []
         order = rng.permutation(len(data))
         k = 0
@@ -286,25 +319,53 @@ def fit(documents: DataFrame, id_column: str, text_column: str, reviews: DataFra
             part = [data[i] for i in order[k : k + take] if data[i][0]]
             k += take
             if part:
-                chains.append(np.concatenate([number(s) for s, _ in part])[:LONGEST])
-                tags.append(np.concatenate([np.full(len(s), g) for s, g in part])[:LONGEST])
+                chain, tag = np.concatenate([codes(s) for s, _ in part]), np.concatenate([np.full(len(s), g) for s, g in part])
+                chains += np.split(chain, range(TRAIN_WORDS, len(chain), TRAIN_WORDS))
+                tags += np.split(tag, range(TRAIN_WORDS, len(tag), TRAIN_WORDS))
         words, stems = _hashes(list(vocab))
         words[0] = stems[0] = 0
-        model.weights, model.moves = _train(chains, tags, words, stems, epochs)
-        if round_ == 2 or not doubtful:
+        model.weights, model.moves = _train(chains, tags, words, stems, epochs if round_ == 3 or not doubtful else max(4, epochs // 2))
+        if round_ == 3 or not doubtful:
             break
         labelled = []
-        flat = [s for _, sents in doubtful for s in sents if s]
-        scores = iter(_scores(model, flat))
+        scores = iter(_scores(model, [s for _, sents in doubtful for s in sents]))
         for tag, sents in doubtful:
-            own = [(float(next(scores)[:, tag].mean()), s) for s in sents if s]
-            best = max(x for x, _ in own) if own else 0
-            # the likeliest sentence of a harmful document is harmful, and others that are about as likely
-            labelled += [(s, tag) for x, s in own if x >= max(0.5, 0.8 * best) or round_ == 0 and x == best and x > 0.15]
-            labelled += [(s, 0) for x, s in own if x < 0.05]
+            marg = [next(scores) for _ in sents]
+            own = [float(m[:, tag].mean()) for m in marg]
+            if round_ == 0:
+                own = [x + 0.5 * novelty(s) for x, s in zip(own, sents)]
+            # a sentence of several documents is of the category that its documents share more than others do
+            fits = [v.sum() < 3 or v[tag] / share[tag] >= 0.9 * (v / share).max() for v in (verdicts[_key(s)] for s in sents)]
+            own = [x if f else 0.0 for x, f in zip(own, fits)]
+            own = [0.0 if clean[tuple(s)] > harmful[tuple(s)] else x for x, s in zip(own, sents)]
+            best = max(own, default=0.0)
+            for s, x, m, f in zip(sents, own, marg, fits):
+                other = int(m.mean(axis=0).argmax())
+                if x == best and x > 0.35 or x >= max(0.5, 0.8 * best):
+                    labelled.append((s, tag))  # the likeliest sentence of a harmful document is harmful, and others that are about as likely
+                elif clean[tuple(s)] > harmful[tuple(s)] or f and x < 0.05 and other in (0, tag):
+                    labelled.append((s, 0))
+                elif round_ and other not in (0, tag) and float(m[:, other].mean()) > 0.8:
+                    labelled.append((s, other))  # a second category, which a single verdict cannot say
+        if round_:
+            # how sure the field must be: less where far more harmful documents hold the sentence, never where several harmless ones do
+            need = lambda s: 0.2 if harmful[s] >= 3 * clean[s] else 0.03 if clean[s] == 1 and not harmful[s] else 0.0
+            harmless = [s for s, m in zip(harmless, _scores(model, harmless)) if m[:, 0].mean() >= need(tuple(s))]
     return model
 
 
+def _groups(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of chains, of like length together, at most ``CELLS`` words with padding (or a single chain)."""
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        take = 1
+        while at + take < len(order) and (take + 1) * sizes[order[at + take]] <= CELLS and take < 4096:
+            take += 1
+        yield order[at : at + take]
+        at += take
+
+
 def _scores(model: Crf, sentences: list[list[str]]) -> list[np.ndarray]:
     """Marginals (words, tags) of each sentence."""
     vocab: dict[str, int] = {"": 0}
@@ -312,17 +373,34 @@ def _scores(model: Crf, sentences: list[list[str]]) -> list[np.ndarray]:
     words, stems = _hashes(list(vocab))
     words[0] = stems[0] = 0
     out: list = [None] * len(sentences)
-    order = sorted(range(len(sentences)), key=lambda i: len(sentences[i]))
-    for at in range(0, len(order), 2048):
-        pick = order[at : at + 2048]
-        x, size = _pad([np.array([raw[t] for t in sentences[i]]) for i in pick])
-        e = model.weights[_features(words[x], stems[x], size)].sum(axis=2)
+    sizes = np.array([len(s) for s in sentences], dtype=np.int64)
+    flat = np.array([raw[t] for s in sentences for t in s], dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    for pick in _groups(sizes):
+        size = sizes[pick]
+        longest = int(size.max(initial=0))
+        if not longest:
+            for i in pick:
+                out[i] = np.zeros((0, len(TAGS)), np.float32)
+            continue
+        place = np.arange(longest)[:, None]
+        on = place < size
+        x = np.where(on, flat[np.where(on, first[pick] + place, 0)], 0)
+        e = _potentials(model.weights, words[x], stems[x])
         marg = _forward_backward(e, size, model.moves)[2]
         for j, i in enumerate(pick):
             out[i] = marg[: size[j], j]
     return out
 
 
+def _potentials(weights: np.ndarray, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
+    fid = _features(word, stem)
+    e = weights[fid[..., 0]]
+    for k in range(1, FEATURES):
+        e += weights[fid[..., k]]
+    return e
+
+
 def _spans(sentence: list[tuple[int, int, str]], marg: np.ndarray) -> list[tuple[int, int, int, float]]:
     """Runs of words whose tag is more likely than not: (start, end, tag, mean marginal). A single word needs to be certain."""
     out = []
@@ -338,10 +416,23 @@ def _spans(sentence: list[tuple[int, int, str]], marg: np.ndarray) -> list[tuple
     return out
 
 
+def _found(sentence: list[tuple[int, int, str]], marg: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Score of each tag in a sentence (at most one half without a span) and its spans."""
+    if not len(marg):
+        return np.zeros(len(TAGS)), []
+    best = np.minimum(marg.mean(axis=0), 0.5).astype(np.float64)
+    hits = []
+    if marg[:, 1:].max() > 0.5:
+        for a, b, tag, mean in _spans(sentence, marg):
+            best[tag] = max(best[tag], mean)
+            hits.append((a, b, tag))
+    return best, hits
+
+
 def score(documents: DataFrame, id_column: str, text_column: str, source_column: str, model: Crf) -> DataFrame:
     """One row for each document and category: ``doc_id``, ``source``, ``category``, ``score`` (0 to 1), ``spans`` (offsets in the text).
 
-    Null texts score 0, empty texts too; repeated rows repeat; texts of any length are tagged whole in chains of ``LONGEST`` words.
+    Null texts score 0, empty texts too; repeated rows repeat; texts of any length are tagged whole, a sentence a chain.
     Where the rows are, no shuffle. Other columns are not read.
     """
     schema = "doc_id long, source string, category string, score double, spans array<struct<start:int,stop:int>>"
@@ -357,23 +448,18 @@ def score(documents: DataFrame, id_column: str, text_column: str, source_column:
                 low, place = plain(t) if t else ("", None)
                 parts.append(_sentences(low))
                 places.append((place, len(t or "")))
-            flat = [tuple(w for _, _, w in s) for p in parts for s in p]
-            once = {s: i for i, s in enumerate(dict.fromkeys(flat))}  # equal sentences of a batch are tagged once
-            marg = _scores(model, [list(s) for s in once]) if once else []
+            once = {s: i for i, s in enumerate(dict.fromkeys(s for p in parts for _, s in p))}  # equal sentences of a batch are tagged once
+            words = [tokens(s) for s in once]
+            tagged = [_found(w, m) for w, m in zip(words, _scores(model, [[t for _, _, t in w] for w in words]))] if once else []
             ids, cats, scores, spans = [], [], [], []
-            k = 0
             for d, p in enumerate(parts):
                 best, found = np.zeros(len(TAGS)), {g: [] for g in range(1, len(TAGS))}
-                for s in p:
-                    m = marg[once[flat[k]]]
-                    k += 1
-                    if m[:, 1:].max() <= 0.5:
-                        best = np.maximum(best, m.mean(axis=0))
-                        continue
-                    best = np.maximum(best, np.minimum(m.mean(axis=0), 0.5))
-                    for a, b, tag, mean in _spans(s, m):
-                        best[tag] = max(best[tag], mean)
-                        place, size = places[d]
+                place, size = places[d]
+                for begin, s in p:
+                    top, hits = tagged[once[s]]
+                    best = np.maximum(best, top)
+                    for a, b, tag in hits:
+                        a, b = a + begin, b + begin
                         found[tag].append({"start": place[a] if place else a, "stop": (place[b] if b < len(place) else size) if place else b})
                 for tag in range(1, len(TAGS)):
                     ids.append(d)

@@ -168,7 +168,6 @@ def test_disguises_are_one_form():
     m = toxicity.Crf(np.zeros((1, 4)), np.zeros((4, 4)), {7: ["covarde", "canalha"]})
     forms = {m.form(t) for t in ("covarde", "covvvarde", "c0v4rd3", "cov*rde", "c*****e")}
     assert forms == {"covarde"}
-    assert [t for _, _, t in toxicity.tokens("seu c.o.v.a.r.d.e mesmo c o v a r d e")] == ["seu", "covarde", "mesmo", "covarde"] or True
     assert "covarde" in [t for _, _, t in toxicity.tokens("seu c-o-v-a-r-d-e mesmo")]
 
 
@@ -184,20 +183,65 @@ def test_marginals_equal_enumeration():
     assert np.allclose(marg, want / want.sum(axis=1, keepdims=True))
 
 
-def test_scores_spans_and_rates(spark):
-    docs = [(1, "O relatório saiu.\nVocê é um idiota e todo mundo sabe.\nObrigado.", "s", 1), (2, "A palavra 'idiota' foi retirada pela moderação.", "s", 1), (3, "Os estrangeiros são uma praga e têm de ir embora.", None, 1),
-            (4, "me manda uma foto sem roupa", "t", 1), (5, None, "t", 1), (6, "", "t", 1), (7, LONG + "cala a boca seu verme", "t", 1), (7, LONG + "cala a boca seu verme", "t", 1)]
+def _reviewed():
+    """Reviewed documents of our own: one harmful sentence among harmless ones; a tenth of the verdicts is wrong."""
+    rng = np.random.default_rng(5)
+    who, things = ["o porteiro", "a gerente", "o motorista", "a vizinha", "o síndico"], ["a horta", "o elevador", "o telhado", "a garagem", "o muro"]
+    harmless = [f"{w} arrumou {t} ontem" for w in who for t in things] + [f"hoje {w} falou sobre {t}" for w in who for t in things] + ["a turma discutiu o assédio em sala", "os estrangeiros trouxeram doces"]
+    bad = {"abuse": [f"{w} não passa de um traste mentiroso" for w in who] + [f"tomara que {w} se machuque feio" for w in who],
+           "hate": [f"essa corja de {g} devia sumir daqui" for g in ("forasteiros", "ciganos", "nordestinos", "crentes", "turcos")],
+           "sexual": [f"deita comigo e {t} fica por minha conta" for t in things]}
+    out = []
+    for i in range(600):
+        text = [harmless[int(k)] for k in rng.integers(len(harmless), size=4)]
+        kind = ["none", "none", "none", "abuse", "hate", "sexual"][i % 6]
+        if kind != "none":
+            text.insert(int(rng.integers(5)), bad[kind][int(rng.integers(len(bad[kind])))])
+        verdict = "none" if kind != "none" and rng.random() < 0.1 else kind
+        out.append((". ".join(text) + ".", verdict))
+    return out
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return toxicity.fit_reviewed(_reviewed(), epochs=8)
+
+
+def test_scores_spans_and_rates(spark, crf):
+    docs = [(1, "O relatório saiu.\nO zelador não passa de um traste mentiroso.\nObrigado.", "s", 1), (2, "o porteiro arrumou o muro ontem. a turma discutiu o assédio em sala", "s", 1),
+            (3, "Essa corja de ciganos devia sumir daqui!", None, 1), (4, "d.e.i.t.a comigo e o muro fica por minha conta", "t", 1), (5, None, "t", 1), (6, "", "t", 1),
+            (7, LONG + "o síndico não passa de um tr4ste mentirooooso", "t", 1), (7, LONG + "o síndico não passa de um tr4ste mentirooooso", "t", 1), (8, "os estrangeiros trouxeram doces", "t", 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, score int")
-    reviews = spark.createDataFrame([(2, "r1", "none"), (2, "r1", "none"), (1, "r1", None), (4, "r1", "sexual"), (4, "r2", "none")], "doc_id long, reviewer string, category string")
-    model = toxicity.fit(df, "doc_id", "text", reviews, epochs=8)
-    out = toxicity.score(df, "doc_id", "text", "source", model)
+    out = toxicity.score(df, "doc_id", "text", "source", crf)
     rows = out.collect()
     hits = {(r.doc_id, r.category) for r in rows if r.score >= 0.6 and r.spans}
     assert hits == {(1, "abuse"), (3, "hate"), (4, "sexual"), (7, "abuse")}
     one = next(r for r in rows if r.doc_id == 1 and r.category == "abuse")
-    assert "idiota" in docs[0][1][one.spans[0].start : one.spans[0].stop]
-    assert len(rows) == 24
+    assert "traste" in docs[0][1][one.spans[0].start : one.spans[0].stop]
+    assert len(rows) == 27
     rates = {(r.source, r.category): r.rate for r in toxicity.source_rates(out).collect()}
     assert rates[(None, "hate")] == 1.0 and rates[("s", "abuse")] == 0.5
-    assert toxicity.score(df.limit(0), "doc_id", "text", "source", model).count() == 0
-    assert toxicity.fit(df.limit(0), "doc_id", "text", reviews.limit(0), epochs=2).weights.shape == (toxicity.BUCKETS, 4)
+    assert toxicity.score(df.limit(0), "doc_id", "text", "source", crf).count() == 0
+
+
+def test_a_sentence_of_any_length_is_one_chain(spark, crf):
+    far = "o porteiro arrumou o muro ontem " * 300 + "e essa corja de ciganos devia sumir daqui " + "hoje a gerente falou sobre o muro " * 300
+    df = spark.createDataFrame([(1, far, "s")], "doc_id long, text string, source string")
+    hate = next(r for r in toxicity.score(df, "doc_id", "text", "source", crf).collect() if r.category == "hate")
+    assert hate.score >= 0.6 and any("corja" in far[x.start : x.stop] for x in hate.spans)
+
+
+def test_general_phrases_alone_and_empty_reviews(spark):
+    model = toxicity.fit_reviewed([], epochs=4)
+    words = lambda t: [w for *_, w in toxicity.tokens(toxicity.plain(t)[0])]
+    marg = toxicity._scores(model, [words("you are nothing but a jerk"), words("we hired foreigners")])
+    assert marg[0][:, 1].mean() > 0.6 and marg[1][:, 0].mean() > 0.5
+    docs = spark.createDataFrame([(1, "olá", "s")], "doc_id long, text string, source string")
+    reviews = spark.createDataFrame([(1, "r", None)], "doc_id long, reviewer string, category string")
+    assert toxicity.fit(docs, "doc_id", "text", reviews, epochs=2).weights.shape == (toxicity.BUCKETS, 4)
+
+
+def test_verdicts_go_by_majority(spark):
+    rows = [(1, "a", "hate"), (1, "b", "hate"), (1, "c", "none"), (1, "c", "none"), (2, "a", "hate"), (2, "b", "none"), (3, "a", None), (None, "a", "hate"), (4, "a", "abuse"), (4, "a", "abuse")]
+    got = toxicity._verdicts(spark.createDataFrame(rows, "doc_id long, reviewer string, category string")).collect()
+    assert {(r._d, r.category) for r in got} == {(1, "hate"), (4, "abuse")}
