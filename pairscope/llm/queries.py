@@ -44,6 +44,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("partition").alias("direction"), F.col("query_id").alias("query_pair_id"), F.col("document_id").alias("document_pair_id"))
 
 
+def p4_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same without any loss: every cell is visited that can hold a neighbour."""
+    out = neighbors.top_neighbors(table(spark, d, "pair_vectors"), "pair_id", "direction", "query_embedding", "document_embedding", 5, 0.9, spread=neighbors.EXACT)
+    return out.select(F.col("partition").alias("direction"), F.col("query_id").alias("query_pair_id"), F.col("document_id").alias("document_pair_id"), "place")
+
+
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Language that the given detector is sure of, by field; null where it is ambiguous or undecided."""
     sure = lambda side: F.when(~F.coalesce(F.col(f"{side}_ambiguous"), F.lit(True)), F.col(f"{side}_predicted"))
@@ -136,7 +142,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.source_rates(_scored(spark, d), TOXIC_AT)
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p5_documents": p5_documents, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_consistent": p6_consistent}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p4_exact": p4_exact, "p5_found": p5_found, "p5_segments": p5_segments, "p5_documents": p5_documents, "p6_found": p6_found, "p7_found": p7_found, "p7_near": p7_near, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_consistent": p6_consistent}
 # Windows of ten folded words, joined as strings.
 _WORDS = "string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' ')"
 _WINDOWS = "SELECT DISTINCT {id}, array_to_string(w[i:i + 9], ' ') AS k FROM (SELECT {id}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {id}, " + _WORDS + " AS w FROM {t}) WHERE len(w) >= 10)"
@@ -149,6 +155,10 @@ ORACLES: dict[str, str] = {
                THEN array_to_string(list_sort(list_transform(parts, lambda x: {_CANON})), '|') ELSE list_transform([source_pt], lambda x: {_CANON})[1] END AS c FROM t),
         g AS (SELECT c, min(pair_id) AS kept_pair_id FROM c GROUP BY 1 HAVING count(*) > 1)
         SELECT DISTINCT kept_pair_id, pair_id FROM c JOIN g USING (c) WHERE pair_id <> kept_pair_id""",
+    "p4_exact": """WITH q AS (SELECT DISTINCT direction, pair_id, query_embedding::DOUBLE[] AS v FROM pair_vectors WHERE query_embedding IS NOT NULL AND list_inner_product(query_embedding::DOUBLE[], query_embedding::DOUBLE[]) > 0),
+        d AS (SELECT DISTINCT direction, pair_id, document_embedding::DOUBLE[] AS v FROM pair_vectors WHERE document_embedding IS NOT NULL AND list_inner_product(document_embedding::DOUBLE[], document_embedding::DOUBLE[]) > 0),
+        s AS (SELECT q.direction, q.pair_id AS query_pair_id, d.pair_id AS document_pair_id, max(list_cosine_similarity(q.v, d.v)) AS c FROM q JOIN d USING (direction) GROUP BY 1, 2, 3 HAVING c >= 0.9)
+        SELECT direction, query_pair_id, document_pair_id, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY direction, query_pair_id ORDER BY c DESC, document_pair_id) AS place FROM s) WHERE place <= 5""",
     "p6_found": r"""WITH v AS (SELECT pair_id, 'source_pt' AS field, source_pt AS t FROM paired_responses UNION ALL SELECT pair_id, 'translation_en', translation_en FROM paired_responses),
         e AS (SELECT pair_id, field, regexp_replace(t, '[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]\x{200D}[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]', '', 'g') AS t FROM v)
         SELECT DISTINCT pair_id, field FROM e WHERE regexp_matches(t, '[\x{A0}\x{AD}\x{300}-\x{36F}\x{370}-\x{52F}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FB00}-\x{FB06}\x{FEFF}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}]')""",

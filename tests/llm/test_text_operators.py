@@ -112,7 +112,7 @@ HELD_OUT = [
     ("Spoke with Bartholomew Quigley about the rota", "name"), ("My name is Ngozi Adeyemi and I like it here", "name"), ("Meu nome é Euclides Przybylski", "name"), ("Sra. Wojciechowska foi gentil", "name"),
     ("falei com Tarcila Venancourt na sexta", "name"), ("ask for Mr. Oyelaran at the desk", "name"), ("recebi ajuda de E. Przybylski ontem", "name"), ("ass.: Ludmila Venancourt", "name"), ("the nurse Zuri helped", ""),
     ("write to zuri_99@clinic.example.org today", "email"), ("meu e-mail: tarcila (arroba) posto (ponto) example", "email"), ("ngozi at mail dot example dot net", "email"), ("@zuri respondeu", ""), ("meet at noon at the gate", ""),
-    ("call +44 20 7946-0958 now", ""), ("ligue (11) 93456-7890", "phone"), ("tel 3456-7890 ramal 12", "phone"), ("whatsapp 11 93456-7890", "phone"), ("lote 34567890 chegou", ""), ("em 2023 vendemos 3456789 peças", ""),
+    ("call +44 20 7946-0958 now", "phone"), ("ligue (11) 93456-7890", "phone"), ("tel 3456-7890 ramal 12", "phone"), ("whatsapp 11 93456-7890", "phone"), ("lote 34567890 chegou", ""), ("em 2023 vendemos 3456789 peças", ""),
     ("CPF 390.533.447-05 na ficha", "id_number"), ("RG 45.678.912-3", "id_number"), ("passport 123456789", "id_number"), ("protocolo 390533447-05", ""), ("ssn 987-65-4329", "id_number"), ("pedido nº 123-45-678", ""),
     ("moro na Alameda Jacarandá Mimoso, 88", "address"), ("12 Tottenham Lane is my place", "address"), ("rodovia BR-101, km 33", "address"), ("na rua ao lado, 20 horas", ""), ("quadra 12 lote 4", "address"), ("três ruas e 40 casas", ""),
 ]
