@@ -3,11 +3,11 @@
 Method: CGK random-walk embedding. Texts are folded to words (case, accents, punctuation and spacing go). Every window of
 ``window`` words, of items and of documents, is walked over with shared random bits: a step writes the word under the pointer and
 moves on or stays by a bit of step and word. The embedding maps few edits to a small Hamming distance, so windows within
-``max_edits`` word edits agree in most places. ``tables`` bit-sampling tables hash sampled places of the walk; their number
-is set by ``tables_for`` so that a window at the distance limit is met with the target recall. Equal windows collide in every
-table. Where ``max_edits + 1`` parts of a window have ``LEAST_PART`` words or more, these are looked up instead: that many edits
-leave one part as it is, so none is missed, and words put in or left out only shift it. Every candidate is verified by the exact
-edit distance of the item's window to the best stretch of the document around the hit, of whatever length.
+``max_edits`` word edits agree in most places. Bit-sampling tables hash sampled places of the walk; ``tables_for`` finds by simulation how
+many are needed so that an edited window is met with the target recall. Equal windows collide in every table. An exact way handles the rest:
+``max_edits + 1`` parts of a window cannot all be edited, so each part of ``LEAST_PART`` words or more is a table too, and no edited
+window is missed. Every candidate is verified by the exact edit distance of the item's window to the best stretch of the document around the
+hit, of whatever length. A window of the whole item would miss passages that are a part of it, so windows are of the size of a passage.
 
 Items are a stated query set: their windows travel with the task, in blocks of at most ``BLOCK_WINDOWS`` windows (about 20 MB);
 a larger set makes more passes over the corpus, never a larger broadcast. Documents are read once a pass, where they are, whole;
@@ -16,10 +16,10 @@ only matches leave a task.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,16 +29,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_WINDOWS = 200_000
-SAMPLED = 5  # places of the walk that a table hashes
+SAMPLED = 7  # places of a walk that a table hashes: enough to hold several words, as a walk may stay on one
 LEAST_PART = 3  # words
+MOST_TABLES = 48
+FILTER_BITS = 20
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Folding(dict):
+    """Characters without their accents, filled as they come."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = got = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        return got
+
+
+_FOLDING = _Folding()
+
+
 def words(text: str) -> list[str]:
     """Folded words of a text."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = text.translate(_FOLDING)
     return _WORD.findall(text.casefold())
 
 
@@ -47,37 +60,53 @@ def hash_words(tokens: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in unique], dtype=np.uint64)[codes] if len(tokens) else np.zeros(0, np.uint64)
 
 
+@lru_cache(16)
 def tables_for(window: int, max_edits: int, recall: float) -> int:
-    """Tables needed so that a window of ``max_edits`` edits is met with probability ``recall``.
-
-    An edit disturbs about nine places of the walk (measured) until the pointers meet again, of three for each word.
-    """
+    """Tables needed so that a window of ``max_edits`` edits is met with probability ``recall``: by simulation on random words, at most ``MOST_TABLES``."""
     if max_edits == 0:
         return 1
-    agree = max(0.05, 1 - 9 * max_edits / (3 * window)) ** SAMPLED
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    rng = np.random.default_rng(101)
+    n = 2_000
+    plain = rng.integers(1, 2**63, (n, window), dtype=np.uint64)
+    edited = np.zeros_like(plain)
+    for row, out in zip(plain, edited):
+        w = row.tolist()
+        for _ in range(max_edits):
+            at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+            new = [int(rng.integers(1, 2**63))]
+            w = [*w[:at], *(new if kind == 0 else [*new, w[at]] if kind == 1 else []), *w[at + 1 :]]
+        out[:] = [*w, *rng.integers(1, 2**63, window).tolist()][:window]  # what follows in the document
+    met = np.cumsum(embed_keys(plain, MOST_TABLES) == embed_keys(edited, MOST_TABLES), axis=0) > 0
+    enough = np.flatnonzero(met.mean(axis=1) >= recall)
+    return int(enough[0]) + 1 if len(enough) else MOST_TABLES
 
 
 def embed_keys(tokens: np.ndarray, tables: int, seed: int = 29) -> np.ndarray:
-    """(tables, n) keys of windows (n, w): the sampled places of their random walks, hashed."""
+    """(tables, n) keys of windows (n, w): the sampled places of their random walks, hashed.
+
+    Each table has a walk of its own, and every other one reads the window from its end, so that an edit near either end, after which
+    a walk may not find back, spoils few tables.
+    """
     n, w = tokens.shape
-    steps = 3 * w
-    rng = np.random.default_rng(seed)
-    salt = rng.integers(1, 2**63, steps, dtype=np.uint64) | np.uint64(1)
-    sampled = [set(rng.choice(2 * w, SAMPLED, replace=False).tolist()) for _ in range(tables)]
-    last = max(max(s) for s in sampled)
     keys = np.zeros((tables, n), dtype=np.uint64)
-    pointer = np.zeros(n, dtype=np.int64)
-    flat, base = tokens.ravel(), np.arange(n) * w
-    with np.errstate(over="ignore"):
-        for j in range(last + 1):
-            inside = pointer < w
-            token = np.where(inside, flat[base + np.minimum(pointer, w - 1)], np.uint64(0))
-            for t in range(tables):
-                if j in sampled[t]:
-                    keys[t] = (keys[t] ^ token) * _ODD
-                    keys[t] ^= keys[t] >> np.uint64(29)
-            pointer += ((token * salt[j]) >> np.uint64(63)).astype(np.int64)
+    begin = np.arange(n) * w
+    places = max(3 * w // 2, SAMPLED)  # later ones lie beyond the end for most walks
+    for t, key in enumerate(keys):
+        rng = np.random.default_rng([seed, t])
+        salt = rng.integers(1, 2**63, places, dtype=np.uint64) | np.uint64(1)
+        sampled = set(rng.choice(places, SAMPLED, replace=False).tolist())
+        flat = (tokens[:, ::-1] if t % 2 else tokens).ravel()
+        at = begin.copy()
+        with np.errstate(over="ignore"):
+            for j in range(max(sampled) + 1):
+                inside = at < begin + w
+                token = flat[np.minimum(at, begin + w - 1)]
+                token[~inside] = 0
+                if j in sampled:
+                    key ^= token
+                    key *= _ODD
+                    key ^= key >> np.uint64(29)
+                at += ((token * salt[j]) >> np.uint64(63)).astype(np.int64)
     return keys
 
 
@@ -91,21 +120,20 @@ def part_keys(tokens: np.ndarray) -> np.ndarray:
     return keys
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, limit: int, free: bool = False) -> int:
-    """Word edits between two windows, with ``free`` between a and the nearest stretch of b; ``limit + 1`` if there are more."""
-    if np.array_equal(a, b):
-        return 0
-    if limit == 0 and not free:
-        return 1
-    a, b = a.tolist(), b.tolist()
-    row = [0] * (len(b) + 1) if free else list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > limit:
-            return limit + 1
-    return min(row) if free else row[-1]
+def edit_distances(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Word edits between each row of ``a`` (n, w) and the nearest stretch of the same row of ``b`` (n, m); ``limit + 1`` if there are more.
+
+    Zero words of ``b`` are none and match nothing.
+    """
+    n, m = b.shape
+    row = np.zeros((m + 1, n), dtype=np.int16)
+    for i in range(a.shape[1]):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        for j in range(m):
+            new[j + 1] = np.minimum(np.minimum(row[j + 1], new[j]) + 1, row[j] + (a[:, i] != b[:, j]))
+        row = new
+    return np.minimum(row.min(axis=0), limit + 1)
 
 
 def _windows(flat: np.ndarray, sizes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +145,29 @@ def _windows(flat: np.ndarray, sizes: np.ndarray, w: int) -> tuple[np.ndarray, n
     return starts, owner
 
 
+class _Table:
+    """Keys of a block of item windows, sorted, with a bit filter before the search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.filter[keys >> np.uint64(64 - FILTER_BITS)] = True
+
+    def meet(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``keys``, item window) of every equal pair."""
+        maybe = np.flatnonzero(self.filter[keys >> np.uint64(64 - FILTER_BITS)])
+        low, high = np.searchsorted(self.keys, keys[maybe], "left"), np.searchsorted(self.keys, keys[maybe], "right")
+        n = high - low
+        first = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) if len(n) else low
+        return np.repeat(maybe, n), self.order[first + np.arange(n.sum())]
+
+
 def leaked(
     documents: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str,
-    window: int = 10, max_edits: int = 0, recall: float = 0.95,
+    window: int = 10, max_edits: int = 1, recall: float = 0.95,
 ) -> DataFrame:
-    """Distinct ``doc_id``, ``item_id`` with ``n_windows`` (matching windows) and ``edits`` (fewest) for every document that
+    """Distinct ``doc_id``, ``item_id`` with ``n_windows`` (windows of the item that are met) and ``edits`` (fewest) for every document that
     holds ``window`` words of an item within ``max_edits`` word edits (put in, left out or replaced).
 
     Null ids or texts take no part; items shorter than the window have no match, nor have documents shorter by more than ``max_edits``; an empty item set or corpus gives
@@ -137,16 +183,24 @@ def leaked(
     out_schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("edits", pa.int32())])
 
     bounds = [round(window * j / (max_edits + 1)) for j in range(max_edits + 2)]
-    by_parts = max_edits > 0 and window // (max_edits + 1) >= LEAST_PART
-    # where a lookup's words begin in the window, how many they are, and their keys
-    lookups = [(a, b - a, part_keys) for a, b in zip(bounds, bounds[1:])] if by_parts else [(0, window, lambda x: embed_keys(x, tables))]
+    parts = [(a, b - a) for a, b in zip(bounds, bounds[1:])] if max_edits and window // (max_edits + 1) >= LEAST_PART else []
 
     def search(block: np.ndarray, owners: np.ndarray) -> DataFrame:
-        held = []
-        for offset, length, keys_of in lookups:
-            keys = keys_of(block[:, offset : offset + length])
-            order = np.argsort(keys, axis=1, kind="stable")
-            held.append((offset, length, keys_of, np.take_along_axis(keys, order, axis=1), order))
+        held = [(0, window, lambda x: embed_keys(x, tables), [_Table(k) for k in embed_keys(block, tables)])]
+        held += [(offset, length, part_keys, [_Table(part_keys(block[:, offset : offset + length])[0])]) for offset, length in parts]
+
+        def candidates(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Distinct (document, item window, where the window would begin), as each table meets them."""
+            met = []
+            for offset, length, keys_of, found in held:
+                starts, owner = _windows(flat, sizes, length)
+                for at in range(0, len(starts), 50_000):
+                    first = starts[at : at + 50_000]
+                    for table, keys in zip(found, keys_of(flat[first[:, None] + np.arange(length)])):
+                        hit, k = table.meet(keys)
+                        met.append(np.stack([owner[at + hit], k, first[hit] - offset]))
+            every = np.concatenate(met, axis=1) if met else np.zeros((3, 0), np.int64)
+            return tuple(np.unique(every, axis=1)) if every.shape[1] else tuple(every)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -154,41 +208,23 @@ def leaked(
                 flat = hash_words([w for s in split for w in s])
                 sizes = np.array([len(s) for s in split], dtype=np.int64)
                 end = np.cumsum(sizes)
-                met: set[tuple[int, int, int]] = set()  # document, item window, where the window would begin
-                for offset, length, keys_of, ordered, order in held:
-                    starts, owner = _windows(flat, sizes, length)
-                    for at in range(0, len(starts), 100_000):
-                        first = starts[at : at + 100_000]
-                        own = keys_of(flat[first[:, None] + np.arange(length)])
-                        for t in range(len(own)):
-                            low = np.searchsorted(ordered[t], own[t], "left")
-                            hit = np.flatnonzero(ordered[t][np.minimum(low, len(block) - 1)] == own[t])
-                            for i in hit:
-                                k = low[i]
-                                while k < len(block) and ordered[t][k] == own[t][i]:
-                                    met.add((int(owner[at + i]), int(order[t][k]), int(first[i]) - offset))
-                                    k += 1
-                best: dict[tuple[int, int], list[int]] = {}
-                before = (-1, -1, 0)
-                for i, k, place in sorted(met):
-                    begin, stop = int(end[i] - sizes[i]), int(end[i])
-                    if place >= begin and place + window <= stop and np.array_equal(flat[place : place + window], block[k]):
-                        edits = 0
-                    elif max_edits:
-                        edits = edit_distance(block[k], flat[max(begin, place - max_edits) : min(stop, place + window + max_edits)], max_edits, True)
-                    else:
-                        continue
-                    if edits <= max_edits:
-                        got = best.setdefault((i, int(owners[k])), [0, edits])
-                        got[0] += (i, k) != before[:2] or place > before[2] + max_edits  # the same stretch counts once
-                        got[1] = min(got[1], edits)
-                        before = (i, k, place)
-                if best:
-                    place = [p for p, _ in best]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(place)), pa.array([i for _, i in best], pa.int64()), pa.array([v[0] for v in best.values()], pa.int64()), pa.array([v[1] for v in best.values()], pa.int32())],
-                        schema=out_schema,
-                    )
+                doc, k, place = candidates(flat, sizes)
+                edits = np.full(len(doc), max_edits + 1)
+                for at in range(0, len(doc), 20_000):
+                    some = slice(at, at + 20_000)
+                    # the document's words around the hit; none beyond its ends
+                    where = place[some, None] + np.arange(-max_edits, window + max_edits)
+                    inside = (where >= (end - sizes)[doc[some], None]) & (where < end[doc[some], None])
+                    around = np.where(inside, flat[np.clip(where, 0, max(len(flat) - 1, 0))], np.uint64(0))
+                    edits[some] = edit_distances(block[k[some]], around, max_edits)
+                good = edits <= max_edits
+                doc, k, edits = doc[good], k[good], edits[good]
+                if not len(doc):
+                    continue
+                best = pd.DataFrame({"d": doc, "i": owners[k], "k": k, "e": edits}).groupby(["d", "i"], sort=True).agg(n=("k", "nunique"), e=("e", "min")).reset_index()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(best["d"].to_numpy())), pa.array(best["i"].to_numpy(), pa.int64()), pa.array(best["n"].to_numpy(), pa.int64()), pa.array(best["e"].to_numpy(), pa.int32())], schema=out_schema
+                )
 
         return docs.mapInArrow(run, schema)
 

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 1. Every document's size in tokens of a public tokenizer, in Arrow batches where the rows are.
-2. Token mass of each cell (source, language, topic): one map-side combined aggregate. The cells are at most
-   sources x languages x topics many, whatever the corpus holds; only they come to the driver.
+2. Token mass of each cell (source, language, topic): one map-side combined aggregate. Labels are put into classes first: the
+   ``max_classes`` languages and topics of most tokens are classes of their own, all others one class together, so that the cells are at most
+   targets x (classes + 1) x (classes + 1) many, whatever is written into the columns; only they come to the driver.
 3. Raking: cell weights are scaled in turn to the source, language and topic marginals, kept at or under the source's largest
    number of repeats, and end on the source marginal, which is the one that must hold.
 4. Sampling: a document of weight w is taken floor(w) times and once more with probability w - floor(w). The draw is systematic
@@ -77,10 +78,15 @@ def _language(column: str):
     return F.when(lang.isNull() | (lang == "und") | (lang == ""), "und").otherwise(lang)
 
 
-def _plan(sized: DataFrame, targets: DataFrame, total: float | None) -> tuple[list[tuple], list[tuple]]:
+def _classes(sized: DataFrame, column: str, most: int) -> DataFrame:
+    """Labels of most tokens (ties by label) as they are, the others as one class."""
+    top = [r[column] for r in sized.groupBy(column).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), column).limit(most).collect()]
+    return sized.withColumn(column, F.when(F.col(column).isin(top), F.col(column)).otherwise(F.lit("(others)")))
+
+
+def _plan(sized: DataFrame, goal: dict[str, tuple[float, int]], total: float | None) -> tuple[list[tuple], list[tuple]]:
     """Weights of cells and the report rows."""
     cells = sized.groupBy("source", "_lang", "_topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
-    goal = {r.source: (float(r.target_share), max(int(r.max_repeats), 0)) for r in targets.dropna(subset=["source", "target_share", "max_repeats"]).dropDuplicates(["source"]).collect()}
     mass_of: dict[str, float] = {}
     for r in cells:
         mass_of[r.source] = mass_of.get(r.source, 0) + (r.tokens or 0)
@@ -113,6 +119,7 @@ def _plan(sized: DataFrame, targets: DataFrame, total: float | None) -> tuple[li
 def mix(
     documents: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
     lang_column: str = "lang", topic_column: str = "prompt_family", total_tokens: float | None = None, tokenizer: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken",
+    max_classes: int = 32, max_targets: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(selection, report).
 
@@ -121,20 +128,27 @@ def mix(
 
     Sources without a target are not taken. Sources with a target but no documents are reported with share 0; the other sources keep their
     target shares relative to each other. Null or empty texts have no tokens and are not taken; null language and topic are classes of
-    their own. Repeated document rows are separate documents. Empty tables give an empty selection.
+    their own. Repeated document rows are separate documents. Empty tables give an empty selection. More than ``max_targets`` target sources are an error.
     """
     spark = documents.sparkSession
     base = documents.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), _language(lang_column).alias("_lang"),
                             F.coalesce(F.col(topic_column).cast("string"), F.lit("none")).alias("_topic"), F.col(text_column).cast("string").alias("_t")).filter(F.col("source").isNotNull())
+    wanted = targets.dropna(subset=["source", "target_share", "max_repeats"]).groupBy("source").agg(F.min("target_share").alias("share"), F.min("max_repeats").alias("cap")).limit(max_targets + 1).collect()
+    if len(wanted) > max_targets:
+        raise ValueError(f"more than {max_targets} target sources")
+    goal = {r.source: (float(r.share), max(int(r.cap), 0)) for r in wanted}
+    base = base.join(F.broadcast(spark.createDataFrame([(s,) for s in goal], "source string")), "source", "left_semi")  # at most max_targets rows; other sources are not taken
     sized = cut_lineage(token_counts(base, "_t", tokenizer).drop("_t"))  # texts are read and encoded once
-    weights, report = _plan(sized, targets, total_tokens)
+    for column in ("_lang", "_topic"):
+        sized = _classes(sized, column, max_classes)
+    weights, report = _plan(sized, goal, total_tokens)
     schema = "doc_id long, source string, tokens long, copies long"
     if not weights:
         picked = spark.createDataFrame([], schema)
     else:
         table = spark.createDataFrame(weights, "source string, _lang string, _topic string, _w double")
         caps = spark.createDataFrame([(s, int(c), k) for s, _, c, _, _, k in report], "source string, _cap long, _k long")
-        # both tables hold at most (sources x languages x topics) rows, counted above
+        # both tables hold at most (targets x classes x classes) rows
         with_w = sized.filter("tokens > 0").join(F.broadcast(table), ["source", "_lang", "_topic"]).join(F.broadcast(caps), "source")
         hashed = with_w.withColumn("_u", F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 40)))
         # a source of any size is cut into strata, so none is one task
