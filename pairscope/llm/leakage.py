@@ -99,9 +99,11 @@ def embed_keys(tokens: np.ndarray, tables: int, seed: int = 29) -> np.ndarray:
         at = begin.copy()
         with np.errstate(over="ignore"):
             for j in range(max(sampled) + 1):
-                inside = at < begin + w
-                token = flat[np.minimum(at, begin + w - 1)]
-                token[~inside] = 0
+                if j < w:  # no walk is beyond its window yet
+                    token = flat[at]
+                else:
+                    token = flat[np.minimum(at, begin + w - 1)]
+                    token[at >= begin + w] = 0
                 if j in sampled:
                     key ^= token
                     key *= _ODD
