@@ -80,13 +80,19 @@ _LEET = str.maketrans("0134578@$!#", "oieastbasi*")
 _RUN = re.compile(r"(.)\1+")
 
 
+_FOLD_BYTES = bytes(FOLD.get(i, i) for i in range(256))
+
+
 def plain(text: str) -> tuple[str, list[int] | None]:
     """Look-alikes undone, folded; with the place of each character in the text (None: unchanged)."""
     if suspect(text):
         text, places = normalize(text, offsets=True)
     else:
         places = None
-    return text.translate(FOLD), places
+    try:  # by bytes where Latin-1 has every character
+        return text.encode("latin-1").translate(_FOLD_BYTES).decode("latin-1"), places
+    except UnicodeEncodeError:
+        return text.translate(FOLD), places
 
 
 def tokens(text: str) -> list[tuple[int, int, str]]:
@@ -101,6 +107,11 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """Raw forms of the words alone."""
+    return [t for _, _, t in tokens(text)] if _SPACED.search(text) else _TOKEN.findall(text)
+
+
 @dataclass
 class Crf:
     """Feature weights (BUCKETS, tags), transitions (tags, tags), and the words known from harmful sentences, by length."""
@@ -276,7 +287,7 @@ def fit_reviewed(reviewed: list[tuple[str, str]], max_harmless: int = 12_000, ep
     in_harmful: Counter = Counter()
     n_clean = 0
     for text, category in sorted(set(reviewed)):
-        sents = [words for _, s in _sentences(plain(text)[0]) if (words := [number(t) for _, _, t in tokens(s)])]
+        sents = [words for _, s in _sentences(plain(text)[0]) if (words := [number(t) for t in words_of(s)])]
         held = {p for s in sents for p in (*zip(("", *s), (*s, "")), *s)}  # pairs of neighbours, and words
         if category == "none":
             clean.update(set(map(tuple, sents)))
@@ -366,13 +377,12 @@ def _groups(sizes: np.ndarray) -> Iterator[np.ndarray]:
         at += take
 
 
-def _scores(model: Crf, sentences: list[list[str]]) -> list[np.ndarray]:
-    """Marginals (words, tags) of each sentence."""
+def _marginals(model: Crf, sentences: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of sentences, their lengths, marginals (longest, sentences, tags)) for groups of like length."""
     vocab: dict[str, int] = {"": 0}
     raw = {t: vocab.setdefault(model.form(t), len(vocab)) for t in dict.fromkeys(t for s in sentences for t in s)}
     words, stems = _hashes(list(vocab))
     words[0] = stems[0] = 0
-    out: list = [None] * len(sentences)
     sizes = np.array([len(s) for s in sentences], dtype=np.int64)
     flat = np.array([raw[t] for s in sentences for t in s], dtype=np.int64)
     first = np.cumsum(sizes) - sizes
@@ -380,19 +390,41 @@ def _scores(model: Crf, sentences: list[list[str]]) -> list[np.ndarray]:
         size = sizes[pick]
         longest = int(size.max(initial=0))
         if not longest:
-            for i in pick:
-                out[i] = np.zeros((0, len(TAGS)), np.float32)
+            yield pick, size, np.zeros((0, len(pick), len(TAGS)), np.float32)
             continue
         place = np.arange(longest)[:, None]
         on = place < size
         x = np.where(on, flat[np.where(on, first[pick] + place, 0)], 0)
-        e = _potentials(model.weights, words[x], stems[x])
-        marg = _forward_backward(e, size, model.moves)[2]
+        yield pick, size, _forward_backward(_potentials(model.weights, words[x], stems[x]), size, model.moves)[2]
+
+
+def _scores(model: Crf, sentences: list[list[str]]) -> list[np.ndarray]:
+    """Marginals (words, tags) of each sentence."""
+    out: list = [None] * len(sentences)
+    for pick, size, marg in _marginals(model, sentences):
         for j, i in enumerate(pick):
             out[i] = marg[: size[j], j]
     return out
 
 
+def _tag(model: Crf, texts: list[str]) -> tuple[np.ndarray, dict[int, list[tuple[int, int, int]]]]:
+    """Score of each tag in each folded sentence (at most one half without a span), and the spans of those that have some."""
+    best = np.zeros((len(texts), len(TAGS)))
+    hits: dict[int, list[tuple[int, int, int]]] = {}
+    for pick, size, marg in _marginals(model, [words_of(t) for t in texts]):
+        if not len(marg):
+            continue
+        on = (np.arange(len(marg))[:, None] < size)[..., None]
+        marg = np.where(on, marg, 0)
+        best[pick] = np.minimum(marg.sum(axis=0) / np.maximum(size, 1)[:, None], 0.5)
+        for j in np.flatnonzero(marg[:, :, 1:].max(axis=(0, 2)) > 0.5):
+            i = int(pick[j])
+            for a, b, tag, mean in _spans(tokens(texts[i]), marg[: size[j], j]):
+                best[i, tag] = max(best[i, tag], mean)
+                hits.setdefault(i, []).append((a, b, tag))
+    return best, hits
+
+
 def _potentials(weights: np.ndarray, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
     fid = _features(word, stem)
     e = weights[fid[..., 0]]
@@ -416,19 +448,6 @@ def _spans(sentence: list[tuple[int, int, str]], marg: np.ndarray) -> list[tuple
     return out
 
 
-def _found(sentence: list[tuple[int, int, str]], marg: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Score of each tag in a sentence (at most one half without a span) and its spans."""
-    if not len(marg):
-        return np.zeros(len(TAGS)), []
-    best = np.minimum(marg.mean(axis=0), 0.5).astype(np.float64)
-    hits = []
-    if marg[:, 1:].max() > 0.5:
-        for a, b, tag, mean in _spans(sentence, marg):
-            best[tag] = max(best[tag], mean)
-            hits.append((a, b, tag))
-    return best, hits
-
-
 def score(documents: DataFrame, id_column: str, text_column: str, source_column: str, model: Crf) -> DataFrame:
     """One row for each document and category: ``doc_id``, ``source``, ``category``, ``score`` (0 to 1), ``spans`` (offsets in the text).
 
@@ -449,16 +468,16 @@ def score(documents: DataFrame, id_column: str, text_column: str, source_column:
                 parts.append(_sentences(low))
                 places.append((place, len(t or "")))
             once = {s: i for i, s in enumerate(dict.fromkeys(s for p in parts for _, s in p))}  # equal sentences of a batch are tagged once
-            words = [tokens(s) for s in once]
-            tagged = [_found(w, m) for w, m in zip(words, _scores(model, [[t for _, _, t in w] for w in words]))] if once else []
+            top, hits = _tag(model, list(once))
             ids, cats, scores, spans = [], [], [], []
             for d, p in enumerate(parts):
                 best, found = np.zeros(len(TAGS)), {g: [] for g in range(1, len(TAGS))}
                 place, size = places[d]
-                for begin, s in p:
-                    top, hits = tagged[once[s]]
-                    best = np.maximum(best, top)
-                    for a, b, tag in hits:
+                own = [once[s] for _, s in p]
+                if own:
+                    best = top[own].max(axis=0)
+                for (begin, _), i in zip(p, own):
+                    for a, b, tag in hits.get(i, ()):
                         a, b = a + begin, b + begin
                         found[tag].append({"start": place[a] if place else a, "stop": (place[b] if b < len(place) else size) if place else b})
                 for tag in range(1, len(TAGS)):
