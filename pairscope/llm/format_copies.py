@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairscope.llm.lookalike import _ranges, normalize, suspect
+from pairscope.llm.lookalike import normalize, suspect
 from pairscope.session import cut_lineage
 
 _SEPARATORS = re.compile(r"\s*(?:;|\||//|\s/\s|[\r\n]+|•|·)\s*")
@@ -37,15 +36,29 @@ SIGNS = "%‰#&@"
 SEPARATORS = "|=^`~<>¦¨¯´¸˜˝←→⇒➔➜➤►▶◄■□▪▫●○◦◆◇★☆✓✔✗✘─━│┃"
 
 
-@lru_cache(1)
-def _between() -> re.Pattern:
-    """Runs of white space, controls and formatting signs; not a sign before a number, not the point or comma inside one."""
-    drop = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c))[0] in "PZC" and chr(c) not in SIGNS + ".,-\u200d" and not 0xD800 <= c < 0xE000]
-    return re.compile(rf"(?:[{_ranges([*drop, *SEPARATORS])}\ufe0f]|(?<!\S)#+(?=\s)|[.,](?!\d)|(?<!\d)[.,]|-(?!\d)|(?<=[^\s(])-)+")
+class _Blanks(dict):
+    """Formatting signs to blanks, everything else as it is, filled as characters come; what depends on its neighbours is left to ``_EDGES``."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kept = unicodedata.category(c)[0] not in "PZC" or c in SIGNS + ".,-\u200d" or 0xD800 <= code < 0xE000
+        self[code] = got = c if kept and c not in SEPARATORS + "\ufe0f" else " "
+        return got
+
+
+_BLANKS = _Blanks()
+_BLANK_BYTES = bytes(ord(_BLANKS[i]) for i in range(256))
+# headings, points and commas outside numbers, dashes that are no sign of a number
+_EDGES = re.compile(r"(?<!\S)#+(?=\s)|[.,](?!\d)|(?<!\d)[.,]|-(?!\d)|(?<=\S)-")
 
 
 def _words(text: str) -> str:
-    return _between().sub(" ", text.lower()).strip()
+    text = text.lower()
+    try:  # by bytes where Latin-1 has every character
+        text = text.encode("latin-1").translate(_BLANK_BYTES).decode("latin-1")
+    except UnicodeEncodeError:
+        text = text.translate(_BLANKS)
+    return " ".join(_EDGES.sub(" ", text).split())
 
 
 def canonical_text(text: str) -> str:

@@ -153,7 +153,8 @@ QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_foun
 _WORDS = "string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' ')"
 _WINDOWS = "SELECT DISTINCT {id}, array_to_string(w[i:i + 9], ' ') AS k FROM (SELECT {id}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {id}, " + _WORDS + " AS w FROM {t}) WHERE len(w) >= 10)"
 # Canonical form by its definition: numbers keep their sign, point and comma (as letters that no text has), formatting becomes blanks.
-_MARKED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(x), '(\p{Nd})\.(\p{Nd})', '\1ꙮ\2', 'g'), '(\p{Nd})\.(\p{Nd})', '\1ꙮ\2', 'g'), '(\p{Nd}),(\p{Nd})', '\1ꙭ\2', 'g'), '(\p{Nd}),(\p{Nd})', '\1ꙭ\2', 'g'), '(^|[\s\p{Z}(])-(\p{Nd})', '\1ꙫ\2', 'g')"
+_BLANK = rf"[^\p{{L}}\p{{M}}\p{{N}}\p{{S}}{format_copies.SIGNS}.,\-\x{{200D}}]|[{format_copies.SEPARATORS}\x{{FE0F}}]"
+_MARKED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(x), '(\p{Nd})\.(\p{Nd})', '\1ꙮ\2', 'g'), '(\p{Nd})\.(\p{Nd})', '\1ꙮ\2', 'g'), '(\p{Nd}),(\p{Nd})', '\1ꙭ\2', 'g'), '(\p{Nd}),(\p{Nd})', '\1ꙭ\2', 'g'), '(^|" + _BLANK + r")-(\p{Nd})', '\1ꙫ\2', 'g')"
 _CANON = rf"trim(regexp_replace(regexp_replace({_MARKED}, '(^|\s)#+(\s)', '\1 \2', 'g'), '(?:[^\p{{L}}\p{{M}}\p{{N}}\p{{S}}{format_copies.SIGNS}\x{{200D}}]|[{format_copies.SEPARATORS}\x{{FE0F}}])+', ' ', 'g'))"
 # Consistent form: invisible characters out (emoji keep their joiners), spaces plain, other widths and styles and look-alikes by the standard's tables, accents composed.
 _EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
