@@ -21,10 +21,34 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return out.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
-def with_group_size(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The table with each row's group size. Sizes are counted with map-side combining and joined back; null keys get null."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.join(sizes, keys, "left")
+def with_group_size(df: DataFrame, keys: list[str], name: str, hot_share: float = 0.001) -> DataFrame:
+    """The table with each row's group size. Null keys get null.
+
+    Sizes are counted with map-side combining. Groups of at least ``hot_share`` of all rows, of which there are at most ``1 / hot_share``, are
+    broadcast, so that their rows are never gathered; rows of the other groups are joined, where no key holds more than that share.
+    """
+    known = df.filter(F.greatest(*[F.col(k).isNull() for k in keys]) == F.lit(False)) if len(keys) > 1 else df.filter(F.col(keys[0]).isNotNull())
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    least = max(int(df.count() * hot_share), 1000)
+    hot = sizes.filter(F.col(name) >= least).withColumnRenamed(name, "_hot")
+    marked = df.join(F.broadcast(hot), keys, "left")  # at most 1 / hot_share rows
+    rest = marked.filter(F.col("_hot").isNull()).drop("_hot").join(sizes.filter(F.col(name) < least), keys, "left")
+    columns = [*df.columns, name]
+    return marked.filter(F.col("_hot").isNotNull()).withColumnRenamed("_hot", name).select(*columns).unionByName(rest.select(*columns))
+
+
+def attach_counts(df: DataFrame, keys: list[str], record_keys: list[str], translation: str) -> DataFrame:
+    """Every row with ``ingestion_record_count`` (rows of its ``record_keys``) and ``translation_variant_count`` (distinct translations of its ``keys``).
+
+    Both are counted with map-side combining and joined to the rows; null keys are keys like any other (null-safe).
+    """
+    counts = df.groupBy(*record_keys).agg(F.count(F.lit(1)).alias("ingestion_record_count"))
+    variants = df.groupBy(*keys).agg(F.count_distinct(translation).alias("translation_variant_count"))
+    same = lambda a, b, ks: [a[k].eqNullSafe(b[f"_{k}"]) for k in ks]
+    renamed = lambda d, ks: d.select(*[F.col(k).alias(f"_{k}") for k in ks], *[c for c in d.columns if c not in ks])
+    c, v = renamed(counts, record_keys), renamed(variants, keys)
+    out = df.join(c, same(df, c, record_keys), "left").drop(*[f"_{k}" for k in record_keys])
+    return out.join(v, same(out, v, keys), "left").drop(*[f"_{k}" for k in keys])
 
 
 def complete_groups(df: DataFrame, keys: list[str], item: str, size: int = 3) -> DataFrame:

@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_UNIVERSE = 2_000_000
+DRAWS_AT_ONCE = 4_000_000  # entries of a block of draws
+WEIGHTS_AT_ONCE = 16_000_000  # entries of a block of weights: 128 MB
+MAX_HASH_DRAWS = 50_000_000  # rows that the hash engine, which is for checks, may lay out
 
 
 def derive_seed(seed: int, *labels: str) -> int:
@@ -46,12 +49,18 @@ def bootstrap_ratio(sums: np.ndarray, counts: np.ndarray, repetitions: int, seed
     rng = np.random.default_rng(seed)
     kept, attempts = [], 0
     have = 0
+    step = max(1, DRAWS_AT_ONCE // n)
+    batch = max(1, min(batch, WEIGHTS_AT_ONCE // n))
     while have < repetitions:
         attempts += 1
         if attempts > 100 + repetitions:
             raise ValueError("too many draws without eligible rows")
-        draw = rng.integers(0, n, size=(min(batch, repetitions - have), n))
-        weights = np.apply_along_axis(np.bincount, 1, draw, minlength=n)
+        wanted = min(batch, repetitions - have)
+        weights = np.empty((wanted, n))
+        for at in range(0, wanted, step):  # as many draws at once as stay small, in the same order of the stream
+            draw = rng.integers(0, n, size=(min(step, wanted - at), n))
+            for i, row in enumerate(draw):
+                weights[at + i] = np.bincount(row, minlength=n)
         below = weights @ counts
         ok = (below > 0).all(axis=1)
         kept.append((weights[ok] @ sums) / below[ok])
@@ -61,18 +70,27 @@ def bootstrap_ratio(sums: np.ndarray, counts: np.ndarray, repetitions: int, seed
     return np.stack([estimate, np.quantile(values, tail, axis=0), np.quantile(values, 1 - tail, axis=0)], axis=1)
 
 
-def intervals_numpy(df: DataFrame, keys: list[str], cluster: str, metrics: list[str], repetitions: int, seed: int, level: float = 0.95, universe: DataFrame | None = None) -> DataFrame:
+def intervals_numpy(df: DataFrame, keys: list[str], cluster: str, metrics: list[str], repetitions: int, seed: int, level: float = 0.95, universe: DataFrame | None = None, labels: tuple[str, ...] = ()) -> DataFrame:
     """Long table: keys, ``metric``, ``n_clusters``, ``estimate``, ``ci_lower``, ``ci_upper``.
 
-    With ``universe`` (a table with the cluster column) clusters without eligible rows take part with zero sums. Metrics without any
-    non-null value are left out. Clusters are sorted as strings before drawing, so results do not depend on partitions.
+    With ``universe`` (a table with the cluster column) clusters without eligible rows take part with zero sums; they are not laid out as rows,
+    only their number travels. A cluster of the table that is not in the universe is an error, and so is more than ``MAX_UNIVERSE`` clusters. Metrics without any
+    non-null value and rows without a cluster are left out. Clusters are sorted as strings before drawing, so results do not depend on partitions. ``labels`` come before
+    the keys in what seeds are derived from.
     """
-    stats = cluster_sums(df, keys, cluster, metrics).withColumn(cluster, F.col(cluster).cast("string"))
+    stats = cluster_sums(df.filter(F.col(cluster).isNotNull()), keys, cluster, metrics).withColumn(cluster, F.col(cluster).cast("string"))
     if universe is not None:
-        everyone = universe.select(F.col(cluster).cast("string").alias(cluster)).distinct()
-        strata = stats.select(*keys).distinct()
-        full = strata.withColumn("_j", F.lit(1)).join(everyone.withColumn("_j", F.lit(1)), "_j").drop("_j")  # each stratum of a fixed few with its universe
-        stats = full.join(stats, [*keys, cluster], "left").fillna(0)
+        everyone = universe.select(F.col(cluster).cast("string").alias(cluster)).filter(F.col(cluster).isNotNull()).distinct()
+        size = everyone.count()
+        if size > MAX_UNIVERSE:
+            raise ValueError(f"{size} clusters: use the poisson engine")
+        if stats.select(cluster).distinct().join(everyone, cluster, "left_anti").limit(1).count():
+            raise ValueError("a cluster of the table is not in the universe")
+        # each cluster's place in the sorted universe: places of absent clusters are what is missing
+        places = _places(everyone, cluster)
+        stats = stats.join(places, cluster)
+    else:
+        size = 0
     schema = ", ".join(f"{k} string" for k in keys) + ", metric string, n_clusters long, estimate double, ci_lower double, ci_upper double"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -82,10 +100,14 @@ def intervals_numpy(df: DataFrame, keys: list[str], cluster: str, metrics: list[
         live = [m for m in metrics if pdf[f"c_{m}"].sum() > 0]
         if not live:
             return pd.DataFrame(columns=[*keys, "metric", "n_clusters", "estimate", "ci_lower", "ci_upper"])
-        got = bootstrap_ratio(pdf[[f"s_{m}" for m in live]].to_numpy(float), pdf[[f"c_{m}" for m in live]].to_numpy(float), repetitions, derive_seed(seed, *map(str, key)), level)
+        n = size or len(pdf)
+        at = pdf["_place"].to_numpy() if size else np.arange(n)
+        sums, counts = np.zeros((n, len(live))), np.zeros((n, len(live)))
+        sums[at], counts[at] = pdf[[f"s_{m}" for m in live]].to_numpy(float), pdf[[f"c_{m}" for m in live]].to_numpy(float)
+        got = bootstrap_ratio(sums, counts, repetitions, derive_seed(seed, *labels, *map(str, key)), level)
         out = pd.DataFrame(got, columns=["estimate", "ci_lower", "ci_upper"])
         out.insert(0, "metric", live)
-        out.insert(1, "n_clusters", len(pdf))
+        out.insert(1, "n_clusters", n)
         for i, k in enumerate(keys):
             out.insert(i, k, str(key[i]))
         return out
@@ -93,6 +115,13 @@ def intervals_numpy(df: DataFrame, keys: list[str], cluster: str, metrics: list[
     return stats.groupBy(*keys).applyInPandas(run, schema)
 
 
+def _places(clusters: DataFrame, cluster: str) -> DataFrame:
+    """``cluster`` with ``_place``, its number in the sorted order, without gathering the clusters in one task."""
+    from pairscope.operators.curation import source_rows
+
+    return source_rows(clusters.select(cluster), [cluster], "_place")
+
+
 def intervals_poisson(df: DataFrame, keys: list[str], cluster: str, metrics: list[str], repetitions: int, seed: int, level: float = 0.95) -> DataFrame:
     """As ``intervals_numpy`` for universes of any size: Poisson weights by hash, summed by partial arrays."""
     stats = cluster_sums(df, keys, cluster, metrics).withColumn(cluster, F.xxhash64(F.col(cluster).cast("string")))
@@ -143,21 +172,24 @@ def intervals_poisson(df: DataFrame, keys: list[str], cluster: str, metrics: lis
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1, np.arange(1, 12)]))
 
 
-def intervals_hash(df: DataFrame, cluster: str, metric: str, label: str, repetitions: int, level: float = 0.95) -> DataFrame:
-    """Percentile interval with draws taken from MD5(label|repetition|draw): one row. Clusters are numbered in their order."""
-    stats = cluster_sums(df.withColumn("_k", F.lit(1)), ["_k"], cluster, [metric])
-    numbered = stats.select((F.row_number().over(_ordered(cluster)) - 1).alias("i"), F.col(f"s_{metric}").alias("s"), F.col(f"c_{metric}").alias("c"))
-    spark = df.sparkSession
-    n = stats.count()
-    draws = spark.range(repetitions).select(F.col("id").alias("rep")).select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("draw"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(label), "rep", "draw")), 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
-    values = draws.withColumn("i", pick).join(numbered, "i").groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("v"))
-    tail = (1 - level) / 2
-    ci = values.agg(F.expr(f"percentile(v, {tail})").alias("ci_lower"), F.expr(f"percentile(v, {1 - tail})").alias("ci_upper"))
-    return stats.agg((F.sum(f"s_{metric}") / F.sum(f"c_{metric}")).alias("estimate"), F.count(F.lit(1)).alias("n_clusters")).join(ci)  # one row each
-
-
-def _ordered(cluster: str):
-    from pyspark.sql import Window
+def intervals_hash(df: DataFrame, keys: list[str], cluster: str, metrics: list[str], repetitions: int, level: float = 0.95, universe: DataFrame | None = None) -> DataFrame:
+    """As ``intervals_numpy`` with draws from MD5(stratum|repetition|draw), for checking the estimator against another engine.
 
-    return Window.partitionBy("_k").orderBy(cluster)  # one row a cluster
+    Clusters are numbered in their order as strings. Draws without eligible rows are left out. The draws are laid out as rows, so more than ``MAX_HASH_DRAWS`` are an error.
+    """
+    stats = cluster_sums(df, keys, cluster, metrics).withColumn(cluster, F.col(cluster).cast("string"))
+    everyone = (universe if universe is not None else df).select(F.col(cluster).cast("string").alias(cluster)).filter(F.col(cluster).isNotNull()).distinct()
+    numbered = stats.join(_places(everyone, cluster), cluster)
+    strata = stats.select(*keys).distinct()
+    size, n_strata = everyone.count(), strata.count()
+    if size * repetitions * n_strata > MAX_HASH_DRAWS:
+        raise ValueError("too many draws for the hash engine: use numpy or poisson")
+    draws = strata.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")).select(*keys, "rep", F.explode(F.sequence(F.lit(0), F.lit(max(size - 1, 0)))).alias("draw"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", *keys, "rep", "draw")), 1, 8), 16, 10).cast("long") % F.lit(max(size, 1))
+    per = draws.select(*keys, "rep", pick.alias("_place")).groupBy(*keys, "rep", "_place").count().join(numbered, [*keys, "_place"])
+    ratio = lambda m, w: F.try_divide(F.sum(w * F.col(f"s_{m}")), F.sum(w * F.col(f"c_{m}")))
+    values = per.groupBy(*keys, "rep").agg(*[ratio(m, F.col("count")).alias(m) for m in metrics]).unpivot([*keys, "rep"], metrics, "metric", "v")
+    tail = (1 - level) / 2
+    ci = values.groupBy(*keys, "metric").agg(F.expr(f"percentile(v, {tail})").alias("ci_lower"), F.expr(f"percentile(v, {1 - tail})").alias("ci_upper"))
+    estimates = stats.groupBy(*keys).agg(*[ratio(m, F.lit(1)).alias(m) for m in metrics]).unpivot(keys, metrics, "metric", "estimate")
+    return estimates.filter(F.col("estimate").isNotNull()).join(ci, [*keys, "metric"]).withColumn("n_clusters", F.lit(size).cast("long"))

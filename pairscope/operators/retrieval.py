@@ -162,7 +162,18 @@ def summary(ranks: DataFrame) -> DataFrame:
     )
 
 
-def batches(n: int, size: int) -> Iterator[tuple[int, int]]:
-    """Bounds of successive blocks."""
-    for at in range(0, n, size):
-        yield at, min(at + size, n)
+def assert_aligned(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Vectors of which every pair has exactly one row in each direction, under its own row number, all of one size; raises otherwise. Two aggregates."""
+    dims = [F.size("query_embedding"), F.size("document_embedding")]
+    per = vectors.groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pair_id").alias("k"), F.min(F.least(*dims)).alias("low"), F.max(F.greatest(*dims)).alias("high"))
+    joined = pairs.select("pair_id", F.col("source_row").alias("_row")).join(vectors.select("pair_id", "source_row", "direction"), "pair_id")
+    same = {r.direction: r.n for r in joined.filter(F.col("_row") == F.col("source_row")).groupBy("direction").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    found = {r.direction: r for r in per.collect()}
+    total = pairs.count()
+    for d in ("en_to_pt", "pt_to_en"):
+        r = found.get(d)
+        if r is None or r.n != total or r.k != total or same.get(d) != total:
+            raise ValueError(f"{d} does not cover every pair once in its place")
+        if r.low != r.high or r.low <= 0:
+            raise ValueError(f"vectors of {d} differ in size")
+    return vectors

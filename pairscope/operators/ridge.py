@@ -84,6 +84,36 @@ def choose_alpha(grams: dict[str, Gram], alphas: tuple[float, ...] = ALPHAS, def
     return min(a for s, a in scores if s <= best)
 
 
+def assert_folds(df: DataFrame, splits: DataFrame, cohort: str, cluster: str = "participant_id") -> DataFrame:
+    """Splits (cluster, ``fold_id``, ``role``) of which every fold holds out one whole cohort and trains on no row of it; raises otherwise.
+
+    One aggregate: one row a fold. Every cluster of ``df`` must have one role in each fold.
+    """
+    held = F.col("role") != "train"
+    joined = splits.join(df.select(cluster, F.col(cohort).cast("string").alias("_c")).distinct(), cluster)
+    folds = joined.groupBy("fold_id").agg(
+        F.count_distinct(F.when(held, F.col("_c"))).alias("held"), F.count_distinct(F.when(~held, F.col(cluster))).alias("trained"), F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("k"),
+        F.max(F.when(held, F.col("_c"))).alias("out"), F.collect_set(F.when(~held, F.col("_c"))).alias("cohorts"),
+    ).collect()
+    clusters = df.select(cluster).distinct().count()
+    for r in folds:
+        if r.held != 1 or not r.trained or r.out in r.cohorts:
+            raise ValueError(f"fold {r.fold_id} does not hold out one cohort")
+        if r.n != r.k or r.k != clusters:
+            raise ValueError(f"fold {r.fold_id} does not give every cluster one role")
+    if not folds:
+        raise ValueError("no folds")
+    return splits
+
+
+def assert_predicted_once(predictions: DataFrame, df: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Predictions of which every key of ``df`` has exactly one; raises otherwise."""
+    got = predictions.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("k")).first()
+    if got.n != got.k or df.select(key).distinct().join(predictions, key, "left_anti").limit(1).count() or got.k != df.select(key).distinct().count():
+        raise ValueError("every row needs one prediction")
+    return predictions
+
+
 def leave_one_cohort_out(df: DataFrame, cohort: str, features: list[str], target: str, alphas: tuple[float, ...] = ALPHAS) -> tuple[DataFrame, DataFrame]:
     """(predictions, metrics). Each cohort is predicted by a model fitted and tuned on the others only.
 

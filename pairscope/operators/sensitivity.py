@@ -41,6 +41,12 @@ def flag_intervals(df: DataFrame, flags: list[str], repetitions: int, seed: int,
     return intervals_numpy(with_bands(values, words), ["stratum_type", "stratum_value"], cluster, flags, repetitions, seed, universe=df)
 
 
+def flag_cells(df: DataFrame, words: str = "pt_word_count", cluster: str = "participant_id") -> tuple[DataFrame, list[str], list[str]]:
+    """Rows, keys and metrics of the language flags, overall and by length band."""
+    flags = [f"flag_{n}" for n in LANGUAGE_FLAGS]
+    return with_bands(df.select(cluster, words, *[F.col(f).cast("double").alias(f) for f in flags]), words), ["stratum_type", "stratum_value"], flags
+
+
 def matched_means(df: DataFrame, metrics: list[str], cluster: str = "participant_id") -> DataFrame:
     """Means over pairs whose both languages match; ``n_universe`` counts the clusters of all pairs."""
     kept = df.filter(F.col("flag_both_match"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope import contracts
-from pairscope.functions import ids, language, quality, text, vectors
-from pairscope.operators import affect, curation, resampling, retrieval, ridge, sensitivity, strata
-from pairscope.session import table
+from pairscope.functions import embeddings, ids, language, quality, text, vectors
+from pairscope.operators import affect, analysis, curation, resampling, retrieval, ridge, sensitivity, strata
+from pairscope.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,14 +85,48 @@ def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return curation.keep_first(table(spark, d, "lineage").select(*keys, "source_record_id"), keys, ["source_record_id"])
 
 
-@query("SELECT pair_id, count(*) OVER (PARTITION BY pt_duplicate_group_id) AS pt_size, count(*) OVER (PARTITION BY en_duplicate_group_id) AS en_size FROM paired_responses WHERE pt_duplicate_group_id IS NOT NULL AND en_duplicate_group_id IS NOT NULL")
+@query("""SELECT pair_id, CASE WHEN pt_duplicate_group_id IS NOT NULL THEN count(*) OVER (PARTITION BY pt_duplicate_group_id) END AS pt_size,
+          CASE WHEN en_duplicate_group_id IS NOT NULL THEN count(*) OVER (PARTITION BY en_duplicate_group_id) END AS en_size FROM paired_responses""")
 def duplicate_group_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """True sizes of both duplicate groups, over the whole table."""
-    df = _pairs(spark, d).select("pair_id", "pt_duplicate_group_id", "en_duplicate_group_id").dropna()
+    """True sizes of both duplicate groups of every row, over the whole table; null for no group."""
+    df = _pairs(spark, d).select("pair_id", "pt_duplicate_group_id", "en_duplicate_group_id")
     df = curation.with_group_size(curation.with_group_size(df, ["pt_duplicate_group_id"], "pt_size"), ["en_duplicate_group_id"], "en_size")
     return df.select("pair_id", "pt_size", "en_size")
 
 
+_HASHED = "sha256('v1' || chr(31) || {})"
+
+
+@query("SELECT DISTINCT l.source_record_id, " + _HASHED.format("'participant' || chr(31) || coalesce(cohort_id, '') || chr(31) || coalesce(respondent_key_sha256, '')") + " AS participant, " + _HASHED.format(
+    "'pair' || chr(31) || coalesce(cohort_id, '') || chr(31) || coalesce(respondent_key_sha256, '') || chr(31) || coalesce(question_index::VARCHAR, '') || chr(31) || coalesce(pt_duplicate_group_id, '') || chr(31) || coalesce(en_duplicate_group_id, '')") + """ AS pair
+    FROM lineage l LEFT JOIN paired_responses p USING (pair_id)""")
+def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Hashed participant and pair id of every ingested record, from its own keys."""
+    rows = _raw(spark, d)
+    return rows.select("source_record_id", ids.stable_id("participant", F.col("cohort_id"), F.col("respondent_key_sha256")).alias("participant"),
+                       ids.stable_id("pair", *[F.col(k) for k in _RECORD_KEYS]).alias("pair")).distinct()
+
+
+_RECORD_KEYS = ["cohort_id", "respondent_key_sha256", "question_index", "pt_duplicate_group_id", "en_duplicate_group_id"]
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Ingested records with their pair's keys; groups stand for the normalised texts they are hashes of."""
+    pairs = _pairs(spark, d).select("pair_id", "cohort_id", "question_index", "pt_duplicate_group_id", "en_duplicate_group_id")
+    return curation.attach_lineage(table(spark, d, "lineage").select("source_record_id", "pair_id", "respondent_key_sha256", "batch_no"), pairs)
+
+
+@query("""WITH r AS (SELECT l.source_record_id, l.batch_no, l.respondent_key_sha256, p.cohort_id, p.question_index, p.pt_duplicate_group_id, p.en_duplicate_group_id FROM lineage l LEFT JOIN paired_responses p USING (pair_id)),
+          v AS (SELECT cohort_id, respondent_key_sha256, question_index, pt_duplicate_group_id, count(DISTINCT en_duplicate_group_id) AS n FROM r GROUP BY 1, 2, 3, 4)
+          SELECT r.source_record_id, r.batch_no, count(*) OVER (PARTITION BY r.cohort_id, r.respondent_key_sha256, r.question_index, r.pt_duplicate_group_id, r.en_duplicate_group_id) AS ingestion_record_count, v.n AS translation_variant_count
+          FROM r JOIN v ON r.cohort_id IS NOT DISTINCT FROM v.cohort_id AND r.respondent_key_sha256 IS NOT DISTINCT FROM v.respondent_key_sha256 AND r.question_index IS NOT DISTINCT FROM v.question_index
+          AND r.pt_duplicate_group_id IS NOT DISTINCT FROM v.pt_duplicate_group_id""")
+def ingestion_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the same five keys and translations of the same four, attached to every ingested record."""
+    out = curation.attach_counts(_raw(spark, d), _RECORD_KEYS[:4], _RECORD_KEYS, "en_duplicate_group_id")
+    return out.select("source_record_id", "batch_no", "ingestion_record_count", "translation_variant_count")
+
+
 @query("SELECT count(*) AS n_rows, count(DISTINCT pt_duplicate_group_id) AS n_groups FROM paired_responses")
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     """Duplicate groups recomputed from hashed normalised text agree in number with the given ones."""
@@ -165,10 +199,10 @@ def source_rows(spark: SparkSession, d: str) -> DataFrame:
     return curation.source_rows(df, ["cohort_id", "participant_id", "question_index", "pair_id"]).select("pair_id", F.col("source_row").cast("long").alias("source_row"))
 
 
-@query("SELECT (source_row // 500)::BIGINT AS shard_index, min(source_row) AS row_start, max(source_row) + 1 AS row_stop, count(*) AS input_rows FROM pair_vectors WHERE direction = 'en_to_pt' GROUP BY 1")
+@query("SELECT (source_row // 500)::BIGINT AS shard_index, min(source_row) AS row_start, max(source_row) + 1 AS row_stop, count(*) AS input_rows FROM pair_vectors GROUP BY 1")
 def shard_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Bounds of shards of 500 rows."""
-    return curation.shard_bounds(table(spark, d, "pair_vectors").filter("direction = 'en_to_pt'").select("source_row"), "source_row", 500)
+    return curation.shard_bounds(table(spark, d, "pair_vectors").select("source_row"), "source_row", 500)
 
 
 # --- audits -------------------------------------------------------------------------------------------------------
@@ -187,18 +221,19 @@ def unique_audit(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineage").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pair_id").alias("n_pairs"), F.count_distinct("source_record_id").alias("n_records"))
 
 
-@query("""(SELECT 'left' AS side, participant_id, cohort_id FROM (SELECT participant_id, cohort_id FROM participants EXCEPT ALL SELECT DISTINCT participant_id, cohort_id FROM paired_responses))
-          UNION ALL (SELECT 'right', participant_id, cohort_id FROM (SELECT DISTINCT participant_id, cohort_id FROM paired_responses EXCEPT ALL SELECT participant_id, cohort_id FROM participants))""")
+@query("""(SELECT 'left' AS side, participant_id, cohort_id FROM (SELECT participant_id, cohort_id FROM participants EXCEPT ALL SELECT participant_id, cohort_id FROM paired_responses))
+          UNION ALL (SELECT 'right', participant_id, cohort_id FROM (SELECT participant_id, cohort_id FROM paired_responses EXCEPT ALL SELECT participant_id, cohort_id FROM participants))""")
 def frame_equality(spark: SparkSession, d: str) -> DataFrame:
-    """Differences between the participants table and the participants of the answers."""
-    return contracts.frames_differ(table(spark, d, "participants"), _pairs(spark, d).select("participant_id", "cohort_id").distinct(), ["participant_id", "cohort_id"])
+    """Differences, repeats counted, between the participants and the participants named by the answers (who are named several times)."""
+    return contracts.frames_differ(table(spark, d, "participants"), _pairs(spark, d), ["participant_id", "cohort_id"])
 
 
-@query("SELECT p.pair_id, p.cohort_id, a.participant_id AS known_participant FROM paired_responses p JOIN participants a ON p.participant_id = a.participant_id")
+@query("""WITH a AS (SELECT participant_id, count(*) AS n_answers FROM paired_responses GROUP BY 1) SELECT p.participant_id, p.cohort_id, a.n_answers FROM participants p JOIN a USING (participant_id)""")
 def one_to_one_join(spark: SparkSession, d: str) -> DataFrame:
-    """Join against a table whose keys are checked to be unique."""
-    people = contracts.audit(table(spark, d, "participants"), keys=["participant_id"]).select("participant_id", F.col("participant_id").alias("known_participant"))
-    return _pairs(spark, d).join(people, "participant_id").select("pair_id", "cohort_id", "known_participant")
+    """Join of participants and their answers' counts, whose keys are checked to match one to one."""
+    counts = _pairs(spark, d).groupBy("participant_id").agg(F.count(F.lit(1)).alias("n_answers"))
+    people = table(spark, d, "participants").join(counts.select("participant_id"), "participant_id", "left_semi")
+    return contracts.one_to_one(people.select("participant_id", "cohort_id"), counts, ["participant_id"])
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 8) AS q025, round(quantile_cont(value, 0.5), 8) AS q500, round(quantile_cont(value, 0.975), 8) AS q975 FROM events GROUP BY 1")
@@ -259,11 +294,8 @@ def quality_summary(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def synthetic_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """Query and document vectors of both directions, two rows a pair."""
-    encode_q, encode_d = vectors.synthetic_embedding(64, 1729, "find the translation"), vectors.synthetic_embedding(64, 1729)
-    rows = _pairs(spark, d).filter(F.col("translation_en").isNotNull()).select("pair_id", F.explode(F.array(
-        F.struct(F.lit("en_to_pt").alias("direction"), F.col("translation_en").alias("q"), F.col("source_pt").alias("t")),
-        F.struct(F.lit("pt_to_en").alias("direction"), F.col("source_pt").alias("q"), F.col("translation_en").alias("t")))).alias("x"))
-    return rows.select("pair_id", "x.direction", encode_q("x.q").alias("query_embedding"), encode_d("x.t").alias("document_embedding"))
+    rows = _pairs(spark, d).select("pair_id", F.lit(0).cast("long").alias("source_row"), "source_pt", "translation_en")
+    return embeddings.embed_pairs(rows, lambda: embeddings.SyntheticBackend(64, 1729), 64).drop("source_row")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
@@ -341,12 +373,13 @@ def retrieval_wide(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.wide(_ranks(spark, d))
 
 
-@query("SELECT 0::BIGINT AS n_worse")
+@query(_RANKS + ", dd AS (SELECT * FROM (" + _DEDUP + """ SELECT pair_id, direction, retrieval_rank AS g FROM dedup))
+    SELECT direction, count(*) AS n_pairs, count_if(g > retrieval_rank) AS n_worse, count_if(g < retrieval_rank) AS n_better FROM ranks JOIN dd USING (pair_id, direction) GROUP BY 1""")
 def dedup_never_worse(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs whose rank over groups is worse than over documents, placed alike: there is none."""
+    """Pairs whose rank over groups is worse than over documents (there may be none but for ties placed otherwise), and better."""
     a, b = _ranks(spark, d), _ranks(spark, d, True)
     joined = a.select("pair_id", "direction", F.col("retrieval_rank").alias("r")).join(b.select("pair_id", "direction", F.col("retrieval_rank").alias("g")), ["pair_id", "direction"])
-    return joined.agg(F.count_if(F.col("g") > F.col("r")).alias("n_worse"))
+    return joined.groupBy("direction").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("g") > F.col("r")).alias("n_worse"), F.count_if(F.col("g") < F.col("r")).alias("n_better"))
 
 
 @query("WITH" + _BASE + " SELECT direction, count(*) AS n_documents, count(DISTINCT grp) AS n_groups FROM u GROUP BY 1")
@@ -388,18 +421,22 @@ def cluster_sums(spark: SparkSession, d: str) -> DataFrame:
     return resampling.cluster_sums(_pairs(spark, d), ["cohort_id"], "participant_id", ["pt_word_count", "en_word_count"])
 
 
-@query("""WITH c AS (SELECT user_id, sum(value) AS s, count(value) AS c FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS i FROM c), n AS (SELECT count(*) AS n FROM c),
-          dr AS (SELECT rep, draw FROM range(200) a(rep), n, LATERAL (SELECT unnest(range(n.n)) AS draw) b),
-          p AS (SELECT rep, ('0x' || substr(md5('all|' || rep || '|' || draw), 1, 8))::UBIGINT % n.n AS i FROM dr, n),
-          v AS (SELECT rep, sum(o.s) / sum(o.c) AS v FROM p JOIN o ON o.i = p.i GROUP BY 1)
-          SELECT (SELECT round(sum(s) / sum(c), 8) FROM c) AS estimate, (SELECT count(*) FROM c) AS n_clusters, round(quantile_cont(v, 0.025), 8) AS ci_lower, round(quantile_cont(v, 0.975), 8) AS ci_upper FROM v""")
+@query("""WITH u AS (SELECT participant_id, row_number() OVER (ORDER BY participant_id) - 1 AS i FROM (SELECT DISTINCT participant_id FROM paired_responses)), n AS (SELECT count(*) AS n FROM u),
+          r AS (SELECT prompt_family, participant_id, sum(pt_word_count) AS s, count(pt_word_count) AS c FROM paired_responses WHERE prompt_family IS NOT NULL GROUP BY 1, 2), o AS (SELECT r.*, i FROM r JOIN u USING (participant_id)),
+          dr AS (SELECT prompt_family, rep, draw FROM (SELECT DISTINCT prompt_family FROM r) f, range(100) a(rep), n, LATERAL (SELECT unnest(range(n.n)) AS draw) b),
+          p AS (SELECT prompt_family, rep, ('0x' || substr(md5(prompt_family || '|' || rep || '|' || draw), 1, 8))::UBIGINT % n.n AS i FROM dr, n),
+          v AS (SELECT prompt_family, rep, sum(o.s) / sum(o.c) AS v FROM p JOIN o USING (prompt_family, i) GROUP BY 1, 2),
+          e AS (SELECT prompt_family, sum(s) / sum(c) AS e FROM r GROUP BY 1)
+          SELECT prompt_family, 'pt_word_count' AS metric, (SELECT n FROM n) AS n_clusters, round(any_value(e), 8) AS estimate, round(quantile_cont(v, 0.025), 8) AS ci_lower, round(quantile_cont(v, 0.975), 8) AS ci_upper
+          FROM v JOIN e USING (prompt_family) GROUP BY 1""")
 def bootstrap_ci_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Cluster-bootstrap interval with MD5 draws."""
-    out = resampling.intervals_hash(table(spark, d, "events"), "user_id", "value", "all", 200)
-    return out.select(F.round("estimate", 8).alias("estimate"), "n_clusters", F.round("ci_lower", 8).alias("ci_lower"), F.round("ci_upper", 8).alias("ci_upper"))
+    """Cluster-bootstrap intervals by prompt family over all participants, with MD5 draws."""
+    df = _pairs(spark, d).filter(F.col("prompt_family").isNotNull())
+    out = resampling.intervals_hash(df, ["prompt_family"], "participant_id", ["pt_word_count"], 100, universe=_pairs(spark, d))
+    return out.select("prompt_family", "metric", "n_clusters", *[F.round(c, 8).alias(c) for c in ("estimate", "ci_lower", "ci_upper")])
 
 
-REPETITIONS = 2_000
+REPETITIONS, SEED = 2_000, 20260820
 
 
 @query()
@@ -470,7 +507,7 @@ def valence_precedence(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
           t AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM w),
           n AS (SELECT doc_id, count(DISTINCT t) AS n_nodes FROM t GROUP BY 1),
-          e AS (SELECT a.doc_id, count(DISTINCT least(a.t, b.t) || chr(0) || greatest(a.t, b.t)) AS n_edges FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i - a.i BETWEEN 1 AND 2 AND a.t <> b.t GROUP BY 1)
+          e AS (SELECT a.doc_id, count(*) AS n_edges FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i - a.i BETWEEN 1 AND 2 AND a.t <> b.t GROUP BY 1)
           SELECT d.doc_id AS id, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, round(CASE WHEN n_nodes > 1 THEN 2.0 * coalesce(n_edges, 0) / (n_nodes * (n_nodes - 1)) ELSE 0 END, 8)::DOUBLE AS density
           FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN e USING (doc_id)""")
 def network_features(spark: SparkSession, d: str) -> DataFrame:
@@ -478,9 +515,14 @@ def network_features(spark: SparkSession, d: str) -> DataFrame:
     return affect.networks(table(spark, d, "documents"), "doc_id", "text").withColumn("density", F.round("density", 8))
 
 
-# A small demonstration lexicon.
-_LEXICON = [("agradeço", "joy"), ("agradeço", "positive"), ("apoio", "trust"), ("apoio", "positive"), ("estresse", "fear"), ("estresse", "negative"), ("conflito", "anger"), ("conflito", "negative"),
-            ("orgulhoso", "joy"), ("orgulhoso", "positive"), ("mudanças", "surprise"), ("mudanças", "positive"), ("mudanças", "negative"), ("piorou", "sadness"), ("piorou", "negative")]
+# A small demonstration lexicon, Portuguese and English.
+_LEXICON = [
+    ("agradeço", "joy"), ("agradeço", "positive"), ("apoio", "trust"), ("apoio", "positive"), ("estresse", "fear"), ("estresse", "negative"), ("conflito", "anger"), ("conflito", "negative"),
+    ("orgulhoso", "joy"), ("orgulhoso", "positive"), ("mudanças", "surprise"), ("mudanças", "positive"), ("mudanças", "negative"), ("piorou", "sadness"), ("piorou", "negative"),
+    ("thank", "joy"), ("thank", "positive"), ("support", "trust"), ("support", "positive"), ("stress", "fear"), ("stress", "negative"), ("conflict", "anger"), ("conflict", "negative"),
+    ("proud", "joy"), ("proud", "positive"), ("changes", "surprise"), ("changes", "positive"), ("changes", "negative"), ("worse", "sadness"), ("worse", "negative"), ("hope", "anticipation"), ("hope", "positive"),
+    ("espero", "anticipation"), ("espero", "positive"), ("dirty", "disgust"), ("dirty", "negative"), ("sujo", "disgust"), ("sujo", "negative"),
+]
 _LEX_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _LEXICON) + ") l(token, emotion)"
 
 
@@ -496,6 +538,55 @@ def lexicon_profiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "n_nodes", "joy_count", "fear_count", "ambivalent_count", F.round("emotion_coverage", 8).alias("emotion_coverage"))
 
 
+def demonstration_lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_LEXICON, "token string, emotion string")
+
+
+def _affect(spark: SparkSession, d: str) -> DataFrame:
+    return affect.pair_features(_pairs(spark, d), demonstration_lexicon(spark))
+
+
+def _affect_sql() -> str:
+    """CTEs up to ``aff``: the affect features of each pair, with its participant and length."""
+    of = lambda *kinds: sorted({t for t, e in _LEXICON if e in kinds})
+    among = lambda tokens, w: f"len(list_filter({w}, lambda x: x IN ({', '.join(repr(t) for t in tokens)})))" if tokens else "0"
+    good, bad = set(of("positive")), set(of("negative"))
+    sides = {"pt": "source_pt", "en": "translation_en"}
+    words = ", ".join(f"list_filter(string_split_regex(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS {s}_t" for s, c in sides.items())
+    counts, shares, measures = [], [], []
+    for s in sides:
+        w = f"{s}_w"
+        edges = " + ".join(f"len(list_filter(list_zip({s}_t[1:greatest(len({s}_t) - {k}, 0)], {s}_t[{k + 1}:]), lambda z: z[1] <> z[2]))" for k in (1, 2))
+        counts += [f"len({w}) AS {s}_n", f"{edges} AS {s}_edges", f"[{', '.join(among(of(e), w) for e in affect.EMOTIONS)}]::DOUBLE[] AS {s}_e", f"{among(of(*affect.EMOTIONS), w)} AS {s}_matched",
+                   f"{among(sorted(good & bad), w)} AS {s}_amb", f"{among(sorted(bad - good), w)} AS {s}_neg", f"{among(sorted(good - bad), w)} AS {s}_pos"]
+        shares += [f"{s}_n", f"CASE WHEN list_sum({s}_e) > 0 THEN list_transform({s}_e, lambda x: x / list_sum({s}_e)) ELSE list_transform({s}_e, lambda x: 0.0::DOUBLE) END AS {s}_emotion",
+                   f"CASE WHEN {s}_n > 0 THEN list_transform([{s}_amb, {s}_neg, {s}_n - {s}_amb - {s}_neg - {s}_pos, {s}_pos]::DOUBLE[], lambda x: x / {s}_n) ELSE [0.0, 0.0, 0.0, 0.0]::DOUBLE[] END AS {s}_valence",
+                   f"CASE WHEN {s}_n > 0 THEN {s}_matched::DOUBLE / {s}_n ELSE 0 END AS {s}_emotion_coverage", f"CASE WHEN {s}_n > 0 THEN ({s}_amb + {s}_neg + {s}_pos)::DOUBLE / {s}_n ELSE 0 END AS {s}_valence_coverage",
+                   f"CASE WHEN {s}_n > 1 THEN 2.0::DOUBLE * {s}_edges / ({s}_n * ({s}_n - 1)) ELSE 0 END AS {s}_density"]
+    for f in affect.FAMILIES:
+        half = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END))"
+        p, q = f"pt_{f}", f"en_{f}"
+        measures += [f"CASE WHEN list_sum({p}) = 0 AND list_sum({q}) = 0 THEN 0 WHEN list_sum({p}) = 0 OR list_sum({q}) = 0 THEN sqrt(0.5) ELSE sqrt(greatest(({half(p, q)} + {half(q, p)}) / 2, 0)) END AS {f}_js_distance",
+                     f"list_sum(list_transform(list_zip({p}, {q}), lambda z: abs(z[1] - z[2]))) / len({p}) AS {f}_mean_abs_delta", f"list_sum({p}) > 0 AND list_sum({q}) > 0 AS {f}_both_nonzero",
+                     f"list_sum({p}) = 0 AND list_sum({q}) = 0 AS {f}_both_zero", f"(list_sum({p}) > 0) <> (list_sum({q}) > 0) AS {f}_one_nonzero"]
+    return f"""aw AS (SELECT pair_id, participant_id, pt_word_count, {words} FROM paired_responses), ad AS (SELECT *, list_distinct(pt_t) AS pt_w, list_distinct(en_t) AS en_w FROM aw),
+      ac AS (SELECT pair_id, participant_id, pt_word_count, {", ".join(counts)} FROM ad), ash AS (SELECT pair_id, participant_id, pt_word_count, {", ".join(shares)} FROM ac),
+      aff AS MATERIALIZED (SELECT *, {", ".join(measures)}, abs(en_density - pt_density) AS density_abs_delta FROM ash)"""
+
+
+_COVERAGES = [f"{s}_{f}_coverage" for f in affect.FAMILIES for s in ("pt", "en")]
+_FLAGS = [f"{f}_{n}" for f in affect.FAMILIES for n in affect.NONZERO]
+
+
+@query("WITH " + _affect_sql() + " SELECT pair_id, pt_n AS pt_n_nodes, en_n AS en_n_nodes, " + ", ".join([f"round({c}, 6) AS {c}" for c in (*affect.DISTANCES, *_COVERAGES, "pt_density", "en_density")] + _FLAGS + [
+    f"round(en_{f}[{i + 1}] - pt_{f}[{i + 1}], 6) AS delta_{e}" for f, labels in (("emotion", affect.EMOTIONS), ("valence", affect.VALENCES)) for i, e in enumerate(labels)]) + " FROM aff")
+def affect_features(spark: SparkSession, d: str) -> DataFrame:
+    """Affect features of each pair: coverages, densities, signed share differences, the five distances."""
+    out = _affect(spark, d)
+    delta = [F.round(F.col(f"{f}_deltas")[i], 6).alias(f"delta_{e}") for f, labels in (("emotion", affect.EMOTIONS), ("valence", affect.VALENCES)) for i, e in enumerate(labels)]
+    return out.select("pair_id", "pt_n_nodes", "en_n_nodes", *[F.round(c, 6).alias(c) for c in (*affect.DISTANCES, *_COVERAGES, "pt_density", "en_density")], *_FLAGS, *delta)
+
+
 # --- ridge --------------------------------------------------------------------------------------------------------
 
 _FEATURES, _TARGET = ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"
@@ -609,11 +700,173 @@ def acceptance_counts(spark: SparkSession, d: str) -> DataFrame:
     return sensitivity.acceptance_counts(_verified(spark, d), named)
 
 
-@query("""WITH l AS (SELECT DISTINCT * FROM language_verification), q AS (SELECT pair_id, (('0x' || substr(sha256(source_pt || chr(0) || translation_en), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551615::DOUBLE AS score FROM paired_responses)
-      SELECT p.pair_id, p.cohort_id, round(q.score, 9) AS score, coalesce(l.pt_matches_expected, false) AS pt_matches_expected FROM paired_responses p JOIN q USING (pair_id) JOIN l USING (pair_id) WHERE q.score IS NOT NULL""")
+# --- the analysis frame and its summaries ---------------------------------------------------------------------------
+
+_FRAME = (
+    _RANKS + ", wide AS (SELECT pair_id, " + ", ".join(f"max(CASE WHEN direction = '{x}' THEN {c}::DOUBLE END) AS {c}_{x}" for x in analysis.DIRECTIONS for c in ("paired_cosine", "hit_at_1", "hit_at_5", "reciprocal_rank")) + " FROM ranks GROUP BY 1 HAVING count(*) = 2), "
+    + _affect_sql() + """, sc AS (SELECT pair_id, (('0x' || substr(sha256(source_pt || chr(0) || translation_en), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551615::DOUBLE AS score FROM paired_responses WHERE source_pt IS NOT NULL AND translation_en IS NOT NULL),
+    fr AS MATERIALIZED (SELECT p.*, w.* EXCLUDE (pair_id), s.score, a.* EXCLUDE (pair_id, participant_id, pt_word_count) FROM paired_responses p JOIN wide w USING (pair_id) JOIN sc s USING (pair_id) JOIN aff a USING (pair_id))"""
+)
+_BAND = "CASE WHEN pt_word_count <= 2 THEN '1-2' WHEN pt_word_count <= 5 THEN '3-5' WHEN pt_word_count <= 20 THEN '6-20' ELSE '21+' END"
+
+
+def _long_sql(source: str, keys: str, metrics: dict[str, str]) -> str:
+    """Long means of metrics (name -> expression) over ``source``."""
+    means = ", ".join(f"round(avg(({e})::DOUBLE), 6) AS {n}" for n, e in metrics.items())
+    return f"SELECT * FROM (UNPIVOT (SELECT {keys}, count(*) AS n_pairs, count(DISTINCT participant_id) AS n_participants, {means} FROM {source} GROUP BY ALL) ON {', '.join(metrics)} INTO NAME metric VALUE estimate)"
+
+
+def _frame(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _pairs(spark, d)
+    scores = pairs.select("pair_id", quality.synthetic_quality(F.col("source_pt"), F.col("translation_en")).alias("score"))
+    return cut_lineage(analysis.frame(pairs, retrieval.wide(_ranks(spark, d)), scores, _affect(spark, d)))  # read several times by every summary
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("estimate", F.round("estimate", 6))
+
+
+@query(_FRAME + " SELECT pair_id, participant_id, cohort_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in analysis.METRICS) + " FROM fr")
 def analysis_dataset(spark: SparkSession, d: str) -> DataFrame:
-    """Three-way join of metadata, scores and language flags."""
+    """Metadata, retrieval of both directions, quality and affect of every pair that has all of them."""
+    return _frame(spark, d).select("pair_id", "participant_id", "cohort_id", *[F.round(m, 6).alias(m) for m in analysis.METRICS])
+
+
+@query(_FRAME + ", " + _STRATA.replace("paired_responses", "fr") + " " + _long_sql("sown", "stratum_type, stratum_value", {m: m for m in analysis.METRICS}))
+def strata_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the fourteen metrics in every stratum."""
+    return _rounded(analysis.estimates(*analysis.strata_cells(_frame(spark, d))))
+
+
+@query()
+def strata_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The same with bootstrap intervals over all clusters of the frame."""
+    df = _frame(spark, d)
+    return analysis.with_intervals(*analysis.strata_cells(df), df, "strata", REPETITIONS, SEED)
+
+
+_MATCHED = ", lvm AS (SELECT DISTINCT * FROM language_verification), mt AS (SELECT * FROM fr WHERE pair_id IN (SELECT pair_id FROM lvm WHERE pt_matches_expected AND en_matches_expected))"
+
+
+@query(_FRAME + _MATCHED + " " + _long_sql("mt", "'both_languages_match' AS subset", {m: m for m in analysis.METRICS}))
+def matched_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the fourteen metrics over pairs whose both languages match."""
+    return _rounded(analysis.estimates(*analysis.matched_cells(_frame(spark, d), _language_flags(spark, d))))
+
+
+def _language_flags(spark: SparkSession, d: str) -> DataFrame:
+    return sensitivity.language_flags(table(spark, d, "language_verification").distinct())
+
+
+@query(_FRAME + " " + _long_sql("fr", f"{_BAND} AS length_band", {f"hit_at_1_{x}": f"hit_at_1_{x}" for x in analysis.DIRECTIONS}))
+def length_summary(spark: SparkSession, d: str) -> DataFrame:
+    """First-rank rates of the frame by length band."""
+    return _rounded(analysis.estimates(*analysis.length_cells(_frame(spark, d))))
+
+
+@query(_DEDUP + ", dr AS (SELECT * FROM dedup JOIN paired_responses USING (pair_id)) " + _long_sql("dr", "direction, n_candidates", {m: m for m in ("reciprocal_rank", "hit_at_1", "hit_at_5")}))
+def retrieval_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the ranks over duplicate groups, with the number of candidates."""
+    return _rounded(analysis.estimates(*analysis.retrieval_cells(_ranks(spark, d, True), _pairs(spark, d))))
+
+
+def _half_encoder(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of a second encoder: the first half of the dimensions."""
+    df = table(spark, d, "pair_vectors").withColumn("query_embedding", F.slice("query_embedding", 1, 32)).withColumn("document_embedding", F.slice("document_embedding", 1, 32))
+    return retrieval.retrieval_ranks(df, _pairs(spark, d))
+
+
+_HALF = _RANKS.replace("query_embedding::DOUBLE[] AS q", "query_embedding[1:32]::DOUBLE[] AS q").replace("document_embedding::DOUBLE[] AS d", "document_embedding[1:32]::DOUBLE[] AS d")
+_DELTAS = ("paired_cosine", "reciprocal_rank", "hit_at_1", "hit_at_5")
+
+
+@query(_RANKS + ", hb AS (SELECT * FROM (" + _HALF + " SELECT * FROM ranks)), df AS (SELECT direction, participant_id, " + ", ".join(f"hb.{m}::DOUBLE - ranks.{m}::DOUBLE AS {m}" for m in _DELTAS) + " FROM ranks JOIN hb USING (pair_id, direction) JOIN paired_responses USING (pair_id)) " + _long_sql("df", "direction", {f"delta_{m}": m for m in _DELTAS}))
+def encoder_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean differences of two encoders' ranks, pair by pair."""
+    return _rounded(analysis.estimates(*analysis.encoder_cells(_ranks(spark, d), _half_encoder(spark, d), _pairs(spark, d))))
+
+
+@query("WITH " + _affect_sql() + ", nz AS (" + " UNION ALL ".join(f"SELECT participant_id, '{f}' AS family, {f}_js_distance AS js_distance, {f}_mean_abs_delta AS mean_abs_delta FROM aff WHERE {f}_both_nonzero" for f in affect.FAMILIES) + ") " + _long_sql("nz", "family", {m: m for m in ("js_distance", "mean_abs_delta")}))
+def affect_nonzero_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Distances over pairs whose both profiles are not empty."""
+    return _rounded(analysis.estimates(*analysis.nonzero_cells(_pairs(spark, d).select("pair_id", "participant_id").join(_affect(spark, d), "pair_id"))))
+
+
+def _coverage_sql() -> dict[str, str]:
+    out = {}
+    for f in affect.FAMILIES:
+        for s in ("pt", "en"):
+            out |= {f"{s}_{f}_profile_nonzero": f"list_sum({s}_{f}) > 0", f"{s}_{f}_lexicon_coverage": f"{s}_{f}_coverage", f"{s}_{f}_lexicon_coverage_nonzero": f"{s}_{f}_coverage > 0",
+                    f"{s}_{f}_coverage_profile_disagreement": f"({s}_{f}_coverage > 0) <> (list_sum({s}_{f}) > 0)"}
+        out |= {f"{f}_{n}": f"{f}_{n}" for n in affect.NONZERO}
+    return out | {f"{s}_nodes_zero": f"{s}_n = 0" for s in ("pt", "en")}
+
+
+_AFF_BANDS = f", ab AS (SELECT 'overall' AS stratum_type, 'all' AS stratum_value, * FROM aff UNION ALL SELECT 'length_band', {_BAND}, * FROM aff WHERE pt_word_count IS NOT NULL) "
+
+
+@query("WITH " + _affect_sql() + _AFF_BANDS + _long_sql("ab", "stratum_type, stratum_value", _coverage_sql()))
+def affect_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage diagnostics of the affect profiles, overall and by length band."""
+    df = _pairs(spark, d).select("pair_id", "participant_id", "pt_word_count").join(_affect(spark, d), "pair_id")
+    return _rounded(analysis.estimates(*analysis.coverage_cells(df)))
+
+
+@query()
+def sensitivity_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of every sensitivity summary: matched languages, length, ranks over groups, encoders, affect."""
     pairs = _pairs(spark, d)
-    scores = pairs.select("pair_id", quality.synthetic_quality(F.col("source_pt"), F.col("translation_en")).alias("score")).filter(F.col("score").isNotNull())
-    flags = table(spark, d, "language_verification").distinct().select("pair_id", F.coalesce("pt_matches_expected", F.lit(False)).alias("pt_matches_expected"))
-    return pairs.select("pair_id", "cohort_id").join(scores, "pair_id").join(flags, "pair_id").select("pair_id", "cohort_id", F.round("score", 9).alias("score"), "pt_matches_expected")
+    df = _frame(spark, d)
+    features = cut_lineage(pairs.select("pair_id", "participant_id", "pt_word_count").join(_affect(spark, d), "pair_id"))
+    first = _ranks(spark, d)
+    cells = {
+        "both_languages_match": (*analysis.matched_cells(df, _language_flags(spark, d)), df), "length_recall": (*analysis.length_cells(df), df), "target_dedup": (*analysis.retrieval_cells(_ranks(spark, d, True), pairs), pairs),
+        "encoder_difference": (*analysis.encoder_cells(first, _half_encoder(spark, d), pairs), pairs), "affect_nonzero": (*analysis.nonzero_cells(features), features), "affect_coverage": (*analysis.coverage_cells(features), features),
+    }
+    out = None
+    for name, (rows, keys, metrics, universe) in cells.items():
+        got = analysis.with_intervals(rows, keys, metrics, universe, name, REPETITIONS, SEED)
+        got = got.select(F.lit(name).alias("summary"), F.concat_ws("|", *keys).alias("cell"), "metric", "n_pairs", "n_participants", "n_clusters", "estimate", "ci_lower", "ci_upper")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("""WITH lv AS (SELECT DISTINCT * FROM language_verification), jj AS (SELECT coalesce(pt_matches_expected, false) AS pm, coalesce(en_matches_expected, false) AS em, coalesce(pt_ambiguous, false) AS pa, coalesce(en_ambiguous, false) AS ea FROM paired_responses JOIN lv USING (pair_id)),"""
+       + _BASE + ", " + _affect_sql() + """,
+    cd AS (SELECT direction, count(DISTINCT grp) AS n FROM u GROUP BY 1) SELECT 'paired_rows' AS name, count(*) AS actual FROM aff UNION ALL SELECT 'emotion_both_nonzero_pairs', count_if(emotion_both_nonzero) FROM aff
+    UNION ALL SELECT 'emotion_both_nonzero_clusters', count(DISTINCT participant_id) FILTER (emotion_both_nonzero) FROM aff UNION ALL SELECT 'valence_both_nonzero_pairs', count_if(valence_both_nonzero) FROM aff
+    UNION ALL SELECT 'pt_nodes_zero', count_if(pt_n = 0) FROM aff UNION ALL SELECT 'en_nodes_zero', count_if(en_n = 0) FROM aff
+    UNION ALL SELECT 'pt_emotion_coverage_profile_disagreement', count_if((pt_emotion_coverage > 0) <> (list_sum(pt_emotion) > 0)) FROM aff UNION ALL SELECT 'en_emotion_coverage_profile_disagreement', count_if((en_emotion_coverage > 0) <> (list_sum(en_emotion) > 0)) FROM aff
+    UNION ALL SELECT 'language_both_expected', count_if(pm AND em) FROM jj UNION ALL SELECT 'language_ambiguous_only', count_if(NOT (pm AND em) AND NOT (NOT pm AND NOT pa) AND NOT (NOT em AND NOT ea)) FROM jj
+    UNION ALL SELECT 'language_explicit_mismatch', count_if((NOT pm AND NOT pa) OR (NOT em AND NOT ea)) FROM jj
+    UNION ALL SELECT 'target_candidates_' || direction, n FROM cd""")
+def acceptance_report(spark: SparkSession, d: str) -> DataFrame:
+    """The thirteen named counts of a run."""
+    df = _pairs(spark, d).select("pair_id", "participant_id", "pt_word_count").join(_affect(spark, d), "pair_id")
+    return analysis.named_counts(df, _verified(spark, d), candidate_counts(spark, d))
+
+
+# --- ridge on the eight predictors ------------------------------------------------------------------------------------
+
+_DESIGN = [m if m != "log1p_pt_word_count" else "ln(1 + pt_word_count)" for m in analysis.DESIGN]
+
+
+@query(_FRAME + ", x AS (SELECT cohort_id, " + ", ".join(f"({e})::DOUBLE AS x{i}" for i, e in enumerate([*_DESIGN, "score"])) + " FROM fr) SELECT cohort_id AS cohort, count(*) AS n, " + ", ".join(
+    [f"round(sum(x{i}), 4) AS s_{i}" for i in range(9)] + [f"round(sum(x{i} * x{j}), 4) AS ss_{i}_{j}" for i in range(9) for j in range(i, 9)]) + " FROM x GROUP BY 1")
+def design_gram(spark: SparkSession, d: str) -> DataFrame:
+    """Sufficient statistics of the eight predictors and the score, by cohort."""
+    g = ridge.gram_table(_design(spark, d), "cohort_id", list(analysis.DESIGN), "score")
+    return g.select("cohort", "n", *[F.round(f"s_{i}", 4).alias(f"s_{i}") for i in range(9)], *[F.round(f"ss_{i}_{j}", 4).alias(f"ss_{i}_{j}") for i in range(9) for j in range(i, 9)])
+
+
+def _design(spark: SparkSession, d: str) -> DataFrame:
+    return _frame(spark, d).withColumn("log1p_pt_word_count", F.log1p(F.col("pt_word_count").cast("double")))
+
+
+@query()
+def score_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Leave-one-cohort-out ridge of the score on the eight predictors, penalty chosen inside the training cohorts."""
+    df = _design(spark, d)
+    splits = curation.splits_leave_one_out(df.select("participant_id", "cohort_id").distinct(), [r.cohort_id for r in df.select("cohort_id").distinct().collect()])  # cohorts are few
+    ridge.assert_folds(df, splits, "cohort_id")
+    return ridge.leave_one_cohort_out(df, "cohort_id", list(analysis.DESIGN), "score")[1]

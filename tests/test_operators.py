@@ -93,7 +93,7 @@ def test_engines_agree_on_estimate_and_roughly_on_bounds(spark):
     df = spark.createDataFrame(rows, "t string, c string, m double")
     a = resampling.intervals_numpy(df, ["t"], "c", ["m"], 500, 7).first()
     b = resampling.intervals_poisson(df, ["t"], "c", ["m"], 500, 7).first()
-    h = resampling.intervals_hash(df, "c", "m", "x", 200).first()
+    h = resampling.intervals_hash(df, ["t"], "c", ["m"], 200).first()
     assert abs(a.estimate - b.estimate) < 1e-9 and abs(a.estimate - h.estimate) < 1e-9
     assert abs(a.ci_lower - b.ci_lower) < 0.08 and abs(a.ci_upper - b.ci_upper) < 0.08 and abs(a.ci_lower - h.ci_lower) < 0.1
 
@@ -115,7 +115,7 @@ def test_js_distance_rules(spark):
 def test_network_and_lexicon(spark):
     df = spark.createDataFrame([(1, "Hope support. hope uncertainty"), (2, ""), (3, None), (4, "one")], "i int, t string")
     net = {r.id: (r.n_nodes, r.n_edges, r.density) for r in affect.networks(df, "i", "t").collect()}
-    assert net[1] == (3, 3, 1.0) and net[2] == (0, 0, 0.0) and net[3] == (0, 0, 0.0) and net[4] == (1, 0, 0.0)
+    assert net[1] == (3, 4, pytest.approx(4 / 3)) and net[2] == (0, 0, 0.0) and net[3] == (0, 0, 0.0) and net[4] == (1, 0, 0.0)
     lex = spark.createDataFrame([("hope", "joy"), ("support", "joy"), ("uncertainty", "fear"), ("hope", "positive"), ("support", "positive"), ("uncertainty", "negative")], "token string, emotion string")
     r = {x.id: x for x in affect.lexicon_profile(df, "i", "t", lex).collect()}
     joy = affect.EMOTIONS.index("joy")
@@ -193,3 +193,76 @@ def test_intervals_cover_every_stratum_with_the_stated_repetitions(spark, data,
     assert ("subset", "one_per_pt_response") in want
     for name in ("bootstrap_ci_numpy", "bootstrap_ci_poisson"):
         assert {(r.stratum_type, r.stratum_value) for r in q.QUERIES[name](spark, data).collect()} == want
+
+
+def test_clusters_outside_the_universe_are_an_error(spark):
+    df = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 3.0), ("s", None, 9.0)], "t string, c string, m double")
+    universe = spark.createDataFrame([("a",), ("b",), ("z",)], "c string")
+    got = resampling.intervals_numpy(df, ["t"], "c", ["m"], 200, 7, universe=universe).first()
+    assert got.n_clusters == 3 and got.estimate == 2.0 and 1.0 <= got.ci_lower <= got.ci_upper <= 3.0
+    with pytest.raises(ValueError, match="universe"):
+        resampling.intervals_numpy(df, ["t"], "c", ["m"], 200, 7, universe=universe.limit(1))
+
+
+def test_an_empty_cluster_changes_no_conditional_mean(spark):
+    df = spark.createDataFrame([("s", "a", 1.0), ("s", "a", 3.0)], "t string, c string, m double")
+    got = resampling.intervals_numpy(df, ["t"], "c", ["m"], 100, 42, universe=spark.createDataFrame([("a",), ("b",)], "c string")).first()
+    assert (got.estimate, got.ci_lower, got.ci_upper) == (2.0, 2.0, 2.0)
+
+
+def test_blocks_of_draws_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    s, c = rng.normal(size=(37, 2)), rng.integers(0, 3, (37, 2)).astype(float)
+    whole = resampling.bootstrap_ratio(s, c, 300, 5)
+    monkeypatch.setattr(resampling, "DRAWS_AT_ONCE", 40)
+    assert np.array_equal(whole, resampling.bootstrap_ratio(s, c, 300, 5))
+
+
+def test_group_sizes_of_hot_null_and_small_groups(spark):
+    rows = [("hot", i) for i in range(3000)] + [(f"g{i // 2}", i) for i in range(100)] + [(None, i) for i in range(7)]
+    got = curation.with_group_size(spark.createDataFrame(rows, "g string, i int"), ["g"], "n", 0.1).collect()
+    assert len(got) == len(rows) and {(r.g, r.n) for r in got if r.g in ("hot", "g3", None)} == {("hot", 3000), ("g3", 2), (None, None)}
+    assert curation.with_group_size(spark.createDataFrame(rows[:0], "g string, i int"), ["g"], "n").count() == 0
+
+
+def test_counts_are_attached_to_every_row(spark):
+    rows = [("a", "x", 1), ("a", "x", 2), ("a", "y", 3), (None, "x", 4), (None, None, 5)]
+    got = {r.i: (r.ingestion_record_count, r.translation_variant_count) for r in curation.attach_counts(spark.createDataFrame(rows, "k string, t string, i int"), ["k"], ["k", "t"], "t").collect()}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (1, 2), 4: (1, 1), 5: (1, 1)}
+
+
+def test_folds_hold_out_one_cohort(spark):
+    df = spark.createDataFrame([("u1", "a"), ("u2", "a"), ("u3", "b")], "participant_id string, cohort_id string")
+    good = curation.splits_leave_one_out(df, ["a", "b"])
+    assert ridge.assert_folds(df, good, "cohort_id") is good
+    for bad in (good.filter("not (participant_id = 'u1' and fold_id = 'a')"), good.withColumn("role", F.lit("train")), good.withColumn("role", F.when(F.col("participant_id") == "u3", "train").otherwise("held_out")).unionByName(good), good.limit(0)):
+        with pytest.raises(ValueError):
+            ridge.assert_folds(df, bad, "cohort_id")
+    p = spark.createDataFrame([("x",), ("y",)], "pair_id string")
+    assert ridge.assert_predicted_once(p, p) is p
+    for bad in (p.unionByName(p), p.limit(1)):
+        with pytest.raises(ValueError):
+            ridge.assert_predicted_once(bad, p)
+
+
+def test_vectors_must_cover_every_pair_in_its_place(spark):
+    pairs = spark.createDataFrame([("a", 0), ("b", 1)], "pair_id string, source_row long")
+    rows = [(p, r, d, [1.0, 0.0], [1.0, 0.0]) for p, r in (("a", 0), ("b", 1)) for d in ("en_to_pt", "pt_to_en")]
+    make = lambda x: spark.createDataFrame(x, "pair_id string, source_row long, direction string, query_embedding array<float>, document_embedding array<float>")
+    retrieval.assert_aligned(make(rows), pairs)
+    for bad in (rows[:3], [*rows, rows[0]], [("a", 1, *rows[0][2:]), *rows[1:]], [(*rows[0][:3], [1.0], [1.0]), *rows[1:]]):
+        with pytest.raises(ValueError):
+            retrieval.assert_aligned(make(bad), pairs)
+
+
+def test_affect_features_of_pairs(spark):
+    lex = spark.createDataFrame([("bom", "joy"), ("bom", "positive"), ("good", "joy"), ("good", "positive"), ("ruim", "sadness"), ("ruim", "negative")], "token string, emotion string")
+    rows = [("p", "bom bom ruim", "good day"), ("q", None, ""), ("r", "nada aqui", "good")]
+    df = spark.createDataFrame(rows, "pair_id string, source_pt string, translation_en string")
+    got = {r.pair_id: r for r in affect.pair_features(df, lex).collect()}
+    assert got["p"].emotion_mean_abs_delta == pytest.approx(1 / 8) and got["p"].emotion_both_nonzero and got["p"].pt_density == 2.0  # bom and ruim are neighbours twice, two nodes
+    assert got["q"].emotion_js_distance == 0 and got["q"].emotion_both_zero and got["q"].density_abs_delta == 0 and got["q"].pt_n_nodes == 0
+    assert got["r"].emotion_js_distance == pytest.approx(0.5**0.5) and got["r"].emotion_one_nonzero and got["r"].valence_both_nonzero
+    joined = {r.id: r for r in affect.lexicon_profile(df, "pair_id", "source_pt", lex, max_lexicon=0).collect()}
+    for r in affect.lexicon_profile(df, "pair_id", "source_pt", lex).collect():
+        assert r == joined[r.id]
