@@ -4,17 +4,17 @@ The score is the cosine in double precision, rounded to nine digits, so that equ
 Rank = documents that score higher + documents that score the same and come earlier + 1. Positives of a query are the documents of its
 document-language duplicate group.
 
-Physical plan: both sides are cut into blocks of ``block`` rows, each pair of blocks is one matrix product in a Python
-worker, in two passes: best positive of each query, then the count of documents before it. Blocks of documents are shipped to
-blocks of queries by a shuffle on the block pair, nothing is broadcast, and a task never holds more than two blocks and their product. All
-queries against all documents is what the measure asks for; its cost is quadratic and spread evenly. Both passes emit one
-row for each query and document block.
+Physical plan: both sides are packed into blocks of at most ``block`` rows, one row of the plan each, and each pair of blocks is one matrix
+product in a Python worker, in two passes: best positive of each query, then the count of documents before it. Packed blocks meet by a shuffle on
+the block pair, nothing is broadcast, and a task never holds more than two blocks and a slice of their product. All queries against all
+documents is what the measure asks for; its cost is quadratic and spread evenly. Both passes emit one row for each query and document block.
+With duplicate groups as candidates, a group lies in one document block; groups too large for that are spread over blocks, and only
+their best score a block is merged afterwards.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairscope.functions import vectors
+from pairscope.session import cut_lineage
 
 DIGITS = 9
 
@@ -40,25 +41,40 @@ def paired_cosine(df: DataFrame) -> DataFrame:
     return df.select("pair_id", "direction", F.round(cosine, DIGITS).alias("paired_cosine"))
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+_PACKED = pa.schema([("direction", pa.string()), ("block", pa.int32()), ("rows", pa.binary()), ("cands", pa.list_(pa.string())), ("grps", pa.list_(pa.string())), ("hot", pa.binary()), ("mat", pa.binary()),
+                     ("best", pa.binary()), ("best_cands", pa.list_(pa.string()))])
+_PACKED_DDL = "direction string, block int, rows binary, cands array<string>, grps array<string>, hot binary, mat binary, best binary, best_cands array<string>"
 
 
-def _block_pairs(df: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Queries and documents laid over all pairs of blocks of their direction."""
-    n = {r.direction: r.n for r in df.groupBy("direction").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a direction
-    blocks = {d: max(1, math.ceil(c / block)) for d, c in n.items()}
-    count = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("direction")] if blocks else F.lit(1)
-    own = F.pmod(F.xxhash64("pair_id"), count).cast("int")
-    every = F.explode(F.sequence(F.lit(0), count.cast("int") - 1))
-    q = df.select("direction", "source_row", "grp", F.col("query_embedding").alias("v"), own.alias("qb"), every.alias("db"))
-    # columns of their own, as both sides come from the same rows
-    d = df.select(*[F.col(c).alias(c) for c in ("direction", "source_row", "cand", "grp")], F.col("document_embedding").alias("v"), own.alias("db"), every.alias("qb"))
-    return q, d
+def _pack(df: DataFrame) -> DataFrame:
+    """One row for each (direction, block) of rows (direction, block, source_row, cand, grp, hot, v, best, best_cand)."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        column = lambda n: t.column(n).combine_chunks() if isinstance(t.column(n), pa.ChunkedArray) else t.column(n)
+        raw = lambda n, kind: np.ascontiguousarray(column(n).to_numpy(zero_copy_only=False), dtype=kind).tobytes()
+        mat = column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        strings = lambda n: pa.array([column(n).to_pylist()], pa.list_(pa.string()))
+        return pa.table([pa.array([t.column("direction")[0].as_py()]), pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([raw("source_row", np.int64)], pa.binary()), strings("cand"), strings("grp"),
+                         pa.array([raw("hot", np.bool_)], pa.binary()), pa.array([mat.tobytes()], pa.binary()), pa.array([raw("best", np.float64)], pa.binary()), strings("best_cand")], schema=_PACKED)
+
+    return df.groupBy("direction", "block").applyInArrow(pack, _PACKED_DDL)
+
 
+class _Block:
+    """Arrays of a packed block."""
 
-def retrieval_ranks(df: DataFrame, groups: DataFrame, block: int = 4096, dedup: bool = False) -> DataFrame:
+    def __init__(self, t: pa.Table):
+        one = lambda n: t.column(n)[0]
+        self.rows = np.frombuffer(one("rows").as_py(), dtype=np.int64)
+        self.cands, self.grps = np.array(one("cands").as_py(), dtype=object), one("grps").as_py()
+        self.hot = np.frombuffer(one("hot").as_py(), dtype=np.bool_)
+        x = np.frombuffer(one("mat").as_py(), dtype=np.float32).reshape(len(self.rows), -1).astype(np.float64)
+        self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.best, self.best_cands = np.frombuffer(one("best").as_py(), dtype=np.float64), np.array(one("best_cands").as_py(), dtype=object)
+
+
+def retrieval_ranks(df: DataFrame, groups: DataFrame, block: int = 16_384, dedup: bool = False) -> DataFrame:
     """``pair_id``, ``direction``, ``paired_cosine``, ``retrieval_rank``, ``reciprocal_rank``, ``hit_at_1``, ``hit_at_5``, ``n_candidates``.
 
     ``df``: pair_id, source_row, direction, query_embedding, document_embedding; ``groups``: pair_id, pt_duplicate_group_id,
@@ -68,75 +84,91 @@ def retrieval_ranks(df: DataFrame, groups: DataFrame, block: int = 4096, dedup:
     target = F.when(F.col("direction") == "en_to_pt", F.col("pt_duplicate_group_id")).otherwise(F.col("en_duplicate_group_id"))
     base = usable_pairs(df).join(groups.select("pair_id", "pt_duplicate_group_id", "en_duplicate_group_id"), "pair_id")
     base = base.withColumn("grp", target).filter(F.col("grp").isNotNull()).select("pair_id", "direction", "source_row", "query_embedding", "document_embedding", "grp")
-    base = base.withColumn("cand", F.col("grp") if dedup else F.lpad(F.col("source_row").cast("string"), 19, "0"))
-    queries, docs = _block_pairs(base, block)
+    base = cut_lineage(base.withColumn("cand", F.col("grp") if dedup else F.lpad(F.col("source_row").cast("string"), 19, "0")))
+    n = {r.direction: r.n for r in base.groupBy("direction").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a direction
+    blocks = {d: max(math.ceil(c / block), min(4, math.ceil(c / 1024))) for d, c in n.items()}
+    count = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("direction")] if blocks else F.lit(1)
+    by_pair = F.pmod(F.xxhash64("pair_id"), count).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias(name)
     keys = ["direction", "qb", "db"]
-
+    if dedup:  # groups of more than a quarter of a block: at most four for each block of documents
+        hot = base.groupBy("direction", "cand").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block // 4).select("direction", "cand", F.lit(True).alias("hot"))
+        docs = base.join(F.broadcast(hot), ["direction", "cand"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        docs = docs.withColumn("block", F.when(F.col("hot"), by_pair).otherwise(F.pmod(F.xxhash64("cand"), count).cast("int")))
+    else:
+        docs = base.withColumn("hot", F.lit(False)).withColumn("block", by_pair)
+    nothing = [F.lit(0.0).alias("best"), F.lit("").alias("best_cand")]
+    packed = _pack(docs.select("direction", "block", "source_row", "cand", "grp", "hot", F.col("document_embedding").alias("v"), *nothing))
+    laid_docs = packed.select("*", F.col("block").alias("db"), every("qb"))
+    columns = lambda q: q.select("direction", by_pair.alias("block"), "source_row", "cand", "grp", F.lit(False).alias("hot"), F.col("query_embedding").alias("v"), "best", "best_cand")
+    lay = lambda q: _pack(columns(q)).select("*", F.col("block").alias("qb"), every("db"))
     best_schema = "direction string, source_row long, cand string, score double"
 
     def positives(left: pa.Table, right: pa.Table) -> pa.Table:
         # candidates of the query's own group only: join on the group inside the block pair
-        q, d = right.combine_chunks(), left.combine_chunks()
         out = pa.schema([("direction", pa.string()), ("source_row", pa.int64()), ("cand", pa.string()), ("score", pa.float64())])
-        if not q.num_rows or not d.num_rows:
+        if not left.num_rows or not right.num_rows:
             return out.empty_table()
+        d, q = _Block(left), _Block(right)
         by: dict[str, list[int]] = {}
-        for i, g in enumerate(d.column("grp").to_pylist()):
+        for i, g in enumerate(d.grps):
             by.setdefault(g, []).append(i)
-        qv, dv = _unit(q.column("v").combine_chunks()), _unit(d.column("v").combine_chunks())
-        cand = d.column("cand").to_pylist()
         of_group: dict[str, list[int]] = {}
-        for i, g in enumerate(q.column("grp").to_pylist()):
+        for i, g in enumerate(q.grps):
             if g in by:
                 of_group.setdefault(g, []).append(i)
         rows, cands, scores = [], [], []
-        src = q.column("source_row").to_pylist()
         for g, mine in of_group.items():
-            members = sorted(by[g], key=cand.__getitem__)
-            s = np.round(qv[mine] @ dv[members].T, DIGITS)
-            at = s.argmax(axis=1)  # the first of equal scores has the smallest place
-            rows += [src[i] for i in mine]
-            cands += [cand[members[a]] for a in at]
-            scores += s[np.arange(len(mine)), at].tolist()
-        return pa.table([pa.array([q.column("direction")[0].as_py()] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(cands, pa.string()), pa.array(scores, pa.float64())], schema=out)
-
-    found = docs.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(positives, best_schema)
+            members = sorted(by[g], key=d.cands.__getitem__)
+            for at in range(0, len(mine), 1024):
+                some = mine[at : at + 1024]
+                s = np.round(q.unit[some] @ d.unit[members].T, DIGITS)
+                top = s.argmax(axis=1)  # the first of equal scores has the smallest place
+                rows.append(q.rows[some])
+                cands += [d.cands[members[a]] for a in top]
+                scores.append(s[np.arange(len(some)), top])
+        if not rows:
+            return out.empty_table()
+        n_rows = len(cands)
+        return pa.table([pa.array([right.column("direction")[0].as_py()] * n_rows, pa.string()), pa.array(np.concatenate(rows)), pa.array(cands, pa.string()), pa.array(np.concatenate(scores))], schema=out)
+
+    found = laid_docs.groupBy(*keys).cogroup(lay(base.select("*", *nothing)).groupBy(*keys)).applyInArrow(positives, best_schema)
     best = found.groupBy("direction", "source_row").agg(F.min(F.struct((-F.col("score")).alias("far"), "cand")).alias("b"))
     best = best.select("direction", "source_row", (-F.col("b.far")).alias("best"), F.col("b.cand").alias("best_cand"))
-
-    ahead_schema = "direction string, source_row long, ahead long"
+    ahead_schema = "direction string, source_row long, ahead long, hot_cand string, hot_score double, best double, best_cand string"
 
     def ahead(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("direction", pa.string()), ("source_row", pa.int64()), ("ahead", pa.int64())])
+        out = pa.schema([("direction", pa.string()), ("source_row", pa.int64()), ("ahead", pa.int64()), ("hot_cand", pa.string()), ("hot_score", pa.float64()), ("best", pa.float64()), ("best_cand", pa.string())])
         if not right.num_rows or not left.num_rows:
             return out.empty_table()
-        q, d = right.combine_chunks(), left.combine_chunks()
-        dv = _unit(d.column("v").combine_chunks())
-        cand = np.array(d.column("cand").to_pylist())
-        qv = _unit(q.column("v").combine_chunks())
-        score, place = q.column("best").to_numpy(), np.array(q.column("best_cand").to_pylist())
-        counts = np.zeros(len(qv), dtype=np.int64)
-        order = np.argsort(cand, kind="stable")
-        cand, dv = cand[order], dv[order]
+        d, q = _Block(left), _Block(right)
+        direction = right.column("direction")[0].as_py()
+        order = np.argsort(d.cands, kind="stable")
+        cand, unit = d.cands[order], d.unit[order]
         starts = np.flatnonzero(np.r_[True, cand[1:] != cand[:-1]])
-        names = cand[starts]
-        for at in range(0, len(qv), 256):
-            s = np.round(qv[at : at + 256] @ dv.T, DIGITS)
+        names, hot = cand[starts], d.hot[order][starts]
+        counts = np.zeros(len(q.rows), dtype=np.int64)
+        parts = []
+        for at in range(0, len(q.rows), 256):
+            some = slice(at, at + 256)
+            s = np.round(q.unit[some] @ unit.T, DIGITS)
             if len(starts) < len(cand):
                 s = np.maximum.reduceat(s, starts, axis=1)
-            b = score[at : at + 256][:, None]
-            before = np.arange(len(names)) < np.searchsorted(names, place[at : at + 256])[:, None]
-            counts[at : at + 256] = ((s > b) | ((s == b) & before)).sum(axis=1)
-        return pa.table([pa.array([q.column("direction")[0].as_py()] * len(qv), pa.string()), q.column("source_row").combine_chunks(), pa.array(counts)], schema=out)
-
-    if dedup:  # a group must lie in one document block, or its members would be counted twice
-        docs_own = F.col("cand")
-        n_blocks = docs.select("direction", "db").distinct().groupBy("direction").agg(F.count(F.lit(1)).alias("_n"))
-        docs2 = docs.join(F.broadcast(n_blocks), "direction").withColumn("db", F.pmod(F.xxhash64(docs_own), F.col("_n")).cast("int")).drop("_n")
-    else:
-        docs2 = docs
-    scored = queries.join(best, ["direction", "source_row"])
-    counted = docs2.groupBy(*keys).cogroup(scored.groupBy(*keys)).applyInArrow(ahead, ahead_schema)
+            b = q.best[some, None]
+            before = np.arange(len(names)) < np.searchsorted(names, q.best_cands[some])[:, None]
+            counts[some] = (((s > b) | ((s == b) & before)) & ~hot).sum(axis=1)
+            for h in np.flatnonzero(hot):  # a large group: its best score here, to be merged with other blocks'
+                m = s.shape[0]
+                parts.append(pa.table([pa.array([direction] * m), pa.array(q.rows[some]), pa.array(np.zeros(m, np.int64)), pa.array([names[h]] * m, pa.string()), pa.array(s[:, h]), pa.array(q.best[some]), pa.array(q.best_cands[some].tolist(), pa.string())], schema=out))
+        m = len(q.rows)
+        none = lambda kind: pa.nulls(m, kind)
+        return pa.concat_tables([pa.table([pa.array([direction] * m), pa.array(q.rows), pa.array(counts), none(pa.string()), none(pa.float64()), none(pa.float64()), none(pa.string())], schema=out), *parts])
+
+    counted = laid_docs.groupBy(*keys).cogroup(lay(base.join(best, ["direction", "source_row"])).groupBy(*keys)).applyInArrow(ahead, ahead_schema)
+    if dedup:
+        merged = counted.groupBy("direction", "source_row", "hot_cand").agg(F.sum("ahead").alias("ahead"), F.max("hot_score").alias("s"), F.max("best").alias("b"), F.max("best_cand").alias("c"))
+        earlier = (F.col("s") > F.col("b")) | ((F.col("s") == F.col("b")) & (F.col("hot_cand") < F.col("c")))
+        counted = merged.select("direction", "source_row", (F.col("ahead") + F.when(earlier, 1).otherwise(0)).alias("ahead"))
     ranks = counted.groupBy("direction", "source_row").agg((F.sum("ahead") + 1).alias("retrieval_rank"))
     n_cand = base.groupBy("direction").agg((F.count_distinct("cand")).alias("n_candidates"))
     own = paired_cosine(base).join(base.select("pair_id", "direction", "source_row"), ["pair_id", "direction"])

@@ -266,3 +266,29 @@ def test_affect_features_of_pairs(spark):
     joined = {r.id: r for r in affect.lexicon_profile(df, "pair_id", "source_pt", lex, max_lexicon=0).collect()}
     for r in affect.lexicon_profile(df, "pair_id", "source_pt", lex).collect():
         assert r == joined[r.id]
+
+
+@pytest.mark.parametrize("dedup", [False, True])
+@pytest.mark.parametrize("block", [16_384, 40])
+def test_ranks_equal_brute_force_with_a_hot_group(spark, dedup, block):
+    rng = np.random.default_rng(11)
+    n = 300
+    q, d = rng.normal(size=(n, 8)).astype("f4"), rng.normal(size=(n, 8)).astype("f4")
+    d[5:9] = d[4]  # ties
+    grp = np.array(["hot" if i % 3 == 0 else f"g{i // 4}" for i in range(n)])
+    rows = [(i, f"p{i:03d}", "en_to_pt", q[i].tolist(), d[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "source_row long, pair_id string, direction string, query_embedding array<float>, document_embedding array<float>")
+    groups = spark.createDataFrame([(f"p{i:03d}", g, g) for i, g in enumerate(grp.tolist())], "pair_id string, pt_duplicate_group_id string, en_duplicate_group_id string")
+    unit = lambda x: x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(unit(q) @ unit(d).T, 9)
+    want = []
+    for i in range(n):
+        if dedup:
+            best = {g: s[i][grp == g].max() for g in set(grp.tolist())}
+            order = sorted(best, key=lambda g: (-best[g], g))
+            want.append(order.index(grp[i]) + 1)
+        else:
+            order = sorted(range(n), key=lambda j: (-s[i][j], j))
+            want.append(min(k for k, j in enumerate(order) if grp[j] == grp[i]) + 1)
+    got = {r.pair_id: r.retrieval_rank for r in retrieval.retrieval_ranks(df, groups, block=block, dedup=dedup).collect()}
+    assert [got[f"p{i:03d}"] for i in range(n)] == want
