@@ -35,14 +35,22 @@ def null_audit(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return counts.withColumn("total", total)
 
 
-def audit(df: DataFrame, keys: list[str] | None = None, rows: int | None = None, not_null: list[str] | None = None, finite: list[str] | None = None) -> DataFrame:
-    """Key uniqueness, row count, nulls and finiteness in a single aggregate; raises on the first breach."""
+def audit(df: DataFrame, keys: list[str] | None = None, rows: int | None = None, not_null: list[str] | None = None, finite: list[str] | None = None, non_negative: list[str] | None = None, non_empty: list[str] | None = None) -> DataFrame:
+    """Key uniqueness, row count, nulls, finiteness, signs and empty texts in a single aggregate; raises on the first breach. Nulls are neither negative nor empty."""
     exprs = [F.count(F.lit(1)).alias("_n")]
     if keys:
         exprs.append(F.count_distinct(F.struct(*keys)).alias("_k"))
     exprs += [F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in not_null or ()]
     exprs += [F.count_if(F.isnan(c) | (F.abs(F.col(c)) == float("inf"))).alias(f"_inf_{c}") for c in finite or ()]
+    exprs += [F.count_if(F.col(c) < 0).alias(f"_neg_{c}") for c in non_negative or ()]
+    exprs += [F.count_if(F.trim(F.col(c)) == "").alias(f"_blank_{c}") for c in non_empty or ()]
     got = df.agg(*exprs).first()
+    for c in non_negative or ():
+        if got[f"_neg_{c}"]:
+            raise ContractError(f"{got[f'_neg_{c}']} values of {c} are negative")
+    for c in non_empty or ():
+        if got[f"_blank_{c}"]:
+            raise ContractError(f"{got[f'_blank_{c}']} texts of {c} are empty")
     if rows is not None and got["_n"] != rows:
         raise ContractError(f"{got['_n']} rows, expected {rows}")
     if keys and got["_k"] != got["_n"]:

@@ -109,7 +109,7 @@ def dense_key_aggregate(
     sides = list(keys)
     metrics = list(metrics)
     spark = df.sparkSession
-    blocks = blocks or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+    blocks = blocks or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 16)  # many for each partition, so that they spread evenly
     narrow = df.select(
         *[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keys.values())],
         *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metrics)],

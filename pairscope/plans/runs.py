@@ -7,9 +7,10 @@ import json
 import logging
 import os
 import platform
+import re
 import stat
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
@@ -17,8 +18,9 @@ from types import TracebackType
 
 from pairscope.sources.tables import file_digest, write_json_once
 
-#: Parts of configuration keys that look like secrets.
+# Parts of configuration keys that look like secrets.
 SECRET_PARTS = ("api_key", "password", "secret", "token")
+# Folders of a run. The manifests in it are 000_start, 001_environment and 999_end; the lock is .run-lock.
 FOLDERS = ("artifacts", "checkpoints", "logs", "manifests", "metrics", "tables")
 
 
@@ -26,18 +28,24 @@ def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
+_SECRET = re.compile("|".join(SECRET_PARTS), re.IGNORECASE)
+
+
+def _named(value: object, at: str) -> Iterator[str]:
+    """Dotted paths of all keys of a configuration."""
+    if isinstance(value, dict):
+        for k, x in value.items():
+            yield f"{at}.{k}"
+            yield from _named(x, f"{at}.{k}")
+    elif isinstance(value, (list, tuple)):
+        for i, x in enumerate(value):
+            yield from _named(x, f"{at}[{i}]")
+
+
 def refuse_secrets(value: object, at: str = "config") -> None:
-    """Raise on any key that looks like a secret, at any depth."""
-    pending = [(at, value)]
-    while pending:
-        where, v = pending.pop()
-        if isinstance(v, dict):
-            for k, x in v.items():
-                if any(p in str(k).lower() for p in SECRET_PARTS):
-                    raise ValueError(f"{where}.{k} looks like a secret")
-                pending.append((f"{where}.{k}", x))
-        elif isinstance(v, (list, tuple)):
-            pending += [(f"{where}[{i}]", x) for i, x in enumerate(v)]
+    """Raise if any key, at any depth, looks like a secret; the message lists the paths and no value."""
+    if bad := [path for path in _named(value, at) if _SECRET.search(path.rsplit(".", 1)[-1])]:
+        raise ValueError(f"these keys look like secrets: {bad}")
 
 
 def check_runtime(config: dict) -> None:

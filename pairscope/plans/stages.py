@@ -147,6 +147,8 @@ def registry(spark: SparkSession, data: str, tables_root: str | None = None, rep
 
         def stage(run: RunWorkspace, upstream: dict[str, Path], name: str = name, work: Callable[[Inputs], Outputs] = work) -> dict:
             counts, paths = {}, {}
+            for need in upstream.values():
+                verify_tables(spark, need)
             for made, (rows, keys) in work(Inputs(spark, data, upstream, repetitions)).items():
                 target = f"{tables_root.rstrip('/')}/{run.root.name}/{made}" if tables_root else str(run.root / "tables" / made)
                 write_sorted(rows if name == "prepare_cohort" else assert_no_text(rows), target, keys)

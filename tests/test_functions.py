@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pairscope.functions import ids, language, quality, text, vectors
 
 
 def test_normalization_folds_width_and_space_and_keeps_case(spark):
-    rows = [("  Saúde\tmental\n", "Saúde mental"), ("Ａ", "A"), ("a　\x1cb", "a b"), ("", ""), (None, None), ("x" * 100_000, "x" * 100_000)]
+    rows = [("\n Pausas\t\tcurtas  ", "Pausas curtas"), ("Ａ", "A"), ("a　\x1cb", "a b"), ("", ""), (None, None), ("x" * 100_000, "x" * 100_000)]
     got = spark.createDataFrame([(a,) for a, _ in rows], "t string").select(text.normalize_for_qc("t").alias("n"), text.token_count(text.normalize_for_qc("t")).alias("c")).collect()
     assert [r.n for r in got] == [b for _, b in rows]
     assert [r.c for r in got][:5] == [2, 1, 2, 1, None]
@@ -71,3 +72,42 @@ def test_detector_plug_in(spark):
     df = spark.createDataFrame([("abc",), ("123",), (None,)], "t string")
     got = df.select(language.detector_udf(Always)("t", F.lit("pt")).alias("d")).collect()
     assert [r.d.predicted for r in got] == ["pt", None, None]
+
+
+def test_models_plug_in_as_functions_of_columns(spark):
+    from pairscope.functions import language, quality
+
+    class Longest:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+        def score(self, sources, translations):
+            return [max(len(a or ""), len(b or "")) / 10 for a, b in zip(sources, translations)]
+
+    class Short(Longest):
+        def score(self, sources, translations):
+            return [1.0]
+
+    class Capitals:
+        def detect(self, text, expected):
+            return (expected, 1.0) if text[:1].isupper() else (None, 0.5)
+
+    df = spark.createDataFrame([("a", "bcd"), ("Ef", None), (None, "x")], "s string, t string")
+    assert [r.q for r in df.select(quality.quality_udf(Longest)("s", "t").alias("q")).collect()] == [0.3, 0.2, 0.1]
+    with pytest.raises(Exception, match="finite score"):
+        df.coalesce(1).select(quality.quality_udf(Short)("s", "t").alias("q")).collect()
+    got = df.select(language.detector_udf(Capitals)("s", F.lit("pt")).alias("d")).select("d.*").collect()
+    assert [(r.predicted, r.expected_confidence) for r in got] == [(None, 0.5), ("pt", 1.0), (None, 0.0)]
+
+
+def test_audit_of_signs_and_empty_texts(spark):
+    from pairscope.contracts import ContractError, audit
+
+    df = spark.createDataFrame([(1, "a"), (None, None)], "n int, t string")
+    audit(df, non_negative=["n"], non_empty=["t"])
+    for bad in ((-1, "a"), (1, "  ")):
+        with pytest.raises(ContractError):
+            audit(spark.createDataFrame([bad], "n int, t string"), non_negative=["n"], non_empty=["t"])
