@@ -318,12 +318,13 @@ def top_neighbors(
         """Blocks of a row's group on one side; the maps hold at most (groups) entries, bounded by the sample."""
         return F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("cell_group")], F.lit(1)) if blocks else F.lit(1)
 
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    own = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")  # noqa: E731  of the type of ``every``, or equal keys would part
     keys = ["cell_group"]
     if doc_blocks or query_blocks:
         n_d, n_q = number_of(doc_blocks), number_of(query_blocks)
-        docs = docs.withColumn("db", F.pmod(F.xxhash64("vec"), n_d)).withColumn("qb", every(n_q))  # equal vectors meet in one block
-        queries = queries.withColumn("qb", F.pmod(F.xxhash64("ids"), n_q)).withColumn("db", every(n_d))  # ids of a hot vector are spread
+        docs = docs.withColumn("db", own("vec", n_d)).withColumn("qb", every(n_q))  # equal vectors meet in one block
+        queries = queries.withColumn("qb", own("ids", n_q)).withColumn("db", every(n_d))  # ids of a hot vector are spread
         keys = ["cell_group", "db", "qb"]
     out_schema = pa.schema([("partition", pa.string()), ("query_id", pa.string()), ("document_id", pa.string()), ("cosine", pa.float64())])
 

@@ -38,6 +38,18 @@ def test_recall_against_brute_force(spark, block):
     assert len({(r.query_id, r.document_id) for r in out}) == len(out) and max(r.place for r in out) <= 5
 
 
+@pytest.mark.parametrize("lists", [100, 100_000])
+def test_exact_mode_misses_nothing_whatever_the_blocks(spark, lists, request):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the small partitions are put together, and what must meet does anyway
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.enabled", "true"))
+    q, d = _vectors(1200, 3)
+    ids = [f"p{i:04d}" for i in range(len(q))]
+    df = spark.createDataFrame([("x", i, a.tolist(), b.tolist()) for i, a, b in zip(ids, q, d)], "direction string, pair_id string, query array<float>, document array<float>").repartition(3)
+    # with 100,000 rows a list there is one group, which both sides must cut
+    out = neighbors.top_neighbors(df, "pair_id", "direction", "query", "document", 5, 0.9, rows_per_list=lists, block_rows=64, spread=neighbors.EXACT).collect()
+    assert {(r.query_id, r.document_id) for r in out} == _exact(q, d, ids, 5, 0.9)
+
+
 def test_ties_and_empty(spark):
     rows = [("x", i, [1.0, 0.0], [1.0, 0.0]) for i in "dbca"]
     df = spark.createDataFrame(rows, "part string, id string, q array<float>, d array<float>")
