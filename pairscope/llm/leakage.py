@@ -6,7 +6,8 @@ moves on or stays by a bit of step and word. The embedding maps few edits to a s
 ``max_edits`` word edits agree in most places. Bit-sampling tables hash sampled places of the walk; ``tables_for`` finds by simulation how
 many are needed so that an edited window is met with the target recall. Equal windows collide in every table. An exact way handles the rest:
 ``max_edits + 1`` parts of a window cannot all be edited, so each part of ``LEAST_PART`` words or more is a table too, and no edited
-window is missed. Every candidate is verified by the exact edit distance of the item's window to the best stretch of the document around the
+window is missed. Windows with more words that no item has than edits are allowed are left out
+before, as they can be near none. Every candidate is verified by the exact edit distance of the item's window to the best stretch of the document around the
 hit, of whatever length. A window of the whole item would miss passages that are a part of it, so windows are of the size of a passage.
 
 Items are a stated query set: their windows travel with the task, in blocks of at most ``BLOCK_WINDOWS`` windows (about 20 MB);
@@ -55,9 +56,14 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def hash_words(tokens: list[str]) -> np.ndarray:
+def hash_words(tokens: list[str], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and how many of the words before each place are not in the vocabulary (sorted hashes)."""
+    if not tokens:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     codes, unique = pd.factorize(np.array(tokens, dtype=object))
-    return np.array([xxhash.xxh64_intdigest(w) for w in unique], dtype=np.uint64)[codes] if len(tokens) else np.zeros(0, np.uint64)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in unique], dtype=np.uint64)
+    strange = np.zeros(len(hashes), dtype=bool) if vocabulary is None else ~np.isin(hashes, vocabulary)
+    return hashes[codes], np.r_[0, np.cumsum(strange[codes], dtype=np.int64)]
 
 
 @lru_cache(16)
@@ -190,12 +196,16 @@ def leaked(
     def search(block: np.ndarray, owners: np.ndarray) -> DataFrame:
         held = [(0, window, lambda x: embed_keys(x, tables), [_Table(k) for k in embed_keys(block, tables)])]
         held += [(offset, length, part_keys, [_Table(part_keys(block[:, offset : offset + length])[0])]) for offset, length in parts]
+        vocabulary = np.unique(block)
 
-        def candidates(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def candidates(flat: np.ndarray, strange: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Distinct (document, item window, where the window would begin), as each table meets them."""
             met = []
             for offset, length, keys_of, found in held:
                 starts, owner = _windows(flat, sizes, length)
+                # every word that no item has is an edit, so a window with more of them than edits is near no item
+                able = strange[starts + length] - strange[starts] <= (max_edits if length == window else 0)
+                starts, owner = starts[able], owner[able]
                 for at in range(0, len(starts), 50_000):
                     first = starts[at : at + 50_000]
                     for table, keys in zip(found, keys_of(flat[first[:, None] + np.arange(length)])):
@@ -207,10 +217,10 @@ def leaked(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 split = [words(t) for t in batch.column("text").to_pylist()]
-                flat = hash_words([w for s in split for w in s])
+                flat, strange = hash_words([w for s in split for w in s], vocabulary)
                 sizes = np.array([len(s) for s in split], dtype=np.int64)
                 end = np.cumsum(sizes)
-                doc, k, place = candidates(flat, sizes)
+                doc, k, place = candidates(flat, strange, sizes)
                 edits = np.full(len(doc), max_edits + 1)
                 for at in range(0, len(doc), 20_000):
                     some = slice(at, at + 20_000)
@@ -238,7 +248,7 @@ def leaked(
 
     held = 0
     for row in queries.orderBy("i").toLocalIterator():  # one partition at a time
-        flat = hash_words(words(row.t))
+        flat, _ = hash_words(words(row.t))
         starts, _ = _windows(flat, np.array([len(flat)]), window)
         if len(starts):
             if held + len(starts) > BLOCK_WINDOWS:
