@@ -298,6 +298,25 @@ def synthetic_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.embed_pairs(rows, lambda: embeddings.SyntheticBackend(64, 1729), 64).drop("source_row")
 
 
+def _vector_sql() -> str:
+    parts = []
+    for direction, (query_column, document_column, instruction) in embeddings.DIRECTIONS.items():
+        for side, column, domain in (("query", query_column, f"'query' || chr(0) || '{instruction}'"), ("document", document_column, "'document'")):
+            parts.append(f"SELECT pair_id, '{direction}' AS direction, '{side}' AS side, encode('1729' || chr(0) || {domain} || chr(0) || {column}) AS h FROM paired_responses WHERE source_pt IS NOT NULL AND translation_en IS NOT NULL")
+    hashed = "sha256(h || '\\x00\\x00\\x00\\x00'::BLOB) || sha256(h || '\\x00\\x00\\x00\\x01'::BLOB)"
+    entries = "list_transform(range(0, 64), lambda i: ((('0x' || substr(x, (2 * i + 1)::INTEGER, 2))::INTEGER) - 127.5::DOUBLE) / 127.5::DOUBLE)"
+    unit = lambda k: f"round((v[{k}] / sqrt(list_inner_product(v, v)))::FLOAT::DOUBLE, 5)"
+    return f"WITH t AS ({' UNION ALL '.join(parts)}), b AS (SELECT pair_id, direction, side, {hashed} AS x FROM t), w AS (SELECT pair_id, direction, side, {entries} AS v FROM b) SELECT pair_id, direction, side, " + ", ".join(f"{unit(k)} AS e{k}" for k in (1, 2, 32, 33, 64)) + " FROM w"
+
+
+@query(_vector_sql())
+def synthetic_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Five entries of every deterministic vector, queries with their instruction."""
+    made = synthetic_embeddings(spark, d)
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_embedding").alias("v")) for s in ("query", "document")])).alias("x")
+    return made.select("pair_id", "direction", sides).select("pair_id", "direction", "x.side", *[F.round(F.col("x.v")[k - 1].cast("double"), 5).alias(f"e{k}") for k in (1, 2, 32, 33, 64)])
+
+
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
           SELECT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_inner_product(e, e)), 8) AS first_unit FROM e""")
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -625,10 +644,39 @@ def loco_predictions(spark: SparkSession, d: str) -> DataFrame:
     return p.select("l_orderkey", "l_linenumber", F.round("predicted", 3).alias("predicted"))
 
 
-@query()
+def _tuned_sql() -> str:
+    """Three features: penalty by inner leave-one-cohort-out over the training cohorts, normal equations by Cramer's rule on standardised features."""
+    xs = dict(enumerate(_FEATURES, 1))
+    pairs = [(i, j) for i in xs for j in xs if i <= j]
+    sums = ["count(*)::DOUBLE AS n", f"sum({_TARGET}) AS sy", f"sum({_TARGET} * {_TARGET}) AS qyy", *[f"sum({x}) AS s{i}" for i, x in xs.items()], *[f"sum({x} * {_TARGET}) AS q{i}y" for i, x in xs.items()], *[f"sum({xs[i]} * {xs[j]}) AS q{i}{j}" for i, j in pairs]]
+    names = ["n", "sy", "qyy", *[f"s{i}" for i in xs], *[f"q{i}y" for i in xs], *[f"q{i}{j}" for i, j in pairs]]
+    added = ", ".join(f"sum(t.{c}) AS {c}" for c in names)
+    q = lambda i, j: f"q{min(i, j)}{max(i, j)}"
+    stats = ", ".join([f"s{i} / n AS m{i}" for i in xs] + ["sy / n AS my"] + [f"sqrt(q{i}{i} / n - (s{i} / n) * (s{i} / n)) AS d{i}" for i in xs])
+    entry = lambda i, j: f"(n * ({q(i, j)} / n - m{i} * m{j}) / (d{i} * d{j})" + (" + alpha)" if i == j else ")")
+    cells = ", ".join([f"{entry(i, j)} AS a{i}{j}" for i in xs for j in xs] + [f"n * (q{i}y / n - m{i} * my) / d{i} AS b{i}" for i in xs])
+
+    def det(column: int = 0) -> str:
+        c = lambda i, j: f"b{i}" if j == column else f"a{i}{j}"
+        return f"({c(1, 1)} * ({c(2, 2)} * {c(3, 3)} - {c(2, 3)} * {c(3, 2)}) - {c(1, 2)} * ({c(2, 1)} * {c(3, 3)} - {c(2, 3)} * {c(3, 1)}) + {c(1, 3)} * ({c(2, 1)} * {c(3, 2)} - {c(2, 2)} * {c(3, 1)}))"
+
+    weights = ", ".join(f"{det(i)} / {det()} / d{i} AS w{i}" for i in xs)
+    square = " + ".join(f"w{i} * w{j} * g.{q(i, j)}" for i in xs for j in xs)
+    error = f"(g.qyy - 2 * ({' + '.join(f'w{i} * g.q{i}y' for i in xs)}) + ({square}) - 2 * b * (g.sy - ({' + '.join(f'w{i} * g.s{i}' for i in xs)})) + g.n * b * b) / g.n"
+    return f"""WITH g AS (SELECT l_returnflag AS c, {", ".join(sums)} FROM lineitem GROUP BY 1),
+      tr AS (SELECT h.c AS h, k.c AS k, {added} FROM g h JOIN g k ON k.c <> h.c JOIN g t ON t.c <> h.c AND t.c <> k.c GROUP BY 1, 2 UNION ALL SELECT h.c, NULL, {added} FROM g h JOIN g t ON t.c <> h.c GROUP BY 1),
+      st AS (SELECT *, {stats} FROM tr), al AS (SELECT unnest([0.01, 0.1, 1.0, 10.0, 100.0]::DOUBLE[]) AS alpha), eq AS (SELECT h, k, alpha, my, {", ".join(f"m{i}, d{i}" for i in xs)}, {cells} FROM st, al),
+      so AS (SELECT h, k, alpha, my, {", ".join(f"m{i}" for i in xs)}, {weights} FROM eq), fi AS (SELECT *, my - ({" + ".join(f"w{i} * m{i}" for i in xs)}) AS b FROM so),
+      er AS (SELECT h, alpha, avg({error}) AS e FROM fi JOIN g ON g.c = fi.k GROUP BY 1, 2), be AS (SELECT h, arg_min(alpha, e) AS alpha FROM er GROUP BY 1),
+      p AS (SELECT l_returnflag, be.alpha, {_TARGET} AS y, b + {" + ".join(f"w{i} * {x}" for i, x in xs.items())} AS predicted FROM lineitem JOIN fi ON fi.h = l_returnflag AND fi.k IS NULL JOIN be ON be.h = fi.h AND be.alpha = fi.alpha)
+      SELECT l_returnflag, count(*) AS n, any_value(alpha) AS alpha, round(avg(abs(predicted - y)), 3) AS mae, round(sqrt(avg((predicted - y) ** 2)), 3) AS rmse, round(1 - avg((predicted - y) ** 2) / var_pop(y), 6) AS r2, round(corr(predicted, y), 6) AS pearson_r FROM p GROUP BY 1"""
+
+
+@query(_tuned_sql())
 def ridge_tuned(spark: SparkSession, d: str) -> DataFrame:
     """Nested selection of alpha over five values with three features."""
-    return ridge.leave_one_cohort_out(table(spark, d, "lineitem"), "l_returnflag", _FEATURES, _TARGET)[1]
+    m = ridge.leave_one_cohort_out(table(spark, d, "lineitem"), "l_returnflag", _FEATURES, _TARGET)[1]
+    return m.select("l_returnflag", "n", "alpha", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), F.round("r2", 6).alias("r2"), F.round("pearson_r", 6).alias("pearson_r"))
 
 
 # --- sensitivity --------------------------------------------------------------------------------------------------
