@@ -212,10 +212,15 @@ def _train(chains: list[np.ndarray], tags: list[np.ndarray], words: np.ndarray,
     gw, gm = np.full((BUCKETS, n), 1e-3, np.float32), np.full((n, n), 1e-1, np.float32)
     order = np.arange(len(chains))
     eye = np.eye(n, dtype=np.float32)
+    sizes = np.array([len(c) for c in chains])
     for _ in range(epochs):
         rng.shuffle(order)
-        for at in range(0, len(order), 256):
-            pick = order[at : at + 256]
+        batches = []
+        for at in range(0, len(order), 4096):  # chains of like length together, so that little is padding
+            near = order[at : at + 4096][np.argsort(sizes[order[at : at + 4096]], kind="stable")]
+            batches += [near[i : i + 256] for i in range(0, len(near), 256)]
+        for i in rng.permutation(len(batches)):
+            pick = batches[i]
             x, size = _pad([chains[i] for i in pick])
             y, _ = _pad([tags[i] for i in pick])
             fid = _features(words[x], stems[x])
@@ -321,7 +326,8 @@ def fit_reviewed(reviewed: list[tuple[str, str]], max_harmless: int = 12_000, ep
                         known.setdefault(len(wd), set()).add(wd)
         model.known = {k: sorted(v) for k, v in known.items()}
         vocab: dict[str, int] = {"": 0}
-        codes = lambda s: np.array([vocab.setdefault(model.form(t), len(vocab)) for t in s])
+        code_of: dict[str, int] = {}  # of raw forms; never 0, which is padding
+        codes = lambda s: np.array([code_of.get(t) or code_of.setdefault(t, vocab.setdefault(model.form(t), len(vocab))) for t in s])
         chains, tags = [], []
         order = rng.permutation(len(data))
         k = 0
