@@ -88,7 +88,7 @@ def intervals_numpy(df: DataFrame, keys: list[str], cluster: str, metrics: list[
             raise ValueError("a cluster of the table is not in the universe")
         # each cluster's place in the sorted universe: places of absent clusters are what is missing
         places = _places(everyone, cluster)
-        stats = stats.join(places, cluster)
+        stats = stats.join(places, cluster).drop(cluster)  # the place says it in eight bytes
     else:
         size = 0
     schema = ", ".join(f"{k} string" for k in keys) + ", metric string, n_clusters long, estimate double, ci_lower double, ci_upper double"
@@ -96,7 +96,7 @@ def intervals_numpy(df: DataFrame, keys: list[str], cluster: str, metrics: list[
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MAX_UNIVERSE:
             raise ValueError(f"{len(pdf)} clusters in one stratum: use the poisson engine")
-        pdf = pdf.sort_values(cluster)
+        pdf = pdf.sort_values("_place" if size else cluster)
         live = [m for m in metrics if pdf[f"c_{m}"].sum() > 0]
         if not live:
             return pd.DataFrame(columns=[*keys, "metric", "n_clusters", "estimate", "ci_lower", "ci_upper"])
