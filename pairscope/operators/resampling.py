@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairscope.session import cut_lineage
+
 MAX_UNIVERSE = 2_000_000
 DRAWS_AT_ONCE = 4_000_000  # entries of a block of draws
 WEIGHTS_AT_ONCE = 16_000_000  # entries of a block of weights: 128 MB
@@ -74,21 +76,18 @@ def intervals_numpy(df: DataFrame, keys: list[str], cluster: str, metrics: list[
     """Long table: keys, ``metric``, ``n_clusters``, ``estimate``, ``ci_lower``, ``ci_upper``.
 
     With ``universe`` (a table with the cluster column) clusters without eligible rows take part with zero sums; they are not laid out as rows,
-    only their number travels. A cluster of the table that is not in the universe is an error, and so is more than ``MAX_UNIVERSE`` clusters. Metrics without any
+    only their number travels. A cluster of the table that is not in the universe is an error when the result is computed, and so is at once more than ``MAX_UNIVERSE`` clusters. Metrics without any
     non-null value and rows without a cluster are left out. Clusters are sorted as strings before drawing, so results do not depend on partitions. ``labels`` come before
     the keys in what seeds are derived from.
     """
     stats = cluster_sums(df.filter(F.col(cluster).isNotNull()), keys, cluster, metrics).withColumn(cluster, F.col(cluster).cast("string"))
     if universe is not None:
-        everyone = universe.select(F.col(cluster).cast("string").alias(cluster)).filter(F.col(cluster).isNotNull()).distinct()
+        everyone = cut_lineage(universe.select(F.col(cluster).cast("string").alias(cluster)).filter(F.col(cluster).isNotNull()).distinct())
         size = everyone.count()
         if size > MAX_UNIVERSE:
             raise ValueError(f"{size} clusters: use the poisson engine")
-        if stats.select(cluster).distinct().join(everyone, cluster, "left_anti").limit(1).count():
-            raise ValueError("a cluster of the table is not in the universe")
         # each cluster's place in the sorted universe: places of absent clusters are what is missing
-        places = _places(everyone, cluster)
-        stats = stats.join(places, cluster).drop(cluster)  # the place says it in eight bytes
+        stats = stats.join(_places(everyone, cluster), cluster, "left").drop(cluster)  # the place says it in eight bytes
     else:
         size = 0
     schema = ", ".join(f"{k} string" for k in keys) + ", metric string, n_clusters long, estimate double, ci_lower double, ci_upper double"
@@ -96,12 +95,14 @@ def intervals_numpy(df: DataFrame, keys: list[str], cluster: str, metrics: list[
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MAX_UNIVERSE:
             raise ValueError(f"{len(pdf)} clusters in one stratum: use the poisson engine")
+        if size and pdf["_place"].isna().any():
+            raise ValueError("a cluster of the table is not in the universe")
         pdf = pdf.sort_values("_place" if size else cluster)
         live = [m for m in metrics if pdf[f"c_{m}"].sum() > 0]
         if not live:
             return pd.DataFrame(columns=[*keys, "metric", "n_clusters", "estimate", "ci_lower", "ci_upper"])
         n = size or len(pdf)
-        at = pdf["_place"].to_numpy() if size else np.arange(n)
+        at = pdf["_place"].to_numpy(np.int64) if size else np.arange(n)
         sums, counts = np.zeros((n, len(live))), np.zeros((n, len(live)))
         sums[at], counts[at] = pdf[[f"s_{m}" for m in live]].to_numpy(float), pdf[[f"c_{m}" for m in live]].to_numpy(float)
         got = bootstrap_ratio(sums, counts, repetitions, derive_seed(seed, *labels, *map(str, key)), level)
