@@ -6,12 +6,13 @@ Three engines over the same sufficient statistics (one row a cluster: sums and c
   universe of clusters is held by that worker, so its size is checked against ``MAX_UNIVERSE``.
 * ``poisson``: each cluster draws a Poisson(1) weight for each repetition from a hash of (seed, repetition, cluster). Weights need no
   universe in one place: partitions add up (repetitions x metrics) arrays, and the shuffle is that small whatever the table. For large universes.
-* ``hash``: index draws by MD5, in pure SQL, for checking the estimator against another engine.
+* ``hash``: index draws by MD5, as SQL can make them too, for checking the estimator against another engine.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,9 @@ from pairscope.session import cut_lineage
 MAX_UNIVERSE = 2_000_000
 DRAWS_AT_ONCE = 4_000_000  # entries of a block of draws
 WEIGHTS_AT_ONCE = 16_000_000  # entries of a block of weights: 128 MB
-MAX_HASH_DRAWS = 50_000_000  # rows that the hash engine, which is for checks, may lay out
+HASHES_AT_ONCE = 16_384  # MD5 sums of one go
+PLACES_AT_ONCE = 4_000_000  # places of a pack of the hash engine
+RANGES = 50  # ranges of repetitions of the hash engine, at most
 
 
 def derive_seed(seed: int, *labels: str) -> int:
@@ -173,24 +176,110 @@ def intervals_poisson(df: DataFrame, keys: list[str], cluster: str, metrics: lis
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1, np.arange(1, 12)]))
 
 
-def intervals_hash(df: DataFrame, keys: list[str], cluster: str, metrics: list[str], repetitions: int, level: float = 0.95, universe: DataFrame | None = None) -> DataFrame:
+_MD5_K = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_MD5_S = [np.uint32(x) for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for x in four * 4]
+
+
+def md5_heads(prefix: bytes, start: int, stop: int) -> np.ndarray:
+    """First four bytes of MD5(prefix + decimal i), as a number, for each i of start .. stop - 1; all of a length are hashed at once."""
+    parts = []
+    while start < stop:
+        digits = len(str(start))
+        end = min(stop, 10**digits)
+        i, length = np.arange(start, end), len(prefix) + digits
+        text = np.zeros((-(-(length + 9) // 64) * 64, end - start), dtype=np.uint8)
+        text[: len(prefix)] = np.frombuffer(prefix, dtype=np.uint8)[:, None]
+        for k in range(digits):
+            text[len(prefix) + k] = 48 + i // 10 ** (digits - 1 - k) % 10
+        text[length] = 0x80
+        text[-8:] = np.frombuffer((8 * length).to_bytes(8, "little"), dtype=np.uint8)[:, None]
+        words = np.ascontiguousarray(np.ascontiguousarray(text.T).view("<u4").T)
+        state = [np.full(end - start, x, dtype=np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+        for at in range(0, len(words), 16):
+            a, b, c, d = state
+            for j in range(64):
+                if j < 16:
+                    f, g = d ^ (b & (c ^ d)), j
+                elif j < 32:
+                    f, g = c ^ (d & (b ^ c)), (5 * j + 1) % 16
+                elif j < 48:
+                    f, g = b ^ c ^ d, (3 * j + 5) % 16
+                else:
+                    f, g = c ^ (b | ~d), 7 * j % 16
+                f += a
+                f += _MD5_K[j]
+                f += words[at + g]
+                turned = f << _MD5_S[j]
+                f >>= np.uint32(32) - _MD5_S[j]
+                turned |= f
+                turned += b
+                a, b, c, d = d, turned, b, c
+            state = [x + y for x, y in zip(state, (a, b, c, d))]
+        parts.append(state[0].byteswap().astype(np.int64))
+        start = end
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def intervals_hash(df: DataFrame, keys: list[str], cluster: str, metrics: list[str], repetitions: int, level: float = 0.95, universe: DataFrame | None = None, block: int = PLACES_AT_ONCE) -> DataFrame:
     """As ``intervals_numpy`` with draws from MD5(stratum|repetition|draw), for checking the estimator against another engine.
 
-    Clusters are numbered in their order as strings. Draws without eligible rows are left out. The draws are laid out as rows, so more than ``MAX_HASH_DRAWS`` are an error.
+    Clusters are numbered in their order as strings. Draws without eligible rows are left out. Draws are never laid out as rows: the clusters' sums are packed by ``block``
+    places of a stratum, each pack meets each range of repetitions without a shuffle, and the worker makes the draws and adds up what they hit.
     """
     stats = cluster_sums(df, keys, cluster, metrics).withColumn(cluster, F.col(cluster).cast("string"))
-    everyone = (universe if universe is not None else df).select(F.col(cluster).cast("string").alias(cluster)).filter(F.col(cluster).isNotNull()).distinct()
-    numbered = stats.join(_places(everyone, cluster), cluster)
-    strata = stats.select(*keys).distinct()
-    size, n_strata = everyone.count(), strata.count()
-    if size * repetitions * n_strata > MAX_HASH_DRAWS:
-        raise ValueError("too many draws for the hash engine: use numpy or poisson")
-    draws = strata.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")).select(*keys, "rep", F.explode(F.sequence(F.lit(0), F.lit(max(size - 1, 0)))).alias("draw"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", *keys, "rep", "draw")), 1, 8), 16, 10).cast("long") % F.lit(max(size, 1))
-    per = draws.select(*keys, "rep", pick.alias("_place")).groupBy(*keys, "rep", "_place").count().join(numbered, [*keys, "_place"])
-    ratio = lambda m, w: F.try_divide(F.sum(w * F.col(f"s_{m}")), F.sum(w * F.col(f"c_{m}")))
-    values = per.groupBy(*keys, "rep").agg(*[ratio(m, F.col("count")).alias(m) for m in metrics]).unpivot([*keys, "rep"], metrics, "metric", "v")
+    everyone = cut_lineage((universe if universe is not None else df).select(F.col(cluster).cast("string").alias(cluster)).filter(F.col(cluster).isNotNull()).distinct())
+    size = everyone.count()
+    known = stats.dropna(subset=keys).join(_places(everyone, cluster), cluster).drop(cluster)
+    numbered = known.withColumns({"_label": F.concat_ws("|", *keys), "_block": F.floor(F.col("_place") / block)})
+    kinds = dict(stats.dtypes)
+    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        place = t.column("_place").to_numpy()
+        first, span = int(place.min()), int(place.max() - place.min()) + 1
+        sums, counts, there = np.zeros((len(metrics), span)), np.zeros((len(metrics), span), dtype=np.int64), np.zeros(span, dtype=np.uint8)
+        there[place - first] = 1
+        for k, m in enumerate(metrics):
+            sums[k, place - first], counts[k, place - first] = t.column(f"s_{m}").to_numpy(), t.column(f"c_{m}").to_numpy()
+        out = t.slice(0, 1).select([*keys, "_label"])
+        for name, x in (("_first", pa.array([first])), ("_sums", pa.array([sums.tobytes()])), ("_counts", pa.array([counts.tobytes()])), ("_there", pa.array([there.tobytes()]))):
+            out = out.append_column(name, x)
+        return out
+
+    packed = cut_lineage(numbered.groupBy(*keys, "_block").applyInArrow(pack, f"{key_schema}, _label string, _first long, _sums binary, _counts binary, _there binary"))
+    step = -(-repetitions // RANGES)
+    ranges = df.sparkSession.range(0, repetitions, step, -(-repetitions // step)).withColumnRenamed("id", "_from")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = lambda n: batch.column(n)[at].as_py()  # noqa: B023, E731
+                label, first, start = one("_label"), one("_first"), one("_from")
+                there = np.frombuffer(one("_there"), dtype=np.uint8)
+                sums, counts = (np.frombuffer(one(n), dtype=kind).reshape(len(metrics), -1) for n, kind in (("_sums", np.float64), ("_counts", np.int64)))
+                rows: dict[str, list] = {"rep": [], "metric": [], "hits": [], "top": [], "low": []}
+                for rep in range(start, min(start + step, repetitions)):
+                    hits, top, low = 0, np.zeros(len(metrics)), np.zeros(len(metrics), dtype=np.int64)
+                    for lo in range(0, size, HASHES_AT_ONCE):
+                        place = md5_heads("|".join([*[label] * bool(keys), str(rep), ""]).encode(), lo, min(lo + HASHES_AT_ONCE, size)) % size - first
+                        if first or len(there) < size:
+                            place = place[(place >= 0) & (place < len(there))]
+                        hits += int(there[place].sum(dtype=np.int64))
+                        top += [x[place].sum() for x in sums]
+                        low += [x[place].sum() for x in counts]
+                    for n, x in (("rep", [rep] * len(metrics)), ("metric", metrics), ("hits", [hits] * len(metrics)), ("top", top.tolist()), ("low", low.tolist())):
+                        rows[n] += x
+                same = pa.Table.from_batches([batch.slice(at, 1)]).select(keys).take(pa.array([0] * len(rows["rep"])))
+                for n, x in rows.items():
+                    same = same.append_column(n, pa.array(x))
+                yield from same.combine_chunks().to_batches()
+
+    drawn = packed.hint("shuffle_replicate_nl").crossJoin(ranges).mapInArrow(draw, f"{key_schema}, rep long, metric string, hits long, top double, low long")
+    per = drawn.groupBy(*keys, "rep", "metric").agg(F.sum("hits").alias("hits"), F.sum("top").alias("top"), F.sum("low").alias("low")).filter(F.col("hits") > 0)
+    values = per.withColumn("v", F.try_divide("top", "low"))
     tail = (1 - level) / 2
     ci = values.groupBy(*keys, "metric").agg(F.expr(f"percentile(v, {tail})").alias("ci_lower"), F.expr(f"percentile(v, {1 - tail})").alias("ci_upper"))
-    estimates = stats.groupBy(*keys).agg(*[ratio(m, F.lit(1)).alias(m) for m in metrics]).unpivot(keys, metrics, "metric", "estimate")
+    ratio = lambda m: F.try_divide(F.sum(f"s_{m}"), F.sum(f"c_{m}"))
+    estimates = stats.groupBy(*keys).agg(*[ratio(m).alias(m) for m in metrics]).unpivot(keys, metrics, "metric", "estimate")
     return estimates.filter(F.col("estimate").isNotNull()).join(ci, [*keys, "metric"]).withColumn("n_clusters", F.lit(size).cast("long"))

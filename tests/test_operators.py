@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -292,3 +293,30 @@ def test_ranks_equal_brute_force_with_a_hot_group(spark, dedup, block):
             want.append(min(k for k, j in enumerate(order) if grp[j] == grp[i]) + 1)
     got = {r.pair_id: r.retrieval_rank for r in retrieval.retrieval_ranks(df, groups, block=block, dedup=dedup).collect()}
     assert [got[f"p{i:03d}"] for i in range(n)] == want
+
+
+def test_hash_draws_are_those_of_md5():
+    for prefix in (b"family|7|", b"x" * 70 + b"|0|"):
+        want = [int(hashlib.md5(prefix + str(i).encode()).hexdigest()[:8], 16) for i in range(95, 1203)]
+        assert resampling.md5_heads(prefix, 95, 1203).tolist() == want
+
+
+def test_hash_engine_equals_brute_force_over_packs(spark):
+    rows = [(f"s{i % 2}", f"c{i % 23:02d}", float(i % 7)) for i in range(90) if i % 2 or i % 23 < 9]
+    df, u, got = spark.createDataFrame(rows, "t string, c string, m double"), sorted({c for _, c, _ in rows}), {}
+    for t in ("s0", "s1"):
+        v = []
+        for rep in range(40):
+            hit = [u[int(hashlib.md5(f"{t}|{rep}|{k}".encode()).hexdigest()[:8], 16) % len(u)] for k in range(len(u))]
+            x = [m for c in hit for t2, c2, m in rows if t2 == t and c2 == c]
+            v += [sum(x) / len(x)] * bool(x)
+        got[t] = np.quantile(v, [0.025, 0.975])
+    for r in resampling.intervals_hash(df, ["t"], "c", ["m"], 40, block=5).collect():
+        assert np.allclose([r.ci_lower, r.ci_upper], got[r.t]) and r.n_clusters == len(u)
+
+
+def test_hash_engine_over_more_draws_than_rows_could_hold(spark):
+    df = spark.range(30_000).selectExpr("'a' AS t", "id AS c", "cast(id % 10 AS double) AS m")
+    r = resampling.intervals_hash(df, ["t"], "c", ["m"], 1_700).first()  # 51 million draws
+    half = 1.96 * np.sqrt(8.25 / 30_000)
+    assert r.estimate == 4.5 and abs(r.ci_lower - 4.5 + half) < 0.1 * half and abs(r.ci_upper - 4.5 - half) < 0.1 * half
