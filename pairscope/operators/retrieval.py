@@ -4,17 +4,17 @@ The score is the cosine in double precision, rounded to nine digits, so that equ
 Rank = documents that score higher + documents that score the same and come earlier + 1. Positives of a query are the documents of its
 document-language duplicate group.
 
-Physical plan: both sides are packed into blocks of at most ``block`` rows, one row of the plan each, and each pair of blocks is one matrix
-product in a Python worker, in two passes: best positive of each query, then the count of documents before it. Packed blocks meet by a shuffle on
-the block pair, nothing is broadcast, and a task never holds more than two blocks and a slice of their product. All queries against all
-documents is what the measure asks for; its cost is quadratic and spread evenly. Both passes emit one row for each query and document block.
-With duplicate groups as candidates, a group lies in one document block; groups too large for that are spread over blocks, and only
-their best score a block is merged afterwards.
+Physical plan: rows are shuffled to blocks of about ``block`` rows by their group, a block with its queries and documents is one row of a checkpoint, and
+blocks meet pair by pair in a Cartesian product that reads the checkpoint: nothing is shuffled or written for a pair of blocks but its counts, added
+up over the document blocks of a task. A query's best positive lies in its own block. Groups too large for that are spread over blocks; for their queries a pass
+before finds the best positive, and which of them are ahead is merged over blocks as bits. All queries against all documents is what the
+measure asks for; its cost is quadratic and spread evenly, its disk is not quadratic. Ranks over documents and over groups come of the same products.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,37 +41,243 @@ def paired_cosine(df: DataFrame) -> DataFrame:
     return df.select("pair_id", "direction", F.round(cosine, DIGITS).alias("paired_cosine"))
 
 
-_PACKED = pa.schema([("direction", pa.string()), ("block", pa.int32()), ("rows", pa.binary()), ("cands", pa.list_(pa.string())), ("grps", pa.list_(pa.string())), ("hot", pa.binary()), ("mat", pa.binary()),
-                     ("best", pa.binary()), ("best_cands", pa.list_(pa.string()))])
-_PACKED_DDL = "direction string, block int, rows binary, cands array<string>, grps array<string>, hot binary, mat binary, best binary, best_cands array<string>"
+_PACKED = "slot int, side int, direction string, n long, plain long, hot_names array<string>, rows binary, names array<string>, cosine binary, grps array<string>, hot binary, q binary, d binary, best binary, place binary"
+_AHEAD = "slot int, docs binary, groups binary, hot_names array<string>, hot_bits binary"
+_RANKED = "pair_id string, direction string, cosine double, docs long, groups long"
+TILE = (64, 8_192)  # queries and documents of one product
+DOC_BLOCKS = 16  # blocks of documents that one task may meet, beyond four tasks a block of queries
 
 
-def _pack(df: DataFrame) -> DataFrame:
-    """One row for each (direction, block) of rows (direction, block, source_row, cand, grp, hot, v, best, best_cand)."""
+def _raw(x: np.ndarray, kind: type) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x, dtype=kind).tobytes()], pa.binary())
 
-    def pack(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        column = lambda n: t.column(n).combine_chunks() if isinstance(t.column(n), pa.ChunkedArray) else t.column(n)
-        raw = lambda n, kind: np.ascontiguousarray(column(n).to_numpy(zero_copy_only=False), dtype=kind).tobytes()
-        mat = column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-        strings = lambda n: pa.array([column(n).to_pylist()], pa.list_(pa.string()))
-        return pa.table([pa.array([t.column("direction")[0].as_py()]), pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([raw("source_row", np.int64)], pa.binary()), strings("cand"), strings("grp"),
-                         pa.array([raw("hot", np.bool_)], pa.binary()), pa.array([mat.tobytes()], pa.binary()), pa.array([raw("best", np.float64)], pa.binary()), strings("best_cand")], schema=_PACKED)
 
-    return df.groupBy("direction", "block").applyInArrow(pack, _PACKED_DDL)
+def _strings(x: np.ndarray) -> pa.Array:
+    return pa.array([x.tolist()], pa.list_(pa.string()))
 
 
-class _Block:
-    """Arrays of a packed block."""
+class _Side:
+    """Vectors of a block in single precision with their norms; unit vectors in double precision on demand."""
 
-    def __init__(self, t: pa.Table):
-        one = lambda n: t.column(n)[0]
-        self.rows = np.frombuffer(one("rows").as_py(), dtype=np.int64)
-        self.cands, self.grps = np.array(one("cands").as_py(), dtype=object), one("grps").as_py()
-        self.hot = np.frombuffer(one("hot").as_py(), dtype=np.bool_)
-        x = np.frombuffer(one("mat").as_py(), dtype=np.float32).reshape(len(self.rows), -1).astype(np.float64)
-        self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        self.best, self.best_cands = np.frombuffer(one("best").as_py(), dtype=np.float64), np.array(one("best_cands").as_py(), dtype=object)
+    def __init__(self, raw: bytes, n: int):
+        self.x = np.frombuffer(raw, dtype=np.float32).reshape(n, -1)
+        self.norm = np.concatenate([np.linalg.norm(self.x[at : at + 4096].astype(np.float64), axis=1) for at in range(0, n, 4096)])
+
+    def unit(self, some: np.ndarray | slice) -> np.ndarray:
+        return self.x[some].astype(np.float64) / self.norm[some, None]
+
+
+def _exact(q: _Side, i: np.ndarray, d: _Side, j: np.ndarray) -> np.ndarray:
+    """Rounded scores of the pairs (i, j), the same for the same vectors wherever they lie."""
+    return np.concatenate([np.zeros(0), *[np.round(np.einsum("ij,ij->i", q.unit(i[at : at + 16_384]), d.unit(j[at : at + 16_384])), DIGITS) for at in range(0, len(i), 16_384)]])
+
+
+def _best(q: _Side, mine: np.ndarray, d: _Side, members: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best score and its place, of the queries ``mine`` over the documents ``members`` of their group; the earlier of equal ones."""
+    members = members[np.argsort(rows[members], kind="stable")]
+    top = np.zeros(len(mine), dtype=np.int64)
+    step = max(1, 4_000_000 // len(members))
+    for at in range(0, len(mine), step) if len(members) > 1 else ():
+        top[at : at + step] = np.round(q.unit(mine[at : at + step]) @ d.unit(members).T, DIGITS).argmax(axis=1)
+    return _exact(q, mine, d, members[top]), rows[members[top]]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a partition's rows (slot, side, direction, pair_id, source_row, grp, hot, q, d), each query with its best positive among those of its own group."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    t = t.sort_by([("grp", "ascending"), ("source_row", "ascending")]).combine_chunks()
+    column = lambda n: t.column(n).to_numpy()
+    vectors_of = lambda n: t.column(n).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    rows, grps, hot, n = column("source_row").astype(np.int64), column("grp"), column("hot").astype(bool), t.num_rows
+    a, b = vectors_of("q").astype(np.float64), vectors_of("d").astype(np.float64)
+    dots = np.zeros((3, n))
+    for k in range(a.shape[1]):  # left to right, as vectors.dot
+        for at, (x, y) in enumerate(((a, b), (a, a), (b, b))):
+            dots[at] += x[:, k] * y[:, k]
+    raw_q, raw_d = _raw(a, np.float32), _raw(b, np.float32)
+    q, d = _Side(raw_q[0].as_py(), n), _Side(raw_d[0].as_py(), n)
+    starts = np.flatnonzero(np.r_[True, grps[1:] != grps[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    best, place = _exact(q, np.arange(n), d, np.arange(n)), rows.copy()
+    for at, m in zip(starts[sizes > 1], sizes[sizes > 1]):
+        members = np.arange(at, at + m)
+        best[members], place[members] = _best(q, members, d, members, rows)
+    first = lambda name, kind: pa.array([t.column(name)[0].as_py()], kind)
+    values = [first("slot", pa.int32()), first("side", pa.int32()), first("direction", pa.string()), pa.array([n]), pa.array([int((~hot[starts]).sum())]), _strings(grps[starts][hot[starts]]), _raw(rows, np.int64), _strings(column("pair_id")),
+              _raw(dots[0] / (np.sqrt(dots[1]) * np.sqrt(dots[2])), np.float64), _strings(grps), _raw(hot, np.bool_), raw_q, raw_d, _raw(best, np.float64), _raw(place, np.int64)]
+    yield pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in _PACKED.split(", ")])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Pairs of blocks, one after the other."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield {n: batch.column(n)[at].as_py() for n in batch.schema.names}
+
+
+def _hot_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best positives of a block's queries in groups that are spread over blocks."""
+    for x in _met(batches):
+        hot, d_hot, grps, d_grps = (np.frombuffer(x["hot"], np.bool_), np.frombuffer(x["d_hot"], np.bool_), np.array(x["grps"], object), np.array(x["d_grps"], object))
+        q, d, rows = _Side(x["q"], len(hot)), _Side(x["d"], len(d_hot)), np.frombuffer(x["rows"], np.int64)
+        best, place = np.full(len(hot), -np.inf), np.zeros(len(hot), np.int64)
+        for g in set(grps[hot].tolist()) & set(d_grps[d_hot].tolist()):
+            mine = np.flatnonzero(grps == g)
+            best[mine], place[mine] = _best(q, mine, d, np.flatnonzero(d_grps == g), rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x["slot"]], pa.int32()), _raw(best, np.float64), _raw(place, np.int64)], names=["slot", "best", "place"])
+
+
+def _hot_merge(t: pa.Table) -> pa.Table:
+    best, place = (np.stack([np.frombuffer(x.as_py(), kind) for x in t.column(n)]) for n, kind in (("best", np.float64), ("place", np.int64)))
+    top = best.max(axis=0)
+    where = np.where(best == top, place, np.iinfo(np.int64).max).min(axis=0)
+    return pa.table([t.column("slot").slice(0, 1), _raw(top, np.float64), _raw(where, np.int64)], names=["slot", "hot_best", "hot_place"])
+
+
+def _count_ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and groups before the best positive of each query of a block, over all document blocks that the task meets.
+
+    Products are in single precision; a score within its error of the best positive's is computed anew in double precision.
+    """
+    total: dict[int, list] = {}
+    for x in _met(batches):
+        n, best, place, own = x["n"], np.frombuffer(x["best"], np.float64), np.frombuffer(x["place"], np.int64), np.array(x["grps"], object)
+        if x["hot_best"] is not None:
+            hot = np.frombuffer(x["hot"], np.bool_)
+            best, place = np.where(hot, np.frombuffer(x["hot_best"], np.float64), best), np.where(hot, np.frombuffer(x["hot_place"], np.int64), place)
+        names, d_hot, rows = np.array(x["d_grps"], object), np.frombuffer(x["d_hot"], np.bool_), np.frombuffer(x["rows"], np.int64)
+        q, d = _Side(x["q"], n), _Side(x["d"], len(names))
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        sizes = np.diff(np.r_[starts, len(names)])
+        alone = np.repeat((sizes == 1) & ~d_hot[starts], sizes)
+        order = np.r_[np.flatnonzero(alone), np.flatnonzero(~alone)]  # groups of one document first, the others together
+        single = int(alone.sum())
+        many = starts[(sizes > 1) | d_hot[starts]]
+        group_of = np.cumsum(np.r_[True, names[order[single:]][1:] != names[order[single:]][:-1]]) - 1 if len(many) else np.zeros(0, np.int64)
+        number = np.searchsorted(names[starts], own)  # place of the query's group among the names here
+        name_of = np.repeat(np.arange(len(starts)), sizes)
+        docs, groups = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        seen = {str(g): np.zeros(n, bool) for g in names[many][d_hot[many]]}
+        dim = q.x.shape[1]
+        margin = np.float32((dim + 8) * 2.0**-23)
+        columns = np.empty((dim + 1, len(names)), np.float32)
+        columns[:dim], columns[dim] = d.unit(slice(None))[order].T, 1
+        some = np.empty((TILE[0], dim + 1), np.float32)
+        for at in range(0, n, TILE[0]):
+            m = min(TILE[0], n - at)
+            some[:m, :dim], some[:m, dim] = q.unit(slice(at, at + m)), -best[at : at + m]  # a product is a score less the best positive's
+            shared = np.zeros((m, len(group_of)), bool)
+            for lo in range(0, len(names), TILE[1]):
+                hi = min(lo + TILE[1], len(names))
+                s = some[:m] @ columns[:, lo:hi]
+                over = s > margin
+                docs[at : at + m] += [np.count_nonzero(r) for r in over]
+                cut = min(max(single, lo), hi) - lo
+                groups[at : at + m] += [np.count_nonzero(r) for r in over[:, :cut]]
+                if cut < hi - lo:
+                    shared[:, lo + cut - single : hi - single] = over[:, cut:]
+                unsure = np.flatnonzero((s >= -margin) ^ over)
+                if len(unsure):
+                    i, j = np.divmod(unsure, hi - lo)
+                    i, to = i + at, order[j + lo]
+                    score = _exact(q, i, d, to)
+                    tie = score == best[i]
+                    docs += np.bincount(i[(score > best[i]) | (tie & (rows[to] < place[i]))], minlength=n)
+                    before = (score > best[i]) | (tie & (name_of[to] < number[i]))
+                    groups += np.bincount(i[before & (j + lo < single)], minlength=n)
+                    late = before & (j + lo >= single)
+                    shared[i[late] - at, j[late] + lo - single] = True
+            if len(many):
+                any_of = np.logical_or.reduceat(shared, np.flatnonzero(np.r_[True, group_of[1:] != group_of[:-1]]), axis=1)
+                for k in np.flatnonzero(d_hot[many]):
+                    seen[str(names[many[k]])][at : at + m] = any_of[:, k]
+                groups[at : at + m] += any_of[:, ~d_hot[many]].sum(axis=1)
+        state = total.setdefault(x["slot"], [np.zeros(n, np.int64), np.zeros(n, np.int64), {}])
+        state[0] += docs
+        state[1] += groups
+        for g, bits in seen.items():
+            state[2][g] = state[2].get(g, False) | bits
+    for slot, (docs, groups, seen) in total.items():
+        bits = np.packbits(np.stack(list(seen.values())), axis=1) if seen else np.zeros(0, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), _raw(docs, np.int32), _raw(groups, np.int32), pa.array([list(seen)], pa.list_(pa.string())), _raw(bits, np.uint8)], names=["slot", "docs", "groups", "hot_names", "hot_bits"])
+
+
+def _ranked(counts: pa.Table, block: pa.Table) -> pa.Table:
+    """One row a query from the counts of all tasks that met its block."""
+    names = pa.array(block.column("names")[0].as_py(), pa.string())
+    n = len(names)
+    docs, groups, seen = np.ones(n, np.int64), np.ones(n, np.int64), {}
+    for r in counts.to_pylist():
+        docs += np.frombuffer(r["docs"], np.int32)
+        groups += np.frombuffer(r["groups"], np.int32)
+        if r["hot_names"]:
+            bits = np.unpackbits(np.frombuffer(r["hot_bits"], np.uint8).reshape(len(r["hot_names"]), -1), axis=1, count=n)
+            for g, x in zip(r["hot_names"], bits):
+                seen[g] = seen.get(g, 0) | x
+    for x in seen.values():
+        groups += x
+    return pa.table([names, pa.array([block.column("direction")[0].as_py()] * n, pa.string()), pa.array(np.frombuffer(block.column("cosine")[0].as_py(), np.float64)), pa.array(docs), pa.array(groups)], names=["pair_id", "direction", "cosine", "docs", "groups"])
+
+
+def _hot_hashes(df: DataFrame, named: DataFrame, most: int) -> list[int]:
+    """Hashes of groups with more than ``most`` rows of vectors: at most four for each block. Counted by hash, so small ones may be among them."""
+    h = lambda c, pt: F.struct(F.lit(pt).alias("pt"), F.xxhash64(c).alias("h"), F.col(c).isNotNull().alias("ok"))
+    either = named.select("pair_id", F.explode(F.array(h("pt_duplicate_group_id", True), h("en_duplicate_group_id", False))).alias("x")).select("pair_id", "x.*").filter("ok")
+    many = either.groupBy("h").count().filter(F.col("count") > most).select("h").collect()  # of all pairs, of which only some may have vectors
+    if not many:
+        return []
+    some = either.join(F.broadcast(df.sparkSession.createDataFrame(many, "h long")), "h", "left_semi")
+    rows = df.select("pair_id", (F.col("direction") == "en_to_pt").alias("pt")).join(some.hint("shuffle_merge"), ["pair_id", "pt"])
+    return [r.h for r in rows.groupBy("h").count().filter(F.col("count") > most).select("h").collect()]
+
+
+def both_ranks(df: DataFrame, groups: DataFrame, block: int = 16_384) -> DataFrame:
+    """``pair_id``, ``direction``, ``paired_cosine``, rank over documents and over groups (``docs``, ``groups``), and how many there are of each (``n_docs``, ``n_groups``)."""
+    spark = df.sparkSession
+    n = {r.direction: r["count"] for r in df.filter(F.col("direction").isNotNull()).groupBy("direction").count().collect()}  # one row a direction
+    sides = {d: k for k, d in enumerate(sorted(n))}
+    blocks = {d: max(math.ceil(c / block), min(4, math.ceil(c / 1024))) for d, c in n.items()}
+    look = lambda of: F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("direction")] if of else F.lit(1)
+    slots = max([1, *blocks.values()]) * max(1, len(sides))
+    target = F.when(F.col("direction") == "en_to_pt", F.col("pt_duplicate_group_id")).otherwise(F.col("en_duplicate_group_id"))
+    named = groups.select("pair_id", "pt_duplicate_group_id", "en_duplicate_group_id")
+    # rows of a pair meet in one shuffle, which serves repeated rows and the join alike
+    base = usable_pairs(df.filter(F.col("direction").isNotNull()).select("pair_id", "direction", "source_row", "query_embedding", "document_embedding").repartition("pair_id")).join(named.hint("shuffle_merge"), "pair_id")
+    base = base.withColumn("grp", target).filter(F.col("grp").isNotNull())
+    hot = _hot_hashes(df, named, block // 4)
+    base = base.withColumn("h", F.xxhash64("grp"))
+    if hot:
+        base = base.join(F.broadcast(spark.createDataFrame([(h, True) for h in hot], "h long, hot boolean")), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    else:
+        base = base.withColumn("hot", F.lit(False))
+    place = F.pmod(F.when(F.col("hot"), F.xxhash64("pair_id")).otherwise(F.col("h")), look(blocks)).cast("int")
+    side = look(sides).cast("int")
+    rows = base.select((place * max(1, len(sides)) + side).alias("slot"), side.alias("side"), "direction", "pair_id", "source_row", "grp", "hot", F.col("query_embedding").alias("q"), F.col("document_embedding").alias("d"))
+    packed = cut_lineage(rows.repartitionById(slots, F.col("slot")).mapInArrow(_pack, _PACKED))
+    queries = packed.select("slot", "side", "n", "grps", "hot", "q", "best", "place")
+    documents = packed.select(F.col("side").alias("d_side"), F.col("grps").alias("d_grps"), F.col("hot").alias("d_hot"), "rows", "d", F.size("hot_names").alias("d_spread")).coalesce(max(min(slots, 4), math.ceil(slots / DOC_BLOCKS)))
+    same = F.abs(F.col("d_side") - F.col("side")) < 1  # no equality: blocks meet where they are stored, nothing is shuffled
+    if hot:
+        spread = packed.filter(F.size("hot_names") > 0).select("slot", "side", "grps", "hot", "q")
+        met = documents.filter(F.col("d_spread") > 0).hint("shuffle_replicate_nl").join(spread, same)
+        top = met.mapInArrow(_hot_best, "slot int, best binary, place binary").groupBy("slot").applyInArrow(_hot_merge, "slot int, hot_best binary, hot_place binary")
+        queries = cut_lineage(queries.join(top, "slot", "left").repartitionById(slots, F.col("slot")))
+    else:
+        queries = queries.withColumns({"hot_best": F.lit(None).cast("binary"), "hot_place": F.lit(None).cast("binary")})
+    counted = documents.hint("shuffle_replicate_nl").join(queries, same).mapInArrow(_count_ahead, _AHEAD)
+    ranked = counted.groupBy("slot").cogroup(packed.select("slot", "direction", "names", "cosine").groupBy("slot")).applyInArrow(_ranked, _RANKED)
+    total = packed.groupBy("direction").agg(F.sum("n").alias("n_docs"), (F.sum("plain") + F.size(F.array_distinct(F.flatten(F.collect_list("hot_names"))))).alias("n_groups"))
+    return ranked.join(F.broadcast(total), "direction").select("pair_id", "direction", F.round("cosine", DIGITS).alias("paired_cosine"), "docs", "groups", "n_docs", "n_groups")  # one row a direction
+
+
+def as_ranks(both: DataFrame, dedup: bool = False) -> DataFrame:
+    """One of the two ranks of ``both_ranks`` in the columns of ``retrieval_ranks``."""
+    rank = F.col("groups" if dedup else "docs")
+    return both.select("pair_id", "direction", "paired_cosine", rank.alias("retrieval_rank"), (F.lit(1.0) / rank).alias("reciprocal_rank"), (rank <= 1).alias("hit_at_1"), (rank <= 5).alias("hit_at_5"),
+                       F.col("n_groups" if dedup else "n_docs").alias("n_candidates"))
 
 
 def retrieval_ranks(df: DataFrame, groups: DataFrame, block: int = 16_384, dedup: bool = False) -> DataFrame:
@@ -81,102 +287,7 @@ def retrieval_ranks(df: DataFrame, groups: DataFrame, block: int = 16_384, dedup
     en_duplicate_group_id. With ``dedup`` a candidate is a group, scored by its best member and placed by its id; else a
     document, placed by source_row. Unusable vectors and pairs without a group take no part. An empty table gives an empty result.
     """
-    target = F.when(F.col("direction") == "en_to_pt", F.col("pt_duplicate_group_id")).otherwise(F.col("en_duplicate_group_id"))
-    base = usable_pairs(df).join(groups.select("pair_id", "pt_duplicate_group_id", "en_duplicate_group_id"), "pair_id")
-    base = base.withColumn("grp", target).filter(F.col("grp").isNotNull()).select("pair_id", "direction", "source_row", "query_embedding", "document_embedding", "grp")
-    base = cut_lineage(base.withColumn("cand", F.col("grp") if dedup else F.lpad(F.col("source_row").cast("string"), 19, "0")))
-    n = {r.direction: r.n for r in base.groupBy("direction").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a direction
-    blocks = {d: max(math.ceil(c / block), min(4, math.ceil(c / 1024))) for d, c in n.items()}
-    count = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("direction")] if blocks else F.lit(1)
-    by_pair = F.pmod(F.xxhash64("pair_id"), count).cast("int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias(name)
-    keys = ["direction", "qb", "db"]
-    if dedup:  # groups of more than a quarter of a block: at most four for each block of documents
-        hot = base.groupBy("direction", "cand").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block // 4).select("direction", "cand", F.lit(True).alias("hot"))
-        docs = base.join(F.broadcast(hot), ["direction", "cand"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-        docs = docs.withColumn("block", F.when(F.col("hot"), by_pair).otherwise(F.pmod(F.xxhash64("cand"), count).cast("int")))
-    else:
-        docs = base.withColumn("hot", F.lit(False)).withColumn("block", by_pair)
-    nothing = [F.lit(0.0).alias("best"), F.lit("").alias("best_cand")]
-    packed = _pack(docs.select("direction", "block", "source_row", "cand", "grp", "hot", F.col("document_embedding").alias("v"), *nothing))
-    laid_docs = packed.select("*", F.col("block").alias("db"), every("qb"))
-    columns = lambda q: q.select("direction", by_pair.alias("block"), "source_row", "cand", "grp", F.lit(False).alias("hot"), F.col("query_embedding").alias("v"), "best", "best_cand")
-    lay = lambda q: _pack(columns(q)).select("*", F.col("block").alias("qb"), every("db"))
-    best_schema = "direction string, source_row long, cand string, score double"
-
-    def positives(left: pa.Table, right: pa.Table) -> pa.Table:
-        # candidates of the query's own group only: join on the group inside the block pair
-        out = pa.schema([("direction", pa.string()), ("source_row", pa.int64()), ("cand", pa.string()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        d, q = _Block(left), _Block(right)
-        by: dict[str, list[int]] = {}
-        for i, g in enumerate(d.grps):
-            by.setdefault(g, []).append(i)
-        of_group: dict[str, list[int]] = {}
-        for i, g in enumerate(q.grps):
-            if g in by:
-                of_group.setdefault(g, []).append(i)
-        rows, cands, scores = [], [], []
-        for g, mine in of_group.items():
-            members = sorted(by[g], key=d.cands.__getitem__)
-            for at in range(0, len(mine), 1024):
-                some = mine[at : at + 1024]
-                s = np.round(q.unit[some] @ d.unit[members].T, DIGITS)
-                top = s.argmax(axis=1)  # the first of equal scores has the smallest place
-                rows.append(q.rows[some])
-                cands += [d.cands[members[a]] for a in top]
-                scores.append(s[np.arange(len(some)), top])
-        if not rows:
-            return out.empty_table()
-        n_rows = len(cands)
-        return pa.table([pa.array([right.column("direction")[0].as_py()] * n_rows, pa.string()), pa.array(np.concatenate(rows)), pa.array(cands, pa.string()), pa.array(np.concatenate(scores))], schema=out)
-
-    found = laid_docs.groupBy(*keys).cogroup(lay(base.select("*", *nothing)).groupBy(*keys)).applyInArrow(positives, best_schema)
-    best = found.groupBy("direction", "source_row").agg(F.min(F.struct((-F.col("score")).alias("far"), "cand")).alias("b"))
-    best = best.select("direction", "source_row", (-F.col("b.far")).alias("best"), F.col("b.cand").alias("best_cand"))
-    ahead_schema = "direction string, source_row long, ahead long, hot_cand string, hot_score double, best double, best_cand string"
-
-    def ahead(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("direction", pa.string()), ("source_row", pa.int64()), ("ahead", pa.int64()), ("hot_cand", pa.string()), ("hot_score", pa.float64()), ("best", pa.float64()), ("best_cand", pa.string())])
-        if not right.num_rows or not left.num_rows:
-            return out.empty_table()
-        d, q = _Block(left), _Block(right)
-        direction = right.column("direction")[0].as_py()
-        order = np.argsort(d.cands, kind="stable")
-        cand, unit = d.cands[order], d.unit[order]
-        starts = np.flatnonzero(np.r_[True, cand[1:] != cand[:-1]])
-        names, hot = cand[starts], d.hot[order][starts]
-        counts = np.zeros(len(q.rows), dtype=np.int64)
-        parts = []
-        for at in range(0, len(q.rows), 256):
-            some = slice(at, at + 256)
-            s = np.round(q.unit[some] @ unit.T, DIGITS)
-            if len(starts) < len(cand):
-                s = np.maximum.reduceat(s, starts, axis=1)
-            b = q.best[some, None]
-            before = np.arange(len(names)) < np.searchsorted(names, q.best_cands[some])[:, None]
-            counts[some] = (((s > b) | ((s == b) & before)) & ~hot).sum(axis=1)
-            for h in np.flatnonzero(hot):  # a large group: its best score here, to be merged with other blocks'
-                m = s.shape[0]
-                parts.append(pa.table([pa.array([direction] * m), pa.array(q.rows[some]), pa.array(np.zeros(m, np.int64)), pa.array([names[h]] * m, pa.string()), pa.array(s[:, h]), pa.array(q.best[some]), pa.array(q.best_cands[some].tolist(), pa.string())], schema=out))
-        m = len(q.rows)
-        none = lambda kind: pa.nulls(m, kind)
-        return pa.concat_tables([pa.table([pa.array([direction] * m), pa.array(q.rows), pa.array(counts), none(pa.string()), none(pa.float64()), none(pa.float64()), none(pa.string())], schema=out), *parts])
-
-    counted = laid_docs.groupBy(*keys).cogroup(lay(base.join(best, ["direction", "source_row"])).groupBy(*keys)).applyInArrow(ahead, ahead_schema)
-    if dedup:
-        merged = counted.groupBy("direction", "source_row", "hot_cand").agg(F.sum("ahead").alias("ahead"), F.max("hot_score").alias("s"), F.max("best").alias("b"), F.max("best_cand").alias("c"))
-        earlier = (F.col("s") > F.col("b")) | ((F.col("s") == F.col("b")) & (F.col("hot_cand") < F.col("c")))
-        counted = merged.select("direction", "source_row", (F.col("ahead") + F.when(earlier, 1).otherwise(0)).alias("ahead"))
-    ranks = counted.groupBy("direction", "source_row").agg((F.sum("ahead") + 1).alias("retrieval_rank"))
-    n_cand = base.groupBy("direction").agg((F.count_distinct("cand")).alias("n_candidates"))
-    own = paired_cosine(base).join(base.select("pair_id", "direction", "source_row"), ["pair_id", "direction"])
-    return (
-        ranks.join(own, ["direction", "source_row"]).join(F.broadcast(n_cand), "direction")  # one row a direction
-        .select("pair_id", "direction", "paired_cosine", "retrieval_rank", (F.lit(1.0) / F.col("retrieval_rank")).alias("reciprocal_rank"),
-                (F.col("retrieval_rank") <= 1).alias("hit_at_1"), (F.col("retrieval_rank") <= 5).alias("hit_at_5"), "n_candidates")
-    )
+    return as_ranks(both_ranks(df, groups, block), dedup)
 
 
 def wide(ranks: DataFrame) -> DataFrame:

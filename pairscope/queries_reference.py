@@ -396,9 +396,8 @@ def retrieval_wide(spark: SparkSession, d: str) -> DataFrame:
     SELECT direction, count(*) AS n_pairs, count_if(g > retrieval_rank) AS n_worse, count_if(g < retrieval_rank) AS n_better FROM ranks JOIN dd USING (pair_id, direction) GROUP BY 1""")
 def dedup_never_worse(spark: SparkSession, d: str) -> DataFrame:
     """Pairs whose rank over groups is worse than over documents (there may be none but for ties placed otherwise), and better."""
-    a, b = _ranks(spark, d), _ranks(spark, d, True)
-    joined = a.select("pair_id", "direction", F.col("retrieval_rank").alias("r")).join(b.select("pair_id", "direction", F.col("retrieval_rank").alias("g")), ["pair_id", "direction"])
-    return joined.groupBy("direction").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("g") > F.col("r")).alias("n_worse"), F.count_if(F.col("g") < F.col("r")).alias("n_better"))
+    both = retrieval.both_ranks(table(spark, d, "pair_vectors"), _pairs(spark, d))
+    return both.groupBy("direction").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("groups") > F.col("docs")).alias("n_worse"), F.count_if(F.col("groups") < F.col("docs")).alias("n_better"))
 
 
 @query("WITH" + _BASE + " SELECT direction, count(*) AS n_documents, count(DISTINCT grp) AS n_groups FROM u GROUP BY 1")

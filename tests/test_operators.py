@@ -320,3 +320,25 @@ def test_hash_engine_over_more_draws_than_rows_could_hold(spark):
     r = resampling.intervals_hash(df, ["t"], "c", ["m"], 1_700).first()  # 51 million draws
     half = 1.96 * np.sqrt(8.25 / 30_000)
     assert r.estimate == 4.5 and abs(r.ci_lower - 4.5 + half) < 0.1 * half and abs(r.ci_upper - 4.5 - half) < 0.1 * half
+
+
+@pytest.mark.parametrize("block", [16_384, 60])
+def test_both_ranks_come_of_one_pass_whose_shuffle_does_not_grow_with_the_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    n = 400
+    v, grp = rng.normal(size=(n, 2, 8)).astype("f4"), [f"g{i % 3 if i < 90 else i // 3}" for i in range(n)]
+    v[7, 1] = v[300, 1] = v[120, 1]  # ties across groups
+    df = spark.createDataFrame([(i, f"p{i:03d}", "en_to_pt", v[i, 0].tolist(), v[i, 1].tolist()) for i in range(n)], "source_row long, pair_id string, direction string, query_embedding array<float>, document_embedding array<float>")
+    groups = spark.createDataFrame([(f"p{i:03d}", g, g) for i, g in enumerate(grp)], "pair_id string, pt_duplicate_group_id string, en_duplicate_group_id string")
+    both = retrieval.both_ranks(df, groups, block)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and all("q#" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    u = v / np.linalg.norm(v.astype(float), axis=2, keepdims=True)
+    s = np.round(u[:, 0] @ u[:, 1].T, 9)
+    for r in both.collect():
+        i = int(r.pair_id[1:])
+        top = {g: max(s[i][j] for j in range(n) if grp[j] == g) for g in set(grp)}
+        order = sorted(range(n), key=lambda j: (-s[i][j], j))
+        assert r.docs == 1 + min(order.index(j) for j in range(n) if grp[j] == grp[i])
+        assert r.groups == 1 + sorted(top, key=lambda g: (-top[g], g)).index(grp[i])
+        assert (r.n_docs, r.n_groups) == (n, len(top))
