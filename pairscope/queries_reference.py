@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairscope import contracts
 from pairscope.functions import embeddings, ids, language, quality, text, vectors
 from pairscope.operators import affect, analysis, curation, resampling, retrieval, ridge, sensitivity, strata
-from pairscope.session import cut_lineage, table
+from pairscope.session import cut_lineage, release, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -863,19 +863,37 @@ def affect_coverage(spark: SparkSession, d: str) -> DataFrame:
 def sensitivity_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of every sensitivity summary: matched languages, length, ranks over groups, encoders, affect."""
     pairs = _pairs(spark, d)
-    df = _frame(spark, d)
-    features = cut_lineage(pairs.select("pair_id", "participant_id", "pt_word_count").join(_affect(spark, d), "pair_id"))
-    first = _ranks(spark, d)
-    cells = {
-        "both_languages_match": (*analysis.matched_cells(df, _language_flags(spark, d)), df), "length_recall": (*analysis.length_cells(df), df), "target_dedup": (*analysis.retrieval_cells(_ranks(spark, d, True), pairs), pairs),
-        "encoder_difference": (*analysis.encoder_cells(first, _half_encoder(spark, d), pairs), pairs), "affect_nonzero": (*analysis.nonzero_cells(features), features), "affect_coverage": (*analysis.coverage_cells(features), features),
-    }
-    out = None
-    for name, (rows, keys, metrics, universe) in cells.items():
-        got = analysis.with_intervals(rows, keys, metrics, universe, name, REPETITIONS, SEED)
-        got = got.select(F.lit(name).alias("summary"), F.concat_ws("|", *keys).alias("cell"), "metric", "n_pairs", "n_participants", "n_clusters", "estimate", "ci_lower", "ci_upper")
-        out = got if out is None else out.unionByName(got)
-    return out
+
+    def stored(df: DataFrame) -> DataFrame:
+        out = cut_lineage(df)
+        release(spark)  # what led to it is on disk no longer
+        return out
+
+    def intervals(cells: dict) -> DataFrame:
+        out = None
+        for name, (rows, keys, metrics, universe) in cells.items():
+            got = analysis.with_intervals(rows, keys, metrics, universe, name, REPETITIONS, SEED)
+            got = got.select(F.lit(name).alias("summary"), F.concat_ws("|", *keys).alias("cell"), "metric", "n_pairs", "n_participants", "n_clusters", "estimate", "ci_lower", "ci_upper")
+            out = got if out is None else out.unionByName(got)
+        return out
+
+    both = stored(retrieval.both_ranks(table(spark, d, "pair_vectors"), pairs))  # documents and groups in one pass, for the frame and two summaries
+    half = stored(_half_encoder(spark, d).drop("n_candidates"))
+    first, wanted = retrieval.as_ranks(both), pairs.select("pair_id", "participant_id")
+    ranks = stored(intervals({"target_dedup": (*analysis.retrieval_cells(retrieval.as_ranks(both, True), wanted), wanted), "encoder_difference": (*analysis.encoder_cells(first, half, wanted), wanted)}))
+    del half
+    features, flags = analysis.coverage_flags(pairs.select("pair_id", "participant_id", "pt_word_count").join(_affect(spark, d), "pair_id"))
+    features = stored(features.select("pair_id", "participant_id", "pt_word_count", *affect.DISTANCES, *flags))
+    scores = pairs.select("pair_id", quality.synthetic_quality(F.col("source_pt"), F.col("translation_en")).alias("score"))
+    df = analysis.frame(pairs, retrieval.wide(first), scores, features.select("pair_id", *affect.DISTANCES)).select("pair_id", "participant_id", "pt_word_count", *analysis.METRICS)
+    df = stored(df)
+    del both, first
+    framed = stored(intervals({"both_languages_match": (*analysis.matched_cells(df, _language_flags(spark, d)), df), "length_recall": (*analysis.length_cells(df), df)}))
+    del df
+    people = features.select("participant_id")
+    nonzero = analysis.nonzero_cells(features.withColumns({f"{f}_both_nonzero": F.col(f"{f}_both_nonzero") == 1.0 for f in affect.FAMILIES}))
+    covered = (sensitivity.with_bands(features), ["stratum_type", "stratum_value"], flags)
+    return stored(intervals({"affect_nonzero": (*nonzero, people), "affect_coverage": (*covered, people)})).unionByName(ranks).unionByName(framed)
 
 
 @query("""WITH lv AS (SELECT DISTINCT * FROM language_verification), jj AS (SELECT coalesce(pt_matches_expected, false) AS pm, coalesce(en_matches_expected, false) AS em, coalesce(pt_ambiguous, false) AS pa, coalesce(en_ambiguous, false) AS ea FROM paired_responses JOIN lv USING (pair_id)),"""

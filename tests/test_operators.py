@@ -342,3 +342,18 @@ def test_both_ranks_come_of_one_pass_whose_shuffle_does_not_grow_with_the_blocks
         assert r.docs == 1 + min(order.index(j) for j in range(n) if grp[j] == grp[i])
         assert r.groups == 1 + sorted(top, key=lambda g: (-top[g], g)).index(grp[i])
         assert (r.n_docs, r.n_groups) == (n, len(top))
+
+
+def test_sensitivity_intervals_rank_once_for_each_encoder(spark, data, monkeypatch):
+    from pairscope import queries_reference as q
+
+    calls, real = [], retrieval.both_ranks
+    monkeypatch.setattr(retrieval, "both_ranks", lambda *a, **k: calls.append(1) or real(*a, **k))
+    monkeypatch.setattr(q, "REPETITIONS", 20)
+    got = {(r.summary, r.cell.split("|")[0], r.metric): r for r in q.sensitivity_intervals(spark, data).collect()}
+    assert len(calls) == 2
+    for name, summary in (("target_dedup", q.retrieval_sensitivity), ("encoder_difference", q.encoder_summary)):
+        for r in summary(spark, data).collect():
+            mine = got[(name, r.direction, r.metric)]
+            assert round(mine.estimate, 6) == r.estimate and mine.n_pairs == r.n_pairs and mine.ci_lower <= mine.ci_upper
+    assert {k[0] for k in got} == {"both_languages_match", "length_recall", "target_dedup", "encoder_difference", "affect_nonzero", "affect_coverage"}
